@@ -145,3 +145,94 @@ messages AS (
     CAST(conv_id % 37 AS VARCHAR) AS user_id, role, text AS content,
     TIMESTAMP '2024-01-01 00:00:00' + to_seconds(turn) AS created_at
   FROM conversations)"""
+
+
+# --- structured chunks ---------------------------------------------------------------------------------------------
+
+SOURCE_DOCUMENTS = """
+docs AS (
+  SELECT source AS knowledge_scope, CAST(doc_id AS VARCHAR) AS document_id, lang AS title,
+    source || '/' || doc_id || '.md' AS source_ref, text FROM documents)"""
+
+# Fenced code is found by counting fence lines: the given texts have no fence inside a fence.
+STRUCTURE = f"""
+clean AS (SELECT * REPLACE ({portable('text')} AS text) FROM docs WHERE NOT {blank('text')}),
+doc_lines AS (SELECT knowledge_scope, document_id, source_ref, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) AS n FROM clean),
+fences AS (SELECT *, starts_with({trim('line')}, '```') OR starts_with({trim('line')}, '~~~') AS fence FROM doc_lines),
+inside AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY n
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fence_no FROM fences),
+typed AS (SELECT *, fence OR fence_no % 2 = 1 AS code,
+  CASE WHEN NOT (fence OR fence_no % 2 = 1) THEN regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \\t]', 1) ELSE '' END AS marks
+  FROM inside),
+titled AS (SELECT *, CASE WHEN marks <> '' THEN nullif({trim(f"rtrim({trim('substr(ltrim(line), length(marks) + 1)')}, '#')")}, '')
+  END AS heading FROM typed),
+""" + "".join(
+    f"""level{i} AS (SELECT *, max(CASE WHEN heading IS NOT NULL AND length(marks) = {i} THEN n END) OVER p AS at{i},
+  arg_max(heading, n) FILTER (heading IS NOT NULL AND length(marks) = {i}) OVER p AS text{i}
+  FROM {'titled' if i == 1 else f'level{i - 1}'} WINDOW p AS (PARTITION BY document_id ORDER BY n
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+""" for i in range(1, 7)) + f"""
+pathed AS (SELECT *, coalesce(nullif(concat_ws(' / ', """ + ", ".join(
+    f"CASE WHEN at{i} > greatest(0, " + ", ".join(f"coalesce(at{j}, 0)" for j in range(1, i)) + f") THEN text{i} END"
+    if i > 1 else "text1" for i in range(1, 7)) + f"""), ''), 'Document') AS heading_path,
+  code OR (heading IS NULL AND NOT {blank('line')}) AS content FROM level6),
+grouped AS (SELECT *, CASE WHEN content AND (lag(content) OVER w IS NOT TRUE OR lag(code) OVER w <> code
+    OR (code AND fence AND fence_no % 2 = 1)) THEN 1 ELSE 0 END AS starts FROM pathed
+  WINDOW w AS (PARTITION BY document_id ORDER BY n)),
+numbered AS (SELECT *, sum(starts) OVER (PARTITION BY document_id ORDER BY n
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unit_no FROM grouped WHERE content),
+units AS (SELECT knowledge_scope, document_id, source_ref, CAST(unit_no - 1 AS BIGINT) AS unit_no,
+  CASE WHEN bool_or(code) THEN 'code' ELSE 'paragraph' END AS structure_kind, any_value(heading_path) AS heading_path,
+  string_agg(CASE WHEN code AND fence AND fence_no % 2 = 1 THEN {trim('line')} ELSE line END, chr(10) ORDER BY n) AS text
+  FROM numbered GROUP BY ALL)"""
+
+
+def structured_chunks(limit: int) -> str:
+    """Greedy packing of sentences and paragraphs as recursive queries; needs WITH RECURSIVE."""
+    return f"""{STRUCTURE},
+sentence_rows AS (SELECT document_id, unit_no, unnest(s) AS sentence, generate_subscripts(s, 1) AS sn FROM (
+  SELECT document_id, unit_no, regexp_extract_all(text, '[^.!?。！？\\n]*[.!?。！？\\n]|[^.!?。！？\\n]+$') AS s
+  FROM units WHERE structure_kind = 'paragraph' AND length(text) > {limit})),
+piece_rows AS (SELECT document_id, unit_no, sn, i, substr(sentence, i * {limit} + 1, {limit}) AS piece FROM (
+  SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(sentence) / {limit}.0) AS BIGINT)))) AS i FROM sentence_rows)),
+pieces AS (SELECT document_id, unit_no, piece, row_number() OVER (PARTITION BY document_id, unit_no ORDER BY sn, i) AS pn
+  FROM piece_rows),
+sentence_fold AS (
+  SELECT document_id, unit_no, pn, length(piece) AS open, 0 AS part FROM pieces WHERE pn = 1 UNION ALL
+  SELECT p.document_id, p.unit_no, p.pn, CASE WHEN f.open + length(piece) > {limit} THEN length(piece)
+      ELSE f.open + length(piece) END, CASE WHEN f.open + length(piece) > {limit} THEN part + 1 ELSE part END
+  FROM sentence_fold f JOIN pieces p ON p.document_id = f.document_id AND p.unit_no = f.unit_no AND p.pn = f.pn + 1),
+packed_parts AS (SELECT document_id, unit_no, part, string_agg(piece, '' ORDER BY pn) AS text
+  FROM sentence_fold JOIN pieces USING (document_id, unit_no, pn) GROUP BY ALL),
+parts AS (
+  SELECT u.document_id, u.unit_no, coalesce(p.part, 0) AS part, structure_kind, heading_path, coalesce(p.text, u.text) AS text
+  FROM units u LEFT JOIN packed_parts p USING (document_id, unit_no)),
+ordered_parts AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY unit_no, part) AS pn FROM parts),
+pack_fold AS (
+  SELECT document_id, pn, structure_kind, heading_path, length(text) AS open, 0 AS ordinal FROM ordered_parts WHERE pn = 1
+  UNION ALL
+  SELECT p.document_id, p.pn, p.structure_kind, p.heading_path,
+    CASE WHEN joins THEN open + 2 + length(text) ELSE length(text) END, CASE WHEN joins THEN ordinal ELSE ordinal + 1 END
+  FROM (SELECT p.*, f.open, f.ordinal, p.structure_kind = 'paragraph' AND f.structure_kind = 'paragraph'
+      AND p.heading_path = f.heading_path AND f.open + 2 + length(p.text) <= {limit} AS joins
+    FROM pack_fold f JOIN ordered_parts p ON p.document_id = f.document_id AND p.pn = f.pn + 1) p),
+packed AS (SELECT document_id, f.structure_kind, f.heading_path, ordinal,
+  string_agg(text, chr(10) || chr(10) ORDER BY pn) AS raw
+  FROM pack_fold f JOIN ordered_parts p USING (document_id, pn) GROUP BY ALL),
+texts AS (SELECT document_id, structure_kind, heading_path, ordinal, {portable('raw')} AS text FROM packed),
+refused AS (SELECT DISTINCT document_id FROM texts WHERE text = ''),
+hashed AS (SELECT t.*, sha256(text) AS content_hash FROM texts t ANTI JOIN refused USING (document_id)),
+repeated AS (SELECT *, row_number() OVER (PARTITION BY document_id, structure_kind, heading_path, content_hash
+  ORDER BY ordinal) - 1 AS duplicate_ordinal FROM hashed),
+schunks AS (SELECT knowledge_scope, document_id, source_ref, sha256(concat_ws(chr(0), knowledge_scope, document_id,
+    structure_kind, heading_path, content_hash, CAST(duplicate_ordinal AS VARCHAR))) AS chunk_id,
+  structure_kind, heading_path, repeated.text, content_hash, CAST(ordinal AS BIGINT) AS ordinal, duplicate_ordinal,
+  length(repeated.text) AS token_count FROM repeated JOIN clean USING (document_id))"""
+
+
+def point_id(scope: str, chunk: str) -> str:
+    h = f"sha256({scope} || chr(0) || {chunk})"
+    return (f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-4' || substr({h}, 14, 3) || '-' || "
+            f"translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({h}, 18, 3) || '-' || "
+            f"substr({h}, 21, 12)")
