@@ -120,7 +120,11 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "conversations").select(
+    return as_messages(read(spark, folder, "conversations"))
+
+
+def as_messages(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn") + 1).alias("id"),
         F.col("conv_id").cast("string").alias("session_id"),
         F.pmod("conv_id", F.lit(37)).cast("string").alias("user_id"),
@@ -138,10 +142,14 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Events as memory candidates; the event id is the arrival position and, plus one, the cited message id."""
+    return as_candidates(read(spark, folder, "events"))
+
+
+def as_candidates(events: DataFrame) -> DataFrame:
     kinds = {"view": "preference", "click": "goal", "signup": "identity", "purchase": "project_fact",
              "error": "constraint"}
     k = F.get_json_object("props", "$.k").cast("long")
-    return read(spark, folder, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("user_id"),
         F.lit("events").alias("session_id"),
         F.col("event_id").alias("position"),
