@@ -10,6 +10,7 @@ from groundwell.functions import text as tx
 from groundwell.functions.tokens import similarity, token_set
 from groundwell.operators import lexical, lines
 from groundwell.operators.points import upsert
+from groundwell.operators.stages import materialize
 from groundwell.sources import tables
 
 _DOCS = f"WITH {sql.LINE_DOCUMENTS},{sql.LINE_CHUNKS}"
@@ -20,8 +21,13 @@ def document_chunks(spark, folder):
     return lines.line_chunks(tables.line_documents(spark, folder))
 
 
+def stored_chunks(spark, folder):
+    """The chunk table a search runs on."""
+    return materialize(document_chunks(spark, folder))
+
+
 def hits(spark, folder):
-    return lexical.search(tables.questions(spark, folder), document_chunks(spark, folder),
+    return lexical.search(tables.questions(spark, folder), stored_chunks(spark, folder),
                           sql.SEARCH_TOP, sql.SEARCH_THRESHOLD)
 
 
@@ -129,7 +135,7 @@ def _(spark, folder):
   SELECT query_id, question, {sql.search_text('question')} AS normalized_question, chunk_id, rank
   FROM hits JOIN questions USING (query_id)""")
 def _(spark, folder):
-    found = lexical.retrieve(tables.questions(spark, folder), document_chunks(spark, folder),
+    found = lexical.retrieve(tables.questions(spark, folder), stored_chunks(spark, folder),
                              sql.SEARCH_TOP, sql.SEARCH_THRESHOLD)
     return found.select("query_id", "question", "normalized_question", "chunk_id", "rank")
 
@@ -211,6 +217,6 @@ def _(spark, folder):
 @query("u04_slots", f"""WITH {sql.COMPRESSED} SELECT query_id, chunk_id, rank, text FROM compressed""")
 def _(spark, folder):
     # Retriever and compressor are plain functions from DataFrame to DataFrame, so any other one fits the slot.
-    chunks = document_chunks(spark, folder)
+    chunks = stored_chunks(spark, folder)
     found = tables.questions(spark, folder).transform(lexical.search, chunks, sql.SEARCH_TOP, sql.SEARCH_THRESHOLD)
     return found.transform(lexical.compress, 3, 80).select("query_id", "chunk_id", "rank", "text")

@@ -29,13 +29,15 @@ def unit(vector: Column) -> Column:
     return let(norm(vector), lambda n: F.when(n > 0, F.transform(vector, lambda x: x.cast("double") / n)))
 
 
+def shape_reason(vector: Column) -> Column:
+    """The reason a vector may not be stored."""
+    return F.when(vector.isNull() | (F.size(vector) == 0), "empty_vector").when(
+        ~F.forall(vector, lambda x: is_finite(x.cast("double"))), "non_finite_vector")
+
+
 def vector_reason(vector: Column) -> Column:
-    """The reason a vector may not enter an index or a search."""
-    return (
-        F.when(vector.isNull() | (F.size(vector) == 0), "empty_vector")
-        .when(~F.forall(vector, lambda x: is_finite(x.cast("double"))), "non_finite_vector")
-        .when(F.forall(vector, lambda x: x == 0), "zero_vector")
-    )
+    """P06 for a search, where a zero vector has no direction to compare."""
+    return F.coalesce(shape_reason(vector), F.when(F.forall(vector, lambda x: x == 0), F.lit("zero_vector")))
 
 
 def hash_embedding(text: Column, size: int = EMBEDDING_SIZE) -> Column:

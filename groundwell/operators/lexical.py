@@ -1,8 +1,10 @@
 """Batch lexical search (J01-J06, K01): many questions against many chunks in one job.
 
-Chunks are spread by chunk id once. Their tokens meet the question tokens in an equi-join, so a chunk that shares no
-token with a question never forms a pair, and the overlap counts are complete inside the task that holds the chunk.
-Each task then keeps its own best k rows per question before anything is shuffled again.
+Question tokens become posting lists, cut into blocks of questions so that no list grows with the number of questions.
+Chunk tokens meet them in an equi-join; the lists that reach one chunk are counted inside its row, so no row is made per
+shared token. A first pass over a small part of the chunks gives a score that the k-th best hit of each question
+certainly reaches, and pairs below it are dropped where they arise. The bound only discards pairs that cannot be among
+the best k, so the result is exact.
 """
 
 from __future__ import annotations
@@ -10,14 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.functions.text import is_blank, round4, search_text, truncate
+from groundwell.functions.text import compute_once, is_blank, let, round4, search_text, truncate
 from groundwell.functions.tokens import token_set
 from groundwell.operators.joins import broadcast_if_small
 from groundwell.operators.skew import top_n
+from groundwell.operators.stages import materialize
 
 DEFAULT_TOP_K = 5
 PREVIEW_CHARS = 120
 HIT_ROW_BYTES = 256
+FLOOR_PARTS = 32
+BLOCK_QUESTIONS = 4096
 
 
 def question_tokens(queries: DataFrame) -> DataFrame:
@@ -31,31 +36,81 @@ def chunk_token_sets(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", token_set(text).alias("tokens"))
 
 
-def overlap_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """J03 for every pair that shares a token."""
-    wanted = question_tokens(queries)
-    have = chunk_token_sets(chunks).repartition("chunk_id").select(
-        "chunk_id", F.size("tokens").alias("chunk_size"), F.explode("tokens").alias("token")
-    )
-    shared = have.join(wanted, "token").groupBy("query_id", "chunk_id", "query_size", "chunk_size").agg(
-        F.count(F.lit(1)).alias("shared")
-    )
-    sizes = (F.col("query_size").cast("long") * F.col("chunk_size").cast("long")).cast("double")
-    return shared.select("query_id", "chunk_id", (F.col("shared") / F.sqrt(sizes)).alias("score"))
+def _score(shared: Column, query_size: Column, chunk_size: Column) -> Column:
+    """J03 from counts."""
+    return shared / F.sqrt((query_size.cast("long") * chunk_size.cast("long")).cast("double"))
+
+
+def _tokens_of(sets: DataFrame) -> DataFrame:
+    return sets.select("chunk_id", F.size("tokens").alias("chunk_size"), F.explode("tokens").alias("token"))
+
+
+def _counts(ids: Column, least: Column) -> Column:
+    """(query_id, shared) for every id that occurs at least ``least`` times in a sorted array.
+
+    Such an id equals the entry ``least - 1`` places further on, which leaves few entries to count.
+    """
+    step = least - 1
+    often = F.filter(ids, lambda x, i: x == F.get(ids, i + step))
+
+    def runs(kept: Column) -> Column:
+        n = F.size(kept)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(kept, i) != F.get(kept, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda s, j: F.struct(
+            F.get(kept, s).alias("query_id"), (F.coalesce(F.get(at, j + 1), n) - s + step).alias("shared"))))
+
+    return let(often, runs)
+
+
+def scores_above(wanted: DataFrame, sets: DataFrame, floors: DataFrame, blocks: int) -> DataFrame:
+    """Pairs that reach the floor of their question. ``floors`` has query_id, query_size and floor."""
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    postings = wanted.groupBy("token", block.alias("block")).agg(F.collect_list("query_id").alias("ids"))
+    bounds = floors.groupBy(block.alias("block")).agg(F.min(F.col("floor") * F.sqrt("query_size")).alias("bound"))
+    have = _tokens_of(sets.repartition("chunk_id"))
+    met = have.join(postings, "token").groupBy("chunk_id", "chunk_size", "block").agg(
+        F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    # floor <= shared / sqrt(query_size * chunk_size) gives a count below which no question of the block can succeed;
+    # the small allowance keeps rounding from dropping a pair that the exact test below would keep.
+    least = F.greatest(F.ceil(F.col("bound") * F.sqrt("chunk_size") - 1e-6), F.lit(1)).cast("int")
+    ready = compute_once(met.join(bounds, "block"), ids=F.col("ids"), least=least)
+    pairs = ready.select("chunk_id", "chunk_size", F.inline(_counts(F.col("ids"), F.col("least"))))
+    scored = pairs.join(floors, "query_id").withColumn(
+        "score", _score(F.col("shared"), F.col("query_size"), F.col("chunk_size")))
+    return scored.filter(F.col("score") >= F.col("floor")).select("query_id", "chunk_id", "score")
+
+
+def score_floors(wanted: DataFrame, sets: DataFrame, k: int, threshold: float, blocks: int) -> DataFrame:
+    """Per question a score its k-th best chunk certainly reaches, at least the threshold.
+
+    The k-th best chunk of any part of the chunks is not better than the k-th best of all, so scoring one part in
+    ``FLOOR_PARTS`` gives a floor for the rest.
+    """
+    start = wanted.select("query_id", "query_size", F.lit(threshold).alias("floor")).distinct()
+    part = sets.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(FLOOR_PARTS)) == 0)
+    kth = top_n(scores_above(wanted, part, start, blocks), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k).filter(
+        F.col("rank") == k)
+    return start.join(kth.select("query_id", F.col("score").alias("_kth")), "query_id", "left").select(
+        "query_id", "query_size", F.greatest("floor", "_kth").alias("floor"))
 
 
 def best_pairs(queries: DataFrame, chunks: DataFrame, k: int, threshold: float) -> DataFrame:
     """J04 and K01 as (query_id, chunk_id, score, rank); ties go to the smaller chunk id."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive: pairs that share no token are never formed")
-    scored = overlap_scores(queries, chunks).filter(F.col("score") >= threshold)
-    return top_n(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    wanted = question_tokens(queries)
+    sets = materialize(chunk_token_sets(chunks))
+    blocks = -(-queries.count() // BLOCK_QUESTIONS) or 1
+    floors = materialize(score_floors(wanted, sets, k, threshold, blocks))
+    return top_n(scores_above(wanted, sets, floors, blocks), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_TOP_K, threshold: float = 0.1) -> DataFrame:
     """The best ``k`` chunks per question with their text.
 
-    ``queries`` has query_id and question; ``chunks`` has chunk_id, document_id, title, source_ref and text.
+    ``queries`` has query_id and question; ``chunks`` has chunk_id, document_id, title, source_ref and text and should
+    be a stored table, as it is read for its tokens and again for the text of the hits.
     """
     pairs = best_pairs(queries, chunks, k, threshold)
     pairs = broadcast_if_small(pairs, queries.count() * k, HIT_ROW_BYTES)

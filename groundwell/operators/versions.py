@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from groundwell.functions import identity as ids
 from groundwell.functions.text import first_reason, is_blank, trim
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
-from groundwell.functions.vectors import hash_embedding, vector_reason
+from groundwell.functions.vectors import hash_embedding, shape_reason
 from groundwell.operators.points import reconcile
 from groundwell.operators.skew import dense_ids
 from groundwell.operators.stages import materialize
@@ -201,7 +201,7 @@ def ingest(documents: DataFrame, policy: ChunkPolicy, collection: str, sources:
         todo.select("version_id", *SOURCE_KEY, "source_ref", "format", "content"), policy, counter))
     rows = explode_chunks(chunked, counter).withColumn("vector", embed(F.col("text")))
     rows = materialize(rows.withColumns({
-        "vector_reason": vector_reason(F.col("vector")),
+        "vector_reason": shape_reason(F.col("vector")),
         "point_id": ids.point_id(F.col("knowledge_scope"), F.col("chunk_id")),
     }))
     bad_vectors = rows.groupBy("version_id").agg(

@@ -49,20 +49,26 @@ class RecentWindow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getListState("kept", "created long, id long, tokens long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = [tuple(r) for r in self.kept.get()]
-        for batch in rows:
-            known += list(zip(batch["created"].tolist(), batch["id"].tolist(), batch["tokens"].tolist()))
-        # A replayed message has the same time and id and is counted once.
+    def _window(self, newest_first: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], int]:
         window, used = [], 0
-        for item in sorted(set(known), reverse=True)[: self.fetch]:
+        for item in newest_first[: self.fetch]:
             if used + item[2] > self.budget:
                 break
             used += item[2]
             window.append(item)
-        # The first message that did not fit stays, as the mark behind which nothing may enter any more.
-        rest = sorted(set(known), reverse=True)[len(window): len(window) + 1]
-        self.kept.put(window + rest)
+        return window, used
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = [tuple(r) for r in self.kept.get()]
+        window, used = self._window(kept)
+        for batch in rows:
+            # A replayed message has the same time and id and is counted once.
+            fresh = zip(batch["created"].tolist(), batch["id"].tolist(), batch["tokens"].tolist())
+            kept = sorted({*kept, *fresh}, reverse=True)
+            window, used = self._window(kept)
+            # The first message that did not fit stays, as the mark behind which nothing may enter any more.
+            kept = kept[: len(window) + 1]
+        self.kept.put(kept)
         yield pd.DataFrame([(*key, [i[1] for i in reversed(window)], used)],
                            columns=["session_id", "user_id", "recent_ids", "used_tokens"])
 
