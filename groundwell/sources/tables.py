@@ -70,7 +70,8 @@ def read_documents(spark: SparkSession, path: str, scope: str, fmt: str) -> Data
     """Files below ``path`` as documents; the relative path is both the source reference and the basis of the
     document id."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = F.lit(str(path).rstrip("/") + "/")
+    # The reader reports full URIs, so the part after the folder is what counts.
+    root = path.split(":", 1)[-1].rstrip("/") + "/"
     ref = F.substring_index(F.col("path"), root, -1)
     return files.select(
         F.lit(scope).alias("knowledge_scope"),
