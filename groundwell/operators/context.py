@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundwell.functions.render import combined_system, context_block, context_head, context_line, context_tail
 from groundwell.functions.text import first_reason, is_blank, is_finite, trim, value_key
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
-from groundwell.operators.skew import top_n
+from groundwell.operators.skew import largest, top_n
 
 SOURCES = ("memory", "document")
 
@@ -60,21 +60,22 @@ def ranked_by_source(hits: DataFrame, n: int | Column) -> DataFrame:
     return top_n(hits, ["query_id", "source"], [F.desc("score"), F.asc("id")], n, rank="source_rank")
 
 
-def _distinct_best(hits: DataFrame, quota: Column) -> DataFrame:
+def _distinct_best(hits: DataFrame, quota: Column, bound: int) -> DataFrame:
     """Best hits with distinct content, up to the quota; a duplicate does not use up quota."""
     first = top_n(hits, ["query_id", "_key"], [F.desc("score"), F.asc("id")], 1, rank="_copy").drop("_copy")
-    return top_n(first, ["query_id"], [F.desc("score"), F.asc("id")], quota, rank="source_rank")
+    return top_n(first, ["query_id"], [F.desc("score"), F.asc("id")], quota, rank="source_rank", bound=bound)
 
 
 def merge(hits: DataFrame, limits: DataFrame) -> DataFrame:
     """Memory first, then documents, each within its quota; a document whose content equals a *taken* memory
     is left out. ``limits`` has query_id, memory_limit and document_limit."""
     quotas = limits.select("query_id", "memory_limit", "document_limit")
+    most_memory, most_documents = largest(quotas, "memory_limit", "document_limit")
     keyed = hits.withColumn("_key", value_key(F.col("content"))).join(quotas, "query_id")
-    memory = _distinct_best(keyed.filter(F.col("source") == "memory"), F.col("memory_limit"))
+    memory = _distinct_best(keyed.filter(F.col("source") == "memory"), F.col("memory_limit"), most_memory)
     taken = memory.select("query_id", "_key")
     others = keyed.filter(F.col("source") == "document").join(taken, ["query_id", "_key"], "left_anti")
-    documents = _distinct_best(others, F.col("document_limit"))
+    documents = _distinct_best(others, F.col("document_limit"), most_documents)
     return (
         memory.withColumn("source_order", F.lit(0))
         .unionByName(documents.withColumn("source_order", F.lit(1)))

@@ -15,21 +15,31 @@ DEFAULT_SALTS = 64
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column, rank: str = "rank",
-          salts: int = DEFAULT_SALTS) -> DataFrame:
+          bound: int | None = None, salts: int = DEFAULT_SALTS) -> DataFrame:
     """First ``n`` rows per key in ``order``, with their 1-based rank.
 
-    A literal ``n`` lets the planner cut every map task to ``n`` rows per key before the shuffle. A per-row ``n``
-    cannot be used that way, so the rows of a key are ranked in salted parts first and only survivors meet.
+    A literal ``n``, or a literal ``bound`` on a per-row ``n``, lets the planner cut every map task to that many rows per
+    key before the shuffle. Without a bound a per-row ``n`` cannot be used that way, so the rows of a key are ranked in
+    salted parts first and only survivors meet.
     """
     whole = Window.partitionBy(*keys).orderBy(*order)
-    if isinstance(n, int):
-        return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= n)
+    if isinstance(n, int) or bound is not None:
+        limit = F.lit(n) if isinstance(n, int) else n
+        most = n if isinstance(n, int) else max(bound, 0)
+        ranked = df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= most)
+        return ranked if isinstance(n, int) else ranked.filter(F.col(rank) <= limit)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in _plain_columns(df)]), F.lit(salts)))
     part = Window.partitionBy(*keys, "_salt").orderBy(*order)
     kept = salted.withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= n).drop("_salt", "_part")
     return kept.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= n)
 
 
+def largest(df: DataFrame, *columns: str | Column) -> list[int]:
+    """The largest value of each column of a request table, as literal bounds for :func:`top_n`."""
+    row = df.agg(*[F.max(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return [int(v) if v is not None else 0 for v in row]
+
+
 def _plain_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() in {
         "string", "long", "integer", "double", "float", "timestamp", "boolean", "date", "short", "byte"}]

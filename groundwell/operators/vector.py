@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import identity as ids
 from groundwell.functions.render import memory_text
-from groundwell.functions.text import first_reason, is_blank, trim
+from groundwell.functions.text import compute_once, first_reason, is_blank, trim
 from groundwell.functions.vectors import dot, unit, vector_reason
-from groundwell.operators.skew import top_n
+from groundwell.operators.skew import largest, top_n
 
 # Vector stores keep scores in single precision; ranking on that many decimals keeps equal scores equal whatever the
 # order of summation, so that ties go to the smaller id.
@@ -41,14 +41,19 @@ def nearest(queries: DataFrame, points: DataFrame, tenant: str, limit: int | Col
     payload. Vectors are scaled once per row, so a pair costs one dot product, and each task keeps only its best rows
     per query. The tenant is part of the join key: a pair across tenants is never formed.
     """
-    asked = queries.filter(vector_reason(F.col("query_vector")).isNull()).withColumn(
+    # Vectors may be computed by an expression; the filters below must not repeat it.
+    asked = compute_once(queries, query_vector=F.col("query_vector"))
+    asked = asked.filter(vector_reason(F.col("query_vector")).isNull()).withColumn(
         "query_vector", unit(F.col("query_vector")))
-    stored = points.filter(vector_reason(F.col("vector")).isNull()).withColumn("vector", unit(F.col("vector")))
+    stored = compute_once(points, vector=F.col("vector"))
+    stored = stored.filter(vector_reason(F.col("vector")).isNull()).withColumn("vector", unit(F.col("vector")))
     pairs = stored.join(asked, tenant)
     if matches is not None:
         pairs = pairs.filter(matches)
     scored = pairs.withColumn("score", F.round(dot(F.col("vector"), F.col("query_vector")), SCORE_DECIMALS))
-    return top_n(scored.drop("vector", "query_vector"), ["query_id"], [F.desc("score"), F.asc("point_id")], limit)
+    bound = None if isinstance(limit, int) else largest(queries, limit)[0]
+    return top_n(scored.drop("vector", "query_vector"), ["query_id"], [F.desc("score"), F.asc("point_id")], limit,
+                 bound=bound)
 
 
 def search_documents(queries: DataFrame, points: DataFrame, limit: int | Column) -> DataFrame:
