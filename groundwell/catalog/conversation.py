@@ -117,7 +117,7 @@ def _(spark, folder):
     arrived = messages(spark, folder).withColumn(
         "position", F.col("id") * 10 + F.when(F.col("role") == "system", 21).otherwise(0))
     # The last digit keeps positions distinct, as two messages may otherwise arrive at the same place.
-    return history.message_reasons(arrived, span=25).select("session_id", "id", "reject_reason")
+    return history.message_reasons(arrived, rows=100).select("session_id", "id", "reject_reason")
 
 
 @query("p22_chat_requests", f"""{_REQUESTS}

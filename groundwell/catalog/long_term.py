@@ -16,7 +16,6 @@ from groundwell.sources import tables
 _KIND = """CASE event_type WHEN 'view' THEN 'preference' WHEN 'click' THEN 'goal' WHEN 'signup' THEN 'identity'
   WHEN 'purchase' THEN 'project_fact' ELSE 'constraint' END"""
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-SPAN = 1000
 
 _CANDIDATES = f"""
 candidates AS (SELECT CAST(user_id AS VARCHAR) AS user_id, 'events' AS session_id, event_id AS position,
@@ -82,7 +81,7 @@ def stored_items(spark, folder):
 
 
 def decisions(spark, folder):
-    return memory.resolve_batch(candidates(spark, folder), stored_items(spark, folder), span=SPAN)
+    return memory.resolve_batch(candidates(spark, folder), stored_items(spark, folder))
 
 
 def event_messages(spark, folder):
@@ -315,7 +314,7 @@ def applied(spark, folder, stored=None):
         stored = spark.createDataFrame([], "memory_item_id long, source_session_id string, source_message_id long, "
                                            "operation string")
     return memory.apply_candidates(candidates(spark, folder), stored_items(spark, folder),
-                                   event_messages(spark, folder), stored, SPAN)
+                                   event_messages(spark, folder), stored)
 
 
 def items_after(spark, folder):

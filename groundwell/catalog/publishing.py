@@ -202,9 +202,11 @@ manifest AS (SELECT CAST(document_id AS BIGINT) + 1 AS version_id, *, {sql.point
 latest AS (SELECT knowledge_scope, collection, source_id, max(version_id) AS version_id FROM version_rows
   WHERE status IN ('ready', 'active') GROUP BY ALL),
 snapshot AS (SELECT m.*, l.collection, l.source_id FROM latest l JOIN manifest m USING (version_id)),
-digests AS (SELECT knowledge_scope, collection, sha256(string_agg(ordinal || chr(0) || chunk_id || chr(0) || content_hash
-  || chr(0) || point_id || chr(0) || token_count || chr(0), '' ORDER BY point_id, chunk_id)) AS manifest_digest,
-  count(*) AS chunk_count FROM snapshot GROUP BY ALL)"""
+ranges AS (SELECT knowledge_scope, collection, substr(point_id, 1, 3) AS part, sha256(string_agg(ordinal || chr(0)
+  || chunk_id || chr(0) || content_hash || chr(0) || point_id || chr(0) || token_count || chr(0), ''
+  ORDER BY point_id, chunk_id)) AS part_digest, count(*) AS n FROM snapshot GROUP BY ALL),
+digests AS (SELECT knowledge_scope, collection, sha256('ranges-3' || string_agg(part || ':' || part_digest || ';', ''
+  ORDER BY part)) AS manifest_digest, sum(n)::BIGINT AS chunk_count FROM ranges GROUP BY ALL)"""
 
 
 def published(spark, folder):
@@ -453,10 +455,18 @@ def _(spark, folder):
     return versions.switched_aliases(alias_table(spark, folder), outcomes(spark, folder))
 
 
-@query("v12_reconciliation", f"""{_ACTIVE}
-  SELECT DISTINCT s.knowledge_scope, '{OLD}' AS live_collection, '{NEW}' AS alias_collection FROM new_sources s
-  JOIN version_rows v ON v.version_id = s.active_version_id""")
+@query("v12_reconciliation", f"""{_ACTIVE},{_ALIASES.split("outcomes AS")[0].rstrip().rstrip(",")},
+  targets AS (SELECT alias, CASE WHEN alias = 'live_src4' THEN '{OLD}' ELSE collection END AS collection FROM aliases),
+  live AS (SELECT DISTINCT s.knowledge_scope, '{OLD}' AS live_collection FROM new_sources s
+    JOIN version_rows v ON v.version_id = s.active_version_id WHERE s.knowledge_scope <> 'src4')
+  SELECT knowledge_scope, live_collection, collection AS alias_collection FROM live JOIN targets
+    ON alias = 'live_' || knowledge_scope WHERE collection <> live_collection
+  UNION ALL SELECT DISTINCT knowledge_scope, NULL, '{OLD}' FROM new_sources WHERE knowledge_scope = 'src4'""")
 def _(spark, folder):
+    """One scope, whose alias has moved to it, has nothing live yet."""
     sources, state = activated(spark, folder)
-    moved = alias_table(spark, folder).filter(F.col("alias") == "live_src0")
-    return versions.needs_reconciliation(moved, sources, state, "live_src0")
+    first = F.col("knowledge_scope") == "src4"
+    sources = sources.withColumn("active_version_id", F.when(~first, F.col("active_version_id")))
+    aliases = alias_table(spark, folder).withColumn(
+        "collection", F.when(F.col("alias") == "live_src4", OLD).otherwise(F.col("collection")))
+    return versions.needs_reconciliation(aliases, sources, state, F.concat(F.lit("live_"), "knowledge_scope"))

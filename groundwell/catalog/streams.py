@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundwell.catalog import sql
 from groundwell.catalog.conversation import _WINDOW, POLICY, WINDOW_BUDGET
-from groundwell.catalog.long_term import _RESOLVED, SPAN, event_messages
+from groundwell.catalog.long_term import _RESOLVED, event_messages
 from groundwell.catalog.quality import fresh_path
 from groundwell.catalog.registry import query
 from groundwell.operators import summary
@@ -32,7 +32,7 @@ def _(spark, folder):
   FROM (SELECT DISTINCT session_id, user_id FROM messages) LEFT JOIN kept USING (session_id, user_id)""")
 def _(spark, folder):
     streams.use_rocksdb(spark)
-    arriving = tables.as_messages(streams.stream_table(spark, folder, "conversations"))
+    arriving = streams.stream_parts(tables.messages(spark, folder), fresh_path(spark, "message-parts"))
     last = streams.run_updates(streams.recent_windows(arriving, WINDOW_BUDGET), fresh_path(spark, "windows"))
     return last.withColumn("recent_ids", F.array_join("recent_ids", ","))
 
@@ -45,7 +45,7 @@ def _(spark, folder):
 def _(spark, folder):
     path = fresh_path(spark, "memory")
     arriving = tables.as_candidates(streams.stream_table(spark, folder, "events"))
-    streams.memory_stream(arriving, event_messages(spark, folder), path, f"{path}-checkpoint", SPAN).awaitTermination()
+    streams.memory_stream(arriving, event_messages(spark, folder), path, f"{path}-checkpoint").awaitTermination()
     items = spark.read.parquet(f"{path}/memory_items")
     last = items.agg(F.max("batch").alias("b")).scalar()
     return items.filter(F.col("batch") == last).select("user_id", "kind", "memory_key", "value", "status", "version")
@@ -60,5 +60,6 @@ def _(spark, folder):
       WHEN t >= {POLICY.min_tokens} THEN 'token_threshold' ELSE 'below_threshold' END AS trigger_reason FROM totals""")
 def _(spark, folder):
     streams.use_rocksdb(spark)
-    arriving = tables.as_messages(streams.stream_table(spark, folder, "conversations"))
-    return streams.run_updates(streams.summary_triggers(arriving, 2, POLICY), fresh_path(spark, "triggers"))
+    arriving = streams.stream_parts(tables.messages(spark, folder), fresh_path(spark, "message-parts"))
+    return streams.run_updates(streams.summary_triggers(arriving, 2, POLICY), fresh_path(spark, "triggers")).drop(
+        "late_messages")

@@ -93,19 +93,6 @@ def chunk_id(scope: Column, document: Column, kind: Column, path: Column, text_h
     return joined_hash(trim(scope), trim(document), trim(kind), normal_heading_path(path), text_hash, duplicate)
 
 
-def chunk_id_reason(scope: Column, document: Column, kind: Column, path: Column, text: Column,
-                    duplicate: Column) -> Column:
-    return F.coalesce(
-        identifier_reason(scope, "knowledge_scope"),
-        identifier_reason(document, "document_id"),
-        identifier_reason(kind, "structure_kind"),
-        F.when(F.octet_length(trim(kind)) > MAX_KIND_BYTES, F.lit("structure_kind_too_long")),
-        heading_path_reason(path),
-        F.when(portable(text) == "", F.lit("chunk_content_required")),
-        F.when(duplicate < 0, F.lit("duplicate_ordinal_negative")),
-    )
-
-
 def policy_hash(fmt: Column, parser: Column, max_tokens: Column, overlap_lines: Column, model: Column) -> Column:
     """I03."""
     return joined_hash(normal_format(fmt), trim(parser), max_tokens, overlap_lines, trim(model))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.functions.render import combined_system, context_block, context_head, context_line, context_tail
+from groundwell.functions.render import context_block, context_head, context_line, context_tail
 from groundwell.functions.text import first_reason, is_blank, is_finite, trim, value_key
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
 from groundwell.operators.skew import largest, top_n
@@ -133,12 +133,3 @@ def select_within_budget(merged: DataFrame, budgets: DataFrame, counter: TokenCo
 
 def budget_reason() -> Column:
     return F.when(F.col("context_token_budget") <= 0, F.lit("context_token_budget_required"))
-
-
-def with_context(requests: DataFrame, selection: DataFrame) -> DataFrame:
-    """Requests with the context block appended to their system prompt."""
-    block = selection.select("query_id", "rendered", "used_tokens", "used_memory_items", "used_document_chunks")
-    joined = requests.join(block, "query_id", "left")
-    has_block = F.coalesce("rendered", F.lit("")) != ""
-    return joined.withColumn("system_prompt", F.when(
-        has_block, combined_system(F.col("system_prompt"), F.col("rendered"))).otherwise(F.col("system_prompt")))

@@ -81,6 +81,8 @@ def case_results(cases: DataFrame, hits: DataFrame) -> DataFrame:
 
 def report(results: DataFrame, failures: DataFrame) -> DataFrame:
     """The means, the share of isolated cases and whether the set passed. A hit failure stops the job."""
+    foreign = failures.filter("failure = 'cross_scope_hit'").select("case_id").distinct()
+    isolated = foreign.agg(F.count(F.lit(1)).alias("n")).scalar()
     broken = failures.agg(F.count(F.lit(1)).alias("n")).scalar()
     guard = F.when(broken > 0, F.raise_error(F.lit("retrieval returned hits that void the evaluation")).cast("long"))
     perfect = (F.col("recall_at_3") == 1) & (F.size("forbidden_hits") == 0)
@@ -94,4 +96,4 @@ def report(results: DataFrame, failures: DataFrame) -> DataFrame:
     counted = F.when(F.col("case_count") < MIN_CASES, few).otherwise(F.col("case_count"))
     return totals.select(
         F.coalesce(guard, counted).alias("case_count"), "mean_recall_at_3", "mean_mrr_at_3",
-        F.lit(1.0).alias("scope_isolation"), F.col("_perfect").alias("passed"))
+        ((F.col("case_count") - isolated) / F.col("case_count")).alias("scope_isolation"), F.col("_perfect").alias("passed"))

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwell.functions.render import assistant_prefix, chat_message, role_reason
+from groundwell.functions.render import assistant_prefix, chat_message
 from groundwell.functions.text import first_reason, is_blank, trim
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
-from groundwell.operators.skew import lag_within_key, order_bucket, top_n
+from groundwell.operators.skew import BUCKET_ROWS, lag_within_key, order_buckets, top_n
 
 SESSION = ["session_id", "user_id"]
 NEWEST_FIRST = ("created_at", "id")
 TOKEN_MODE_FETCH = 50
-ID_SPAN = 1_000_000
 
 # Message roles of a source message.
 SOURCE_ROLES = ("user", "assistant")
@@ -45,9 +44,9 @@ def turns_to_store(requests: DataFrame) -> DataFrame:
     return turn("store_user_turn", "user", "message").unionByName(turn("store_assistant_turn", "assistant", "answer"))
 
 
-def message_reasons(messages: DataFrame, span: int = ID_SPAN, roles: tuple[str, ...] = SOURCE_ROLES) -> DataFrame:
+def message_reasons(messages: DataFrame, rows: int = BUCKET_ROWS, roles: tuple[str, ...] = SOURCE_ROLES) -> DataFrame:
     """P20: reason per message. ``position`` is the order of arrival; ids must rise strictly within a session."""
-    staged = messages.withColumn("_bucket", order_bucket(F.col("position"), span))
+    staged = messages.withColumn("_bucket", order_buckets(messages, "position", rows=rows))
     staged = lag_within_key(staged, SESSION, "_bucket", ["position"], F.col("id"), "_previous")
     role = F.lower(trim(F.col("role")))
     return staged.withColumn("reject_reason", first_reason(
@@ -203,8 +202,3 @@ def transcript_totals(messages: DataFrame, counter: TokenCounter = CODE_POINTS)
         F.sum(counter.guarded(F.col("content"))).alias("content_tokens"),
         F.sum(counter.guarded(line)).alias("transcript_tokens"),
     )
-
-
-def invalid_roles(messages: DataFrame) -> DataFrame:
-    """R01 guard: messages whose role has no chat form."""
-    return messages.withColumn("reject_reason", role_reason(F.col("role"))).filter(F.col("reject_reason").isNotNull())

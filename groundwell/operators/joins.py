@@ -12,10 +12,3 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BR
     """Hint a broadcast when ``rows`` (a counted or proven bound) fit the limit; otherwise leave the join to the
     planner, which shuffles and splits skewed partitions."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
-
-
-def measured(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Count at most one row more than the limit allows and hint a broadcast only when the side really fits."""
-    allowed = limit // row_bytes
-    rows = df.limit(allowed + 1).count()
-    return F.broadcast(df) if rows <= allowed else df

@@ -18,10 +18,9 @@ from groundwell.functions.render import extraction_prompt, message_line
 from groundwell.functions.text import is_blank, trim, value_key
 from groundwell.operators.history import SESSION
 from groundwell.operators.stages import materialize
-from groundwell.operators.skew import dense_ids, earlier_buckets, order_bucket, previous_bucket, with_carry
+from groundwell.operators.skew import BUCKET_ROWS, dense_ids, earlier_buckets, order_buckets, previous_bucket, with_carry
 
 IDENTITY = ["user_id", "kind", "memory_key"]
-SOURCE_SPAN = 1_000_000
 
 CANDIDATE = T.StructType([
     T.StructField("operation", T.StringType()), T.StructField("kind", T.StringType()),
@@ -228,10 +227,10 @@ def resolve_single(candidates: DataFrame, items: DataFrame) -> DataFrame:
     }).drop("_o", "_value", "_status", "_version")
 
 
-def resolve_batch(candidates: DataFrame, items: DataFrame, span: int = SOURCE_SPAN) -> DataFrame:
+def resolve_batch(candidates: DataFrame, items: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     """Every candidate in the order of its smallest cited id, chained per identity.
 
-    ``span`` is the width of an order bucket. A stored item takes part as the event before all others.
+    ``rows`` is the size of an order bucket. A stored item takes part as the event before all others.
     """
     events = normal_candidates(candidates).filter(F.col("reject_reason").isNull()).select(
         *IDENTITY, "session_id", "source_message_ids", "operation", "value", "source_id", "position",
@@ -242,8 +241,9 @@ def resolve_batch(candidates: DataFrame, items: DataFrame, span: int = SOURCE_SP
         F.when(F.col("status") == "active", "upsert").otherwise("forget").alias("operation"), "value",
         F.lit(0).cast("long").alias("source_id"), F.lit(-1).cast("long").alias("position"),
         F.col("version").alias("stored_version"), F.lit(True).alias("is_stored"))
-    bucketed = events.unionByName(stored).withColumns({
-        "_bucket": order_bucket(F.col("source_id"), span), "_norm": value_key(F.col("value"))})
+    together = events.unionByName(stored)
+    bucketed = together.withColumns({
+        "_bucket": order_buckets(together, "source_id", "position", rows), "_norm": value_key(F.col("value"))})
     order = ["source_id", "position"]
     at = F.struct(*order)
     local = Window.partitionBy(*IDENTITY, "_bucket").orderBy(*order)
@@ -342,8 +342,8 @@ def guarded_updates(updates: DataFrame, stored: DataFrame, key: str = "id") -> D
 
 
 def apply_candidates(candidates: DataFrame, items: DataFrame, messages: DataFrame, evidence: DataFrame,
-                     span: int = SOURCE_SPAN) -> tuple[DataFrame, DataFrame]:
+                     rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """The item table after the candidates, and the evidence rows to append."""
-    decisions = materialize(resolve_batch(candidates, items, span))
+    decisions = materialize(resolve_batch(candidates, items, rows))
     after = materialize(latest_items(decisions, items))
     return after, new_evidence(decisions, after, messages, evidence)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.operators.skew import top_n
@@ -11,13 +11,19 @@ from groundwell.operators.skew import top_n
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: Column | None = None) -> DataFrame:
     """The last write per key wins.
 
-    ``order`` is the write sequence inside ``incoming``; without it each incoming key must occur once.
+    ``order`` is the write sequence inside ``incoming``; without it a key that comes twice stops the job. Only incoming
+    rows are ranked; of the stored rows those of other keys are kept as they are.
     """
-    sequence = order if order is not None else F.lit(0)
-    written = stored.withColumns({"_batch": F.lit(0), "_sequence": F.lit(0).cast("long")}).unionByName(
-        incoming.withColumns({"_batch": F.lit(1), "_sequence": sequence.cast("long")}))
-    latest = top_n(written, [key], [F.desc("_batch"), F.desc("_sequence")], 1, rank="_write")
-    return latest.drop("_batch", "_sequence", "_write")
+    if order is not None:
+        latest = top_n(incoming.withColumn("_sequence", order), [key], [F.desc("_sequence")], 1, rank="_write").drop(
+            "_sequence", "_write")
+    else:
+        twice = F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
+        refused = F.raise_error(F.concat(F.lit("a key is written twice without an order: "), F.col(key).cast("string")))
+        # The check is part of the key, so it cannot be pruned away.
+        kind = incoming.schema[key].dataType
+        latest = incoming.withColumn(key, F.when(twice, refused.cast(kind)).otherwise(F.col(key)))
+    return stored.join(incoming.select(key).distinct(), key, "left_anti").unionByName(latest.select(*stored.columns))
 
 
 def delete(stored: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -30,15 +36,6 @@ def fetch(stored: DataFrame, ids: DataFrame, key: str, vector: str = "vector") -
     return stored.drop(vector).join(ids.select(key).distinct(), key, "left_semi")
 
 
-def collection_profile(points: DataFrame, vector: str = "vector") -> DataFrame:
-    """What a collection holds, to be compared with its declared dimension."""
-    return points.agg(
-        F.count(F.lit(1)).alias("point_count"),
-        F.min(F.size(vector)).alias("min_size"),
-        F.max(F.size(vector)).alias("max_size"),
-    )
-
-
 def verify_collection(points: DataFrame, declared: DataFrame, vector: str = "vector") -> DataFrame:
     """Declared (collection, vector_size, distance) against the stored vectors; an empty collection conforms."""
     sizes = points.groupBy("collection").agg(

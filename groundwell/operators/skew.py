@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 64
+BUCKET_ROWS = 100_000
+MOST_BUCKETS = 4096
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column, rank: str = "rank",
@@ -45,9 +47,38 @@ def _plain_columns(df: DataFrame) -> list[str]:
         "string", "long", "integer", "double", "float", "timestamp", "boolean", "date", "short", "byte"}]
 
 
-def order_bucket(position: Column, span: int) -> Column:
-    """Order-preserving bucket of a numeric position; one key holds at most ``span`` positions per bucket."""
-    return F.floor(position / F.lit(span)).cast("long")
+def order_buckets(df: DataFrame, first: str, second: str | None = None, rows: int = BUCKET_ROWS) -> Column:
+    """Order-preserving bucket of (``first``, ``second``) with about ``rows`` rows, whatever the values look like.
+
+    The bounds are quantiles of ``df`` itself, so sparse ids and dense ones fill buckets alike. A value of ``first`` that
+    fills buckets of its own is cut further by quantiles of ``second``.
+    """
+    parts = min(MOST_BUCKETS, -(-df.count() // rows))
+    if parts < 2:
+        return F.lit(0).cast("long")
+    shares = [i / parts for i in range(1, parts)]
+    columns = [first] if second is None else [first, second]
+    found = df.agg(*[F.percentile_approx(c, shares, F.lit(10 * parts)).alias(c) for c in columns]).first()
+    bounds = found[first] or []
+    bucket = _below(F.col(first), sorted(set(bounds))) * (MOST_BUCKETS + 1)
+    heavy = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
+    if second is not None and heavy:
+        # A bound is the last value of its bucket, so its rows follow all others there.
+        inside = _below(F.col(second), sorted(set(found[second]))) + 1
+        bucket = bucket + F.when(F.array_contains(F.array(*map(F.lit, heavy)), F.col(first)), inside).otherwise(0)
+    return bucket.cast("long")
+
+
+def _below(value: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are below ``value``, in two steps of at most 64 comparisons each."""
+    def count(array: Column) -> Column:
+        return F.size(F.filter(array, lambda b: b < value))
+
+    groups = [bounds[i:i + 64] for i in range(0, len(bounds), 64)]
+    if len(groups) < 2:
+        return count(F.array(*map(F.lit, bounds)))
+    coarse = count(F.array(*[F.lit(g[-1]) for g in groups[:-1]]))
+    return coarse * 64 + count(F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse + 1))
 
 
 def with_carry(df: DataFrame, keys: Sequence[str], bucket: str, tails: dict[str, Column],

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_own: list[str] = []
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster. Only a local session may fall back to a folder of its own."""
+    """The shared folder named by the cluster. Only a local session without one uses a folder of its own, which goes when
+    the process ends and is not written into the session's settings."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError(f"{SETTING} must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(SETTING, folder)
-    return folder
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -31,3 +36,10 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{stage_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete stages that no result reads any more, on whatever file system they are."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

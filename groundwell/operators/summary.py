@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.render import clean_summary, message_line, update_prompt
@@ -163,9 +163,15 @@ def update_all(messages: DataFrame, requests: DataFrame, summaries: DataFrame, p
                counter: TokenCounter = CODE_POINTS) -> DataFrame:
     """Q06: read, select, decide, generate and compare-and-set for every requested session.
 
-    Each row tells whether the summary was updated; a failed step leaves the stored summary as it is.
+    Each row tells whether the summary was updated; a failed step leaves the stored summary as it is. Requests that
+    are not valid, or name a session more than once, come back with their reason.
     """
-    valid = requests.withColumn("request_reason", update_request_reason())
+    repeated = F.count(F.lit(1)).over(Window.partitionBy(*SESSION)) > 1
+    valid = requests.withColumn("request_reason", F.coalesce(
+        update_request_reason(), F.when(repeated, "session_repeated")))
+    refused = lookup(valid.filter(F.col("request_reason").isNotNull()), summaries).select(
+        "*", F.col("request_reason").alias("reject_reason"), F.lit(False).alias("updated"),
+        F.col("last_message_id").alias("watermark")).drop("request_reason")
     current = lookup(valid.filter(F.col("request_reason").isNull()), summaries)
     decided = decide(select_prefix(messages, current, counter), policy)
     made = update_prompts(messages, decided).select(
@@ -175,13 +181,14 @@ def update_all(messages: DataFrame, requests: DataFrame, summaries: DataFrame, p
         *SESSION, F.col("generated").alias("content"), F.col("_mark").alias("last_message_id"), "expected_version")
     saved = save(summaries, proposals).select(
         *SESSION, F.col("outcome"), F.col("version").alias("new_version"), F.col("content").alias("new_content"))
-    return decided.join(saved, SESSION, "left").withColumns({
+    done = decided.join(saved, SESSION, "left").withColumns({
         "updated": F.coalesce(F.col("outcome") == "accepted", F.lit(False)),
         "version": F.coalesce("new_version", "version"),
         "content": F.coalesce("new_content", "content"),
         "watermark": F.when(F.col("outcome") == "accepted", F.col("next_watermark"))
         .otherwise(F.col("last_message_id")),
     }).drop("new_version", "new_content", "request_reason")
+    return done.unionByName(refused, allowMissingColumns=True)
 
 
 def unread(messages: DataFrame, summaries: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -45,9 +45,15 @@ def nearest(queries: DataFrame, points: DataFrame, tenant: str, limit: int | Col
     asked = compute_once(queries, query_vector=F.col("query_vector"))
     asked = asked.filter(vector_reason(F.col("query_vector")).isNull()).withColumn(
         "query_vector", unit(F.col("query_vector")))
-    stored = compute_once(points, vector=F.col("vector"))
+    # Points of tenants that nobody asks are dropped on the stored column, before their vectors are touched.
+    stored = compute_once(points.join(queries.select(tenant).distinct(), tenant, "left_semi"), vector=F.col("vector"))
     stored = stored.filter(vector_reason(F.col("vector")).isNull()).withColumn("vector", unit(F.col("vector")))
     pairs = stored.join(asked, tenant)
+    # A point of another dimension has no cosine with the question; it stops the job instead of taking a place.
+    alien = F.size("vector") != F.size("query_vector")
+    pairs = pairs.withColumn("point_id", F.when(alien, F.raise_error(F.concat(
+        F.lit("vector of another dimension: "), F.col("point_id").cast("string"))).cast(points.schema["point_id"].dataType))
+        .otherwise(F.col("point_id")))
     if matches is not None:
         pairs = pairs.filter(matches)
     scored = pairs.withColumn("score", F.round(dot(F.col("vector"), F.col("query_vector")), SCORE_DECIMALS))

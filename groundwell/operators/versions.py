@@ -6,11 +6,9 @@ the new ones; a step that is written out can be repeated after a failure from th
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +37,8 @@ MANIFEST_COLUMNS = ["document_version_id", "chunk_id", "structure_kind", "headin
                     "token_count", "point_id"]
 SNAPSHOT_KEY = ["knowledge_scope", "collection"]
 MAX_REPORT_AGE_SECONDS = 300
+#: Characters of a point id that choose its range in a digest: 4096 ranges of hexadecimal ids.
+DIGEST_DIGITS = 3
 
 
 def transition_reasons(changes: DataFrame) -> DataFrame:
@@ -190,15 +190,19 @@ def ingest(documents: DataFrame, policy: ChunkPolicy, collection: str, sources:
     go on. Finished builds are removed before chunking, so unchanged documents cost one hash."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    identified = materialize(builds_of(documents, policy, collection))
+    built = builds_of(documents, policy, collection)
+    # Identities go through the joins without their texts, which come back for unfinished builds only.
+    identified = materialize(built.select(*BUILD, "reject_reason"))
     refused = identified.filter(F.col("reject_reason").isNotNull())
     registered = find_or_create(identified.filter(F.col("reject_reason").isNull()), sources, versions)
     builds = materialize(registered.builds)
     todo = unfinished(builds)
     claimed = claim(registered.versions, todo.select("version_id"))
 
+    texts = built.filter(F.col("reject_reason").isNull()).select(*BUILD, "format", "content").join(
+        materialize(todo.select("version_id", *BUILD).dropDuplicates(["version_id"])), BUILD)
     chunked = materialize(chunk_documents(
-        todo.select("version_id", *SOURCE_KEY, "source_ref", "format", "content"), policy, counter))
+        texts.select("version_id", *SOURCE_KEY, "source_ref", "format", "content"), policy, counter))
     rows = explode_chunks(chunked, counter).withColumn("vector", embed(F.col("text")))
     rows = materialize(rows.withColumns({
         "vector_reason": shape_reason(F.col("vector")),
@@ -256,32 +260,24 @@ def snapshot_chunks(versions: DataFrame, sources: DataFrame, manifests: DataFram
 
 
 def manifest_digests(chunks: DataFrame, keys: list[str] = SNAPSHOT_KEY) -> DataFrame:
-    """SHA-256 over the rows of each snapshot in (point id, chunk id) order.
+    """One SHA-256 per snapshot, the same whatever the order of arrival.
 
-    A digest reads its rows in order and is one value per snapshot, so they pass through one hasher; they arrive sorted
-    from the shuffle and stream through it in constant memory, which holds whatever the size of the snapshot.
+    The digest has two levels and names its form. Rows are hashed in (point id, chunk id) order within ranges of the
+    first ``DIGEST_DIGITS`` characters of the point id, each range for itself, and the digests of the ranges are hashed
+    in order. So one large snapshot is spread over many tasks, and a few thousand short digests meet in the last step.
     """
-    text = F.concat(*[F.concat(F.col(c).cast("string"), F.lit("\x00")) for c in
-                      ("ordinal", "chunk_id", "content_hash", "point_id", "token_count")])
-    ordered = chunks.select(*keys, "point_id", "chunk_id", text.alias("row")).repartition(*keys).sortWithinPartitions(
-        *keys, "point_id", "chunk_id").select(*keys, "row")
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, hasher, size = None, None, 0
-        for batch in batches:
-            for key, part in batch.groupby(keys, sort=False):
-                if key != current:
-                    if current is not None:
-                        yield pd.DataFrame([(*current, hasher.hexdigest(), size)], columns=[*keys, "digest", "rows"])
-                    current, hasher, size = key, hashlib.sha256(), 0
-                hasher.update("".join(part["row"]).encode("utf-8"))
-                size += len(part)
-        if current is not None:
-            yield pd.DataFrame([(*current, hasher.hexdigest(), size)], columns=[*keys, "digest", "rows"])
-
-    schema = ", ".join(f"{k} string" for k in keys) + ", digest string, rows long"
-    return ordered.mapInPandas(digest, schema).select(
-        *keys, F.col("digest").alias("manifest_digest"), F.col("rows").alias("chunk_count"))
+    row = F.concat(*[F.concat(F.col(c).cast("string"), F.lit("\x00")) for c in
+                     ("ordinal", "chunk_id", "content_hash", "point_id", "token_count")])
+    ranges = chunks.select(
+        *keys, F.substring("point_id", 1, DIGEST_DIGITS).alias("_range"), F.struct("point_id", "chunk_id", row.alias("row")).alias("_row")
+    ).groupBy(*keys, "_range").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    hashed = ranges.select(*keys, F.size("_rows").cast("long").alias("_size"), F.struct("_range", F.sha2(
+        F.array_join(F.transform("_rows", lambda r: r["row"]), ""), 256).alias("digest")).alias("_part"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda p: F.concat(
+        p["_range"], F.lit(":"), p["digest"], F.lit(";"))), "")
+    return hashed.groupBy(*keys).agg(
+        F.sha2(F.concat(F.lit(f"ranges-{DIGEST_DIGITS}"), parts), 256).alias("manifest_digest"),
+        F.sum("_size").alias("chunk_count"))
 
 
 def snapshot_issues(members: DataFrame, versions: DataFrame, sources: DataFrame,
@@ -388,11 +384,21 @@ def rollback_outcomes(requests: DataFrame, aliases: DataFrame, issues: DataFrame
 
 
 def switched_aliases(aliases: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The alias table after the accepted requests; one target per alias."""
-    moved = outcomes.filter(F.col("outcome") == "activated").groupBy("alias").agg(F.max("collection").alias("collection"))
+    """The alias table after the accepted requests. Requests that move one alias to different targets move it nowhere;
+    :func:`switch_conflicts` names them."""
+    moved = outcomes.filter(F.col("outcome") == "activated").groupBy("alias").agg(
+        F.max("collection").alias("collection"), F.min("collection").alias("_other")).filter(
+        F.col("collection") == F.col("_other")).drop("_other")
     return aliases.join(moved.select("alias"), "alias", "left_anti").unionByName(moved)
 
 
+def switch_conflicts(outcomes: DataFrame) -> DataFrame:
+    """P30 for aliases: accepted requests that name different targets for one alias."""
+    asked = outcomes.filter(F.col("outcome") == "activated").groupBy("alias").agg(
+        F.array_sort(F.collect_set("collection")).alias("collections"))
+    return asked.filter(F.size("collections") > 1)
+
+
 def activate_versions(sources: DataFrame, versions: DataFrame, members: DataFrame,
                       now: Column) -> tuple[DataFrame, DataFrame]:
     """Set the live version of every source in the scopes of ``members`` (knowledge_scope,
@@ -415,16 +421,24 @@ def activate_versions(sources: DataFrame, versions: DataFrame, members: DataFram
     return new_sources, new_versions
 
 
-def needs_reconciliation(aliases: DataFrame, sources: DataFrame, versions: DataFrame, alias: str) -> DataFrame:
-    """Scopes whose live versions are not in the collection the alias points to."""
-    target = aliases.filter(F.col("alias") == alias).select(F.col("collection").alias("alias_collection"))
-    live = sources.filter(F.col("active_version_id").isNotNull()).select(
-        "knowledge_scope", F.col("active_version_id").alias("id")).join(
-        versions.select("id", F.col("target_collection").alias("live_collection")), "id")
-    pairs = live.select("knowledge_scope", "live_collection").distinct()
-    # The alias table gives one row here, so this is a lookup and not a product.
-    return pairs.withColumn("alias_collection", target.agg(F.max("alias_collection").alias("t")).scalar()).filter(
-        ~F.col("live_collection").eqNullSafe(F.col("alias_collection")))
+def needs_reconciliation(aliases: DataFrame, sources: DataFrame, versions: DataFrame, alias: Column) -> DataFrame:
+    """Scopes whose live versions are not in the collection their alias points to, ``live_collection`` null where the
+    alias was moved to finished versions of a scope that has nothing live. ``alias`` names the alias of a
+    ``knowledge_scope``; an alias with several targets is compared with each.
+    """
+    owned = sources.select("knowledge_scope", F.col("id").alias("document_source_id"), "active_version_id")
+    live = owned.filter(F.col("active_version_id").isNotNull()).join(
+        versions.select(F.col("id").alias("active_version_id"), F.col("target_collection").alias("live_collection")),
+        "active_version_id").select("knowledge_scope", "live_collection").distinct()
+    built = owned.join(versions.filter(F.col("status").isin(*FINISHED)), "document_source_id").select(
+        "knowledge_scope", F.col("target_collection").alias("alias_collection")).distinct()
+    targets = owned.select("knowledge_scope").distinct().withColumn("alias", alias).join(
+        aliases.select("alias", F.col("collection").alias("alias_collection")), "alias").drop("alias")
+    half_done = targets.join(built, ["knowledge_scope", "alias_collection"], "left_semi").join(
+        live.select("knowledge_scope").distinct(), "knowledge_scope", "left_anti").select(
+        "knowledge_scope", F.lit(None).cast("string").alias("live_collection"), "alias_collection")
+    moved = live.join(targets, "knowledge_scope").filter(F.col("live_collection") != F.col("alias_collection"))
+    return moved.select("knowledge_scope", "live_collection", "alias_collection").unionByName(half_done)
 
 
 def switch_view(spark: SparkSession, alias: str, table: str) -> None:

@@ -1,6 +1,7 @@
 """Context assembly for chat requests: retrieval, packing, budgets, history, summary, final prompt.
 
-All requests of a batch run together; a session has one request per batch, as its summary can be advanced only once.
+All requests of a batch run together. A summary can be advanced only once per batch, so requests that use the summary of one
+session are refused when there are several; other requests may share a session.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from groundwell.functions.tokens import CODE_POINTS, TokenCounter
 from groundwell.functions.vectors import hash_embedding
 from groundwell.operators import context, history, summary, vector
 from groundwell.operators.history import SESSION
+from groundwell.operators.skew import largest
 from groundwell.operators.stages import materialize
 
 
@@ -41,16 +43,17 @@ def _retrieved(requests: DataFrame, memory_points: DataFrame, document_points: D
 
 
 def _windows(requests: DataFrame, messages: DataFrame, counter: TokenCounter, fetch: int) -> DataFrame:
-    """B09 and B10 per request over the newest messages of its session, at most ``fetch`` of them."""
-    recent = history.recent(messages.join(requests.select(*SESSION).distinct(), SESSION, "left_semi"), fetch)
-    counted = recent.withColumn("tokens", history.message_tokens(counter))
-    joined = counted.join(requests.select("request_id", *SESSION, "history_mode", "history_budget", "recent_limit"), SESSION)
+    """B09 and B10 per request: the newest messages of its session, as many as it asks for. Only a token mode without a
+    limit of its own is bounded by ``fetch``."""
     limit = F.when(F.col("recent_limit") > 0, F.col("recent_limit")).otherwise(
         F.when(F.col("history_mode") == "count", 0).otherwise(fetch))
-    inside = joined.filter(F.col("age") <= limit)
+    asked = requests.select("request_id", *SESSION, "history_mode", "history_budget", limit.alias("_limit"))
+    most = largest(asked, "_limit")[0]
+    recent = history.recent(messages.join(asked.select(*SESSION).distinct(), SESSION, "left_semi"), most)
+    joined = recent.withColumn("tokens", history.message_tokens(counter)).join(asked, SESSION)
     newest = Window.partitionBy("request_id").orderBy("age").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.sum("tokens").over(newest)
-    return inside.withColumn("running_tokens", running).filter(
+    inside = joined.filter(F.col("age") <= F.col("_limit")).drop("_limit")
+    return inside.withColumn("running_tokens", F.sum("tokens").over(newest)).filter(
         (F.col("history_mode") == "count") | (F.col("running_tokens") <= F.col("history_budget")))
 
 
@@ -60,7 +63,9 @@ def assemble(requests: DataFrame, messages: DataFrame, memory_points: DataFrame,
              generate: Callable[[Column], Column] = summary.first_and_last,
              counter: TokenCounter = CODE_POINTS) -> DataFrame:
     """One row per request: the prompt with its budget, or the reason there is none."""
-    judged = materialize(requests.withColumn("reject_reason", history.chat_request_reason()))
+    shared = F.count_if("use_session_summary").over(Window.partitionBy(*SESSION)) > 1
+    judged = materialize(requests.withColumn("reject_reason", F.coalesce(
+        history.chat_request_reason(), F.when(F.col("use_session_summary") & shared, "session_repeated"))))
     valid = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     retrieved = _retrieved(valid, memory_points, document_points, embed, counter)
     block = F.coalesce("rendered", F.lit(""))
@@ -94,7 +99,9 @@ def assemble(requests: DataFrame, messages: DataFrame, memory_points: DataFrame,
         *SESSION, F.col("content").alias("summary"), F.col("version").alias("summary_version"),
         F.col("watermark").alias("summary_watermark"), F.col("trigger_reason").alias("summary_trigger_reason"),
         F.col("updated").alias("summary_updated"), F.col("reject_reason").alias("summary_reason"))
-    with_summary = going.join(updated, SESSION, "left")
+    with_summary = going.withColumn("_key", F.when(F.col("use_session_summary"), F.col("request_id"))).join(
+        updated.join(going.filter("use_session_summary").select(F.col("request_id").alias("_key"), *SESSION), SESSION)
+        .drop(*SESSION), "_key", "left").drop("_key")
     has_summary = F.coalesce("summary_version", F.lit(0)) > 0
     note = summary_block(F.col("summary"))
     final_system = F.when(has_summary, combined_system(F.col("system_prompt"), note)).otherwise(F.col("system_prompt"))

@@ -46,14 +46,15 @@ GOLDEN_CASES = T.StructType([
 ])
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Read one input table; spread it when the files hold fewer splits than there are cores.
+#: A session that reads a few small files may ask for so many partitions. Unset, files are split as the session says.
+READ_PARTITIONS = "spark.groundwell.readPartitions"
+
 
-    Large inputs always have more splits than cores and are left as they are.
-    """
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Read one input table."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = spark.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def create_tables(spark: SparkSession, database: str, location: str | None = None) -> list[str]:

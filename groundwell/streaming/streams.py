@@ -16,8 +16,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
 from groundwell.operators.history import SESSION, message_tokens
-from groundwell.operators.memory import SOURCE_SPAN, apply_candidates
-from groundwell.operators.summary import BELOW, BOTH, BY_MESSAGES, BY_TOKENS, NO_EVICTED, TriggerPolicy
+from groundwell.operators.memory import apply_candidates
+from groundwell.operators.summary import TriggerPolicy, trigger_reason
 from groundwell.sources import tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -89,8 +89,7 @@ def recent_windows(messages: DataFrame, budget: int, fetch: int = 50,
 # --- T03 -----------------------------------------------------------------------------------------------------------
 
 
-def memory_stream(candidates: DataFrame, messages: DataFrame, folder: str, checkpoint: str,
-                  span: int = SOURCE_SPAN) -> StreamingQuery:
+def memory_stream(candidates: DataFrame, messages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch of candidates is resolved against the items stored so far.
 
     Items and evidence of a batch go to a folder named after the batch, and the batch reads the folder of the one
@@ -106,7 +105,7 @@ def memory_stream(candidates: DataFrame, messages: DataFrame, folder: str, check
 
     def apply(batch_rows: DataFrame, batch: int) -> None:
         items, evidence = stored(batch - 1, "memory_items"), stored(batch - 1, "memory_item_evidence")
-        after, fresh = apply_candidates(batch_rows, items, messages, evidence, span)
+        after, fresh = apply_candidates(batch_rows, items, messages, evidence)
         unstamped = {"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}
         after.withColumns(unstamped).write.mode("overwrite").parquet(f"{folder}/memory_items/batch={batch}")
         fresh.withColumn("created_at", unstamped["created_at"]).unionByName(evidence).write.mode("overwrite").parquet(
@@ -118,58 +117,78 @@ def memory_stream(candidates: DataFrame, messages: DataFrame, folder: str, check
 
 # --- T04 -----------------------------------------------------------------------------------------------------------
 
-TRIGGER_SCHEMA = ("session_id string, user_id string, unsummarized_messages long, unsummarized_tokens long, "
-                  "evicted_messages long, trigger_reason string")
+COUNTS_SCHEMA = ("session_id string, user_id string, unsummarized_messages long, unsummarized_tokens long, "
+                 "evicted_messages long, late_messages long")
 
 
 class SummaryTrigger(StatefulProcessor):
-    """Counts per session since the watermark, and the newest ids that are still inside a count window."""
+    """The messages of a session behind its watermark, by id: what arrives in which batch and order does not matter, and a
+    replayed message is counted once. A saved summary moves the watermark and takes its messages out of the state, so the
+    state holds what is not summarised yet. Messages at or below the watermark are reported as late, not counted."""
 
-    def __init__(self, keep: int, policy: TriggerPolicy):
-        self.keep, self.policy = keep, policy
+    def __init__(self, keep: int):
+        self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "messages long, tokens long, newest long")
+        self.waiting = handle.getMapState("waiting", "id long", "tokens long")
+        self.mark = handle.getValueState("mark", "id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        messages, tokens, newest = tuple(self.state.get()) if self.state.exists() else (0, 0, 0)
+        mark = before = self.mark.get()[0] if self.mark.exists() else 0
+        arrived: dict[int, int] = {}
         for batch in rows:
-            # Ids rise within a session; a replayed message is not newer than what was counted.
-            fresh = batch[batch["id"] > newest]
-            messages += len(fresh)
-            tokens += int(fresh["tokens"].sum())
-            newest = max(newest, int(batch["id"].max()))
-        self.state.update((messages, tokens, newest))
-        evicted = max(messages - self.keep, 0)
-        by_messages, by_tokens = messages >= self.policy.min_messages, tokens >= self.policy.min_tokens
-        reason = (NO_EVICTED if evicted == 0 else BOTH if by_messages and by_tokens else BY_MESSAGES if by_messages
-                  else BY_TOKENS if by_tokens else BELOW)
-        yield pd.DataFrame([(*key, messages, tokens, evicted, reason)], columns=[
-            "session_id", "user_id", "unsummarized_messages", "unsummarized_tokens", "evicted_messages",
-            "trigger_reason"])
+            saved = batch["saved"].to_numpy(bool)
+            if saved.any():
+                mark = max(mark, int(batch["id"][saved].max()))
+            arrived |= dict(zip(batch["id"][~saved].tolist(), batch["tokens"][~saved].tolist()))
+        held = {k[0]: v[0] for k, v in self.waiting.iterator()}
+        for i in [i for i in held if i <= mark]:
+            self.waiting.removeKey((i,))
+            del held[i]
+        for i, tokens in arrived.items():
+            if i > mark and i not in held:
+                held[i] = tokens
+                self.waiting.updateValue((i,), (tokens,))
+        if mark > before:
+            self.mark.update((mark,))
+        yield pd.DataFrame(
+            [(*key, len(held), sum(held.values()), max(len(held) - self.keep, 0), sum(i <= before for i in arrived))],
+            columns=[c.split()[0] for c in COUNTS_SCHEMA.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def summary_triggers(messages: DataFrame, keep: int, policy: TriggerPolicy,
-                     counter: TokenCounter = CODE_POINTS) -> DataFrame:
-    """The trigger decision of every session that received messages; a count window of ``keep`` stays raw."""
-    rows = messages.select(*SESSION, "id", message_tokens(counter).alias("tokens"))
-    return rows.groupBy(*SESSION).transformWithStateInPandas(
-        statefulProcessor=SummaryTrigger(keep, policy), outputStructType=TRIGGER_SCHEMA, outputMode="update",
-        timeMode="none")
+def summary_triggers(messages: DataFrame, keep: int, policy: TriggerPolicy, counter: TokenCounter = CODE_POINTS,
+                     saved: DataFrame | None = None) -> DataFrame:
+    """The trigger decision of every session that received messages or a saved summary (``last_message_id``); a count
+    window of ``keep`` stays raw."""
+    rows = messages.select(*SESSION, "id", message_tokens(counter).cast("long").alias("tokens"), F.lit(False).alias("saved"))
+    if saved is not None:
+        rows = rows.unionByName(saved.select(
+            *SESSION, F.col("last_message_id").alias("id"), F.lit(0).cast("long").alias("tokens"), F.lit(True).alias("saved")))
+    counts = rows.groupBy(*SESSION).transformWithStateInPandas(
+        statefulProcessor=SummaryTrigger(keep), outputStructType=COUNTS_SCHEMA, outputMode="update", timeMode="none")
+    return counts.withColumn("trigger_reason", trigger_reason(policy))
 
 
 # --- helpers -------------------------------------------------------------------------------------------------------
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """An input table as a stream of its files."""
+    """An input table as a stream of its files, one per micro-batch."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}*.parquet")
 
 
+def stream_parts(df: DataFrame, path: str, parts: int = 5) -> DataFrame:
+    """``df`` dealt out over files at random, as a stream of one file per micro-batch; the first file comes twice."""
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    dealt.unionByName(dealt.filter("_part = 0").withColumn("_part", F.lit(parts))).repartition(parts + 1, "_part").drop(
+        "_part").write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def run_updates(updates: DataFrame, path: str) -> DataFrame:
     """Drain a stream of updates into ``path`` and return the last row of each session."""
     checkpoint = f"{path}/_checkpoint-{uuid.uuid4().hex}"

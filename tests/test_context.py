@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwell.operators import context, evaluate, history, lexical, summary, vector
-from groundwell.operators.skew import lag_within_key, order_bucket, top_n
+from groundwell.operators.skew import lag_within_key, order_buckets, top_n
 from groundwell.streaming.streams import RecentWindow
 
 HITS = ("query_id long, source string, id string, content string, score double, user_id string, knowledge_scope string, "
@@ -138,7 +138,7 @@ def test_salted_top_n_and_bucketed_lag_equal_the_plain_windows(spark):
         best = sorted((-v, i) for kk, i, v in rows if kk == k)[: k + 1]
         want |= {(k, i, n) for n, (_, i) in enumerate(best, 1)}
     assert got == want
-    lagged = lag_within_key(df.withColumn("b", order_bucket(F.col("i"), 13)), ["k"], "b", ["i"], F.col("v"), "p")
+    lagged = lag_within_key(df.withColumn("b", order_buckets(df, "i", rows=13)), ["k"], "b", ["i"], F.col("v"), "p")
     previous, want = {}, set()
     for k, i, v in rows:
         want.add((i, previous.get(k)))

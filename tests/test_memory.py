@@ -13,9 +13,9 @@ def candidate(position, operation, key, value, source, user="u", kind="goal"):
     return (user, "s", position, operation, kind, key, value, 1.0, [source])
 
 
-def resolve(spark, candidates, items=(), span=1000):
+def resolve(spark, candidates, items=(), rows=1000):
     rows = memory.resolve_batch(spark.createDataFrame(list(candidates), CANDIDATES),
-                                spark.createDataFrame(list(items), ITEMS), span)
+                                spark.createDataFrame(list(items), ITEMS), rows)
     return rows.orderBy("source_id", "position").collect()
 
 
@@ -68,8 +68,8 @@ def test_random_chains_match_the_loop_across_bucket_borders(spark):
                         f"k{random.randint(0, 4)}", random.choice(["a  a", "B", "c"]), random.randint(1, 400),
                         "u0" if random.random() < 0.6 else f"u{random.randint(0, 5)}") for p in range(600)]
     want = loop(events, items)
-    for span in (7, 100_000):
-        got = {r.position: r for r in resolve(spark, events, items, span)}
+    for rows in (7, 100_000):
+        got = {r.position: r for r in resolve(spark, events, items, rows)}
         for position, action, new in want:
             row = got[position]
             assert row.action == action
