@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.functions import identity as ids
+from groundwell.functions.memory import memory_point_reason
 from groundwell.functions.render import memory_text
 from groundwell.functions.text import compute_once, first_reason, is_blank, trim
 from groundwell.functions.vectors import dot, unit, vector_reason
@@ -159,6 +160,26 @@ def retrieved_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("reject_reason", reason).withColumns({c: trim(F.col(c)) for c in fields})
 
 
+def require_intact(results: DataFrame, reason: Column) -> DataFrame:
+    """A retrieved point that breaks a payload rule stops the job."""
+    broken = F.raise_error(F.concat(F.lit("stored point is not intact: "), F.col("point_id").cast("string"), F.lit(": "), reason))
+    # The check is part of a column that is kept, so it cannot be pruned away.
+    return results.withColumn("score", F.when(reason.isNull(), F.col("score")).otherwise(broken.cast("double")))
+
+
+def intact_documents(results: DataFrame) -> DataFrame:
+    """P13, P27 on search results."""
+    required = [(is_blank(F.col(c)), f"{c}_required") for c in ("knowledge_scope", "document_id", "chunk_id", "text")]
+    return require_intact(results, F.coalesce(payload_reason(), first_reason(*required)))
+
+
+def intact_memories(results: DataFrame) -> DataFrame:
+    """P14 on search results. A point without an ``item_id`` of its own is its item."""
+    if "item_id" not in results.columns:
+        results = results.withColumn("item_id", F.col("point_id"))
+    return require_intact(results.withColumn("requested_user_id", trim(F.col("user_id"))), memory_point_reason())
+
+
 # --- both sources --------------------------------------------------------------------------------------------------
 
 
@@ -206,14 +227,14 @@ def dual_retrieve(requests: DataFrame, memory_points: DataFrame, document_points
     scoped = valid.filter("use_documents").select(
         "query_id", trim(F.col("knowledge_scope")).alias("knowledge_scope"), "query_vector",
         F.col("document_limit").alias("_limit"))
-    found = memory_hits(search_memory(personal, memory_points, F.col("_limit"))).unionByName(
-        document_hits(search_documents(scoped, document_points, F.col("_limit"))))
+    found = memory_hits(intact_memories(search_memory(personal, memory_points, F.col("_limit")))).unionByName(
+        document_hits(intact_documents(search_documents(scoped, document_points, F.col("_limit")))))
     return require_own_tenant(found, requests)
 
 
 def retrieval_warnings(requests: DataFrame) -> DataFrame:
     """A request without a usable query vector goes on without context, with a warning instead of hits. Broken
-    tenant or payload rules stop the job in :func:`require_own_tenant`."""
+    tenant and payload rules stop the job in :func:`require_own_tenant` and :func:`require_intact`."""
     reason = vector_reason(F.col("query_vector"))
     return requests.select("query_id", F.when(
         reason.isNotNull(), F.array(F.concat(F.lit("query embedding unavailable: "), reason))

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from groundwell.functions import identity as ids
 from groundwell.functions.tokens import CODE_POINTS
 from groundwell.operators import points, summary, vector, versions
 from groundwell.operators.skew import lag_within_key, order_buckets
@@ -55,6 +56,33 @@ def test_a_point_of_another_dimension_stops_the_search(spark):
     assert [r.point_id for r in vector.search_documents(asked, stored.filter("point_id <> 'b'"), 5).collect()] == ["a"]
 
 
+DOCUMENT = ("point_id string, knowledge_scope string, document_id string, chunk_id string, title string, source_ref string, text string, "
+            "content_hash string, embedding_model string, vector array<double>")
+MEMORY = "point_id long, user_id string, kind string, memory_key string, value string, version long, vector array<double>"
+
+
+@pytest.mark.parametrize("change,message", [
+    ({}, None), ({"point_id": "'x'"}, "point_id_mismatch"), ({"text": "'other'"}, "content_hash_mismatch"),
+    ({"document_id": "' '"}, "document_id_required"), ({"kind": "'nonsense'"}, "kind"), ({"version": "0L"}, "version_not_positive"),
+    ({"vector": "array(1.0D)"}, "another dimension")])
+def test_tampered_points_stop_retrieval(spark, change, message):
+    text = F.lit("some text")
+    documents = spark.createDataFrame([("", "t", "d", "c1", "", "", "", "", "m", [1.0, 0.0])], DOCUMENT).withColumns(
+        {"text": text, "content_hash": ids.trimmed_hash(text), "point_id": ids.point_id(F.col("knowledge_scope"), F.col("chunk_id"))})
+    memories = spark.createDataFrame([(7, "u", "goal", "k", "v", 1, [0.0, 1.0])], MEMORY)
+    documents = documents.withColumns({k: F.expr(v) for k, v in change.items() if k in documents.columns})
+    memories = memories.withColumns({k: F.expr(v) for k, v in change.items() if k in memories.columns and k not in documents.columns})
+    asked = spark.createDataFrame(
+        [(1, "q", "u", "t", True, True, 2, 2, [1.0, 1.0])], "query_id long, query string, user_id string, knowledge_scope string, use_memory boolean, "
+        "use_documents boolean, memory_limit int, document_limit int, query_vector array<double>")
+    found = vector.dual_retrieve(asked, memories, documents)
+    if message is None:
+        assert sorted(r.source for r in found.collect()) == ["document", "memory"]
+    else:
+        with pytest.raises(Exception, match=message):
+            found.collect()
+
+
 def test_scopes_without_a_live_version_need_reconciliation(spark):
     sources = spark.createDataFrame([(1, "a", None), (2, "b", 12), (3, "c", None)], "id long, knowledge_scope string, active_version_id long")
     state = spark.createDataFrame([(11, 1, "new", "ready"), (12, 2, "old", "active"), (13, 3, "new", "failed")],
