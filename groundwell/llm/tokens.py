@@ -26,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,73 +46,118 @@ STEP = 64
 #: Documents in one range of the order, about, where the session has no more partitions.
 RANGE = 50_000
 END = 2
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 
 #: Words that the tokenizer takes as letters, then symbols: two pre-tokens at most, each ending a word.
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:;=?@\\[-`{}~]*)")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-class Encoder:
-    """Encodes texts through a cache of words."""
-
-    def __init__(self, path: str):
-        self.path, self.tokenizer, self.cache = path, None, {}
+class _Slots(dict):
+    """Numbers words in the order of their first appearance."""
 
-    def __getstate__(self) -> str:
-        return self.path
+    def __init__(self):
+        self.fresh: list[bytes] = []
 
-    def __setstate__(self, path: str) -> None:
-        self.__init__(path)
+    def __missing__(self, word: bytes) -> int:
+        slot = self[word] = len(self)
+        self.fresh.append(word)
+        return slot
 
-    def _open(self) -> None:
-        if self.tokenizer is None:
-            self.tokenizer = Tokenizer.from_file(self.path)
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words; plain ones in one go, as each of their parts ends with an end-of-word id."""
-        plain, parts, odd = [], [], []
-        for word in words:
+class Encoder:
+    """Encodes texts through a cache of words, which the tasks of one Python worker share."""
+
+    opened: dict[tuple[str, int], Encoder] = {}
+
+    def __init__(self, path: str, end: int):
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        vocabulary = self.tokenizer.get_vocab()
+        self.stops = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.stops[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    @classmethod
+    def of(cls, path: str, end: int) -> Encoder:
+        if (path, end) not in cls.opened:
+            cls.opened[path, end] = cls(path, end)
+        return cls.opened[path, end]
+
+    def _forget(self) -> None:
+        """Words are numbered, and each is one or two numbered pieces. Piece 0 is empty, and piece 1 is the end id."""
+        self.words, self.pieces = _Slots(), _Slots()
+        self.first = self.second = np.zeros(0, np.int64)
+        self.flat = np.array([self.end], np.uint32)
+        self.starts, self.sizes = np.zeros(2, np.int64), np.arange(2)
+        assert (self.pieces[""], self.pieces["\n"]) == (0, 1)
+        self.pieces.fresh.clear()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self) -> None:
+        """Encode new pieces: plain ones in one go, as the ids of each end with an end-of-word id; odd ones one by one."""
+        new, self.pieces.fresh = self.pieces.fresh, []
+        plain = [p for p in new if p[0] != "\0"]
+        odd = [p[1:] for p in new if p[0] == "\0"]
+        joined = self._ids([" ".join(plain)])[0] if plain else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.stops[joined]) + 1
+        if len(ends) != len(plain):
+            each = self._ids(plain)
+            joined, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        rest = self._ids(odd) if odd else []
+        is_odd = np.array([p[0] == "\0" for p in new], bool)
+        sizes = np.zeros(len(new), np.int64)
+        sizes[~is_odd] = np.diff(ends, prepend=0)
+        sizes[is_odd] = [len(x) for x in rest]
+        starts = np.zeros(len(new), np.int64)
+        starts[~is_odd] = ends - sizes[~is_odd]
+        starts[is_odd] = len(joined) + np.cumsum(sizes[is_odd]) - sizes[is_odd]
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, joined, *rest])
+
+    def _learn(self) -> None:
+        new, self.words.fresh = self.words.fresh, []
+        piece, match = self.pieces.__getitem__, _PLAIN.fullmatch
+        first, second = [], []
+        for word in new:
             text = word.decode("utf-8", "replace")
-            match = _PLAIN.fullmatch(text)
-            if match and text:
-                plain.append(word)
-                parts.append((match[1] != "") + (match[2] != ""))
-            else:
-                odd.append(word)
-        if plain:
-            joined = " ".join([p for w in plain for p in _PLAIN.fullmatch(w.decode()).groups() if p])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum(parts)
-            if len(stops) == last[-1]:
-                edges = [0, *stops[last - 1].tolist()]
-                self.cache.update((w, ids[a:b]) for w, a, b in zip(plain, edges, edges[1:]))
+            if found := match(text):
+                body, tail = found.groups()
+                first.append(piece(body.lower()))
+                second.append(piece(tail))
             else:
-                odd += plain
-        for word, found in zip(odd, self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in odd], add_special_tokens=False) if odd else ()):
-            self.cache[word] = np.array(found.ids, np.uint32)
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        self._open()
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        split = [t.split() if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.cache}
-        if new:
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate(list(map(get, words))) if words else none for words in split]
+                first.append(piece("\0" + text))
+                second.append(0)
+        self.first, self.second = np.append(self.first, first), np.append(self.second, second)
+        if self.pieces.fresh:
+            self._learn_pieces()
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by the end id, and their number per text."""
+        if len(self.words) > CACHED_WORDS:
+            self._forget()
+        # A-Z in lower case is the same word, but not where it could make the name of a special token.
+        split = [(t if b"<|" in t else t.translate(_LOWER)).split() if t else [] for t in texts]
+        words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)
+        if self.words.fresh:
+            self._learn()
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        pieces = np.ones(2 * len(words) + len(split), np.int64)
+        place = 2 * np.arange(len(words)) + np.repeat(np.arange(len(split)), counts)
+        pieces[place], pieces[place + 1] = self.first[words], self.second[words]
+        sizes = self.sizes[pieces]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(self.starts[pieces] - ends + sizes, sizes) + np.arange(total)]
+        last = np.cumsum(2 * counts + 1) - 1
+        return ids, np.diff(ends[last], prepend=0)
 
 
 def raw_blocks(documents: DataFrame, path: str, doc_id: str, text: str, end: int) -> DataFrame:
     """``part, block, doc_ids, tokens, ids`` in ascending order of the ids of documents."""
     spark = documents.sparkSession
-    encoder = Encoder(path)
     kind = _width(path, end)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // RANGE))
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -119,12 +165,15 @@ def raw_blocks(documents: DataFrame, path: str, doc_id: str, text: str, end: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, held, total = TaskContext.get().partitionId(), 0, [], 0
+        encoder = Encoder.of(path, end)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             for i in range(0, len(names), 256):
-                for name, ids in zip(names[i:i + 256], encoder.encode(texts.slice(i, 256).to_pylist())):
-                    held.append((name, np.append(ids, np.uint32(end)).astype(kind)))
-                    total += len(ids) + 1
+                ids, counts = encoder.encode(texts.slice(i, 256).to_pylist())
+                ends = np.cumsum(counts)
+                for name, own in zip(names[i:i + 256], np.split(ids.astype(kind), ends[:-1])):
+                    held.append((name, own))
+                    total += len(own)
                     if total >= BLOCK:
                         yield _block(part, block, held)
                         block, held, total = block + 1, [], 0
