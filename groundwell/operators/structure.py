@@ -8,6 +8,7 @@ all documents when the counter is a Python function, pass through an Arrow UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,6 +24,7 @@ ROOT_PATH = "Document"
 UNIT_KINDS = ("paragraph", "code", "go_preamble", "go_declaration")
 _UNIT = "struct<kind:string,path:string,text:string>"
 _UNITS = f"array<{_UNIT}>"
+FOLD_BATCH = 256
 
 # Markers in front of a block. A text line that happens to start with one of them gets the escape marker.
 _HEADING, _ESCAPE, _CODE = "\x01", "\x02", "\x03"
@@ -144,15 +146,12 @@ def _blocks(lines: Column, fences: Column) -> Column:
 
 def heading_paths(headings: Column) -> Column:
     """The path of each heading; a title stays in force until a heading of its level or above appears."""
-    start = F.struct(_empty("array<struct<level:int,title:string>>").alias("stack"),
-                     _empty("array<string>").alias("paths"))
-
     def step(state: Column, heading: Column) -> Column:
-        stack = F.concat(F.filter(state["stack"], lambda s: s["level"] < heading["level"]), F.array(heading))
+        stack = F.concat(F.filter(state["open"], lambda s: s["level"] < heading["level"]), F.array(heading))
         path = F.array_join(F.transform(stack, lambda s: s["title"]), " / ")
-        return F.struct(stack.alias("stack"), F.concat(state["paths"], F.array(path)).alias("paths"))
+        return F.struct(F.concat(state["done"], F.array(path)).alias("done"), stack.alias("open"))
 
-    return F.aggregate(headings, start, step)["paths"]
+    return _fold(headings, "array<string>", _empty("array<struct<level:int,title:string>>"), step)["done"]
 
 
 def _code_text(lines: Column, block: Column) -> Column:
@@ -242,10 +241,28 @@ def exact_pieces(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(cut)
 
 
+def _fold(items: Column, done: str, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Fold ``items`` into a struct of ``done``, an array that grows, and ``open``.
+
+    Appending copies the array, so each ``FOLD_BATCH`` items fill an array of their own, which is appended as a whole: the
+    cost of copying falls by that factor, and a document twice as long takes twice as long.
+    """
+    def folded(all_items: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_items) / FOLD_BATCH).cast("int") - 1, F.lit(0))
+        batches = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_items, b * FOLD_BATCH + 1, F.lit(FOLD_BATCH)))
+
+        def outer(state: Column, batch: Column) -> Column:
+            inner = F.aggregate(batch, F.struct(_empty(done).alias("done"), state["open"].alias("open")), step)
+            return let(inner, lambda r: F.struct(F.concat(state["done"], r["done"]).alias("done"), r["open"].alias("open")))
+
+        return F.aggregate(batches, F.struct(_empty(done).alias("done"), first.alias("open")), outer)
+
+    return let(items, folded)
+
+
 def packed_sentences(text: Column, limit: int) -> Column:
     """Greedy packing of the sentences of an oversized paragraph."""
     pieces = F.flatten(F.transform(sentences(text), lambda s: exact_pieces(s, limit)))
-    start = F.struct(_empty("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(state: Column, piece: Column) -> Column:
         grown = F.struct(state["done"].alias("done"), F.concat(state["open"], piece).alias("open"))
@@ -256,13 +273,11 @@ def packed_sentences(text: Column, limit: int) -> Column:
     def finish(state: Column) -> Column:
         return F.when(state["open"] != "", F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
 
-    return F.aggregate(pieces, start, step, finish)
+    return let(_fold(pieces, "array<string>", F.lit(""), step), finish)
 
 
 def packed_units(units: Column, limit: int) -> Column:
     """Neighbouring paragraphs under one heading path are joined by a blank line while they fit."""
-    start = F.struct(_empty(_UNITS).alias("done"), F.lit(None).cast(_UNIT).alias("open"))
-
     def step(state: Column, unit: Column) -> Column:
         last = state["open"]
         fits = F.length(last["text"]) + 2 + F.length(unit["text"]) <= limit
@@ -278,7 +293,7 @@ def packed_units(units: Column, limit: int) -> Column:
         return F.when(state["open"].isNull(), state["done"]).otherwise(
             F.concat(state["done"], F.array(state["open"])))
 
-    return F.aggregate(units, start, step, finish)
+    return let(_fold(units, _UNITS, F.lit(None).cast(_UNIT), step), finish)
 
 
 def _with_text(unit: Column, texts: Column) -> Column:
