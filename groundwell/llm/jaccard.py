@@ -228,11 +228,15 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     by_sig = Window.partitionBy("sig")
     shared = materialize(
         signatures(documents, text, size, num, den)
-        .withColumns({"leader": F.min("part").over(by_sig), "last": F.max("part").over(by_sig)})
-        .filter("leader < last").select("sig", "part", "leader").distinct())
+        .withColumns({"low": F.min("part").over(by_sig), "high": F.max("part").over(by_sig)})
+        .filter("low < high").select("sig", "part").distinct())
 
+    # The leader of a piece is the class that meets the most others: near copies are closest to what they were made of.
+    met = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("met"))
+    degrees = shared.join(met, "sig").groupBy("part").agg(F.sum("met").alias("degree"))
+    leaders = shared.join(degrees, "part").groupBy("sig").agg(F.max_by("part", F.struct("degree", "part")).alias("leader"))
     stars = materialize(
-        shared.filter("part <> leader").select("leader", "part").distinct()
+        shared.join(leaders, "sig").filter("part <> leader").select("leader", "part").distinct()
         .join(bounds.alias("a"), F.col("leader") == F.col("a.part")).drop(F.col("a.part"))
         .join(bounds.alias("b"), "part").filter(_possible(num, den)).select(*_pair()).distinct())
     links = materialize(_linked(stars, documents, doc_id, text, classes, size, num, den))
