@@ -8,7 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.operators import versions
+from groundwell.functions.vectors import hash_embedding
+from groundwell.operators import evaluate, vector, versions
 from groundwell.operators.stages import materialize
 from groundwell.operators.structure import ChunkPolicy
 
@@ -22,10 +23,22 @@ class Published(NamedTuple):
     outcomes: DataFrame
 
 
+def golden_report(cases: DataFrame, points: DataFrame) -> DataFrame:
+    """A01, A02 over the points of a collection: the question of each case searched in its scope."""
+    asked = cases.select(F.col("case_id").alias("query_id"), "knowledge_scope", hash_embedding(F.col("query")).alias("query_vector"))
+    hits = materialize(vector.search_documents(asked, points, evaluate.RANKS).select(
+        F.col("query_id").alias("case_id"), "rank", "chunk_id", "knowledge_scope"))
+    return evaluate.report(evaluate.case_results(cases, hits), evaluate.hit_failures(cases, hits))
+
+
 def build_and_publish(documents: DataFrame, policy: ChunkPolicy, collection: str, alias: str, current: str,
                       sources: DataFrame, state: DataFrame, manifests: DataFrame, aliases: DataFrame, vector_size: int,
-                      now: Column) -> Published:
-    """Build ``documents`` into ``collection`` and move ``alias`` from ``current`` to it when every scope verifies."""
+                      now: Column, golden: DataFrame | None = None) -> Published:
+    """Build ``documents`` into ``collection`` and move ``alias`` from ``current`` to it when every scope verifies.
+
+    With a ``golden`` set, its questions are asked of the new points first, and the alias stays where it is unless every
+    case finds what it expects and nothing that it forbids.
+    """
     built = versions.ingest(documents, policy, collection, sources, state, manifests)
     stored_versions, stored_manifests = materialize(built.versions), materialize(built.manifests)
     points = materialize(built.points)
@@ -42,7 +55,12 @@ def build_and_publish(documents: DataFrame, policy: ChunkPolicy, collection: str
         *versions.SNAPSHOT_KEY, F.lit(alias).alias("alias"), F.lit(current).alias("from_collection"),
         F.when(F.col("reject_reason").isNull(), F.col("manifest_digest")).alias("report_digest"),
         F.col("point_count").alias("report_points"), "verified_at")
-    outcomes = materialize(versions.activation_outcomes(asked, digests, aliases, issues, now))
+    outcomes = versions.activation_outcomes(asked, digests, aliases, issues, now)
+    if golden is not None:
+        failed = ~golden_report(golden, points).select("passed").scalar()
+        outcomes = outcomes.withColumn("outcome", F.when(
+            failed & (F.col("outcome") == "activated"), "golden_set_failed").otherwise(F.col("outcome")))
+    outcomes = materialize(outcomes)
     # One alias serves all scopes, so a single refused scope keeps it where it is.
     refused = outcomes.filter(F.col("outcome") != "activated").agg(F.count(F.lit(1)).alias("n")).scalar()
     accepted = outcomes.filter(refused == 0)

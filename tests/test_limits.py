@@ -11,7 +11,9 @@ from groundwell.functions.tokens import CODE_POINTS
 from groundwell.operators import points, summary, vector, versions
 from groundwell.operators.skew import lag_within_key, order_buckets
 from groundwell.operators.splitting import Splitter
-from groundwell.plans import chat
+from groundwell.operators.structure import ChunkPolicy, structured_chunks
+from groundwell.plans import chat, publish
+from groundwell.sources import tables
 from groundwell.streaming.streams import SummaryTrigger
 
 
@@ -190,3 +192,23 @@ def test_line_pieces_by_search_match_every_length_tried():
         fenced = draw.random() < 0.4
         limit, overlap = draw.randint(44 if fenced else 3, 50 if fenced else 14), draw.randint(0, 3)
         assert Splitter(len, limit, overlap, additive=True).code("\n".join(rows), fenced) == naive("\n".join(rows), limit, overlap, fenced)
+
+
+@pytest.mark.parametrize("wrong", [False, True])
+def test_a_golden_set_guards_publication(spark, wrong):
+    texts = [f"alpha{i} beta{i * 3} gamma{i * 7} delta{i}" for i in range(10)]
+    documents = spark.createDataFrame([("scope", "doc", "doc.md", "markdown", "\n\n".join(texts), "t")],
+                                      "knowledge_scope string, document_id string, source_ref string, format string, content string, title string")
+    policy = ChunkPolicy(40)
+    chunks = {r.text: r.chunk_id for r in structured_chunks(documents, policy).collect()}
+    assert len(chunks) == 10
+    cases = [(f"c{i}", t, "scope", [chunks[texts[(i + wrong) % 10 if i == 4 else i]]], ["none"], "") for i, t in enumerate(texts)]
+    if wrong:
+        cases[4] = (*cases[4][:3], ["missing"], *cases[4][4:])
+    nothing = {n: spark.createDataFrame([], tables.SCHEMAS[n]) for n in ("document_sources", "document_versions", "document_chunk_manifests")}
+    done = publish.build_and_publish(
+        documents, policy, "ctx_documents_b", "live", "ctx_documents_a", nothing["document_sources"], nothing["document_versions"],
+        nothing["document_chunk_manifests"], spark.createDataFrame([("live", "ctx_documents_a")], "alias string, collection string"),
+        64, F.lit("2024-01-01 00:00:00").cast("timestamp"), spark.createDataFrame(cases, tables.GOLDEN_CASES))
+    assert [r.outcome for r in done.outcomes.collect()] == ["golden_set_failed" if wrong else "activated"]
+    assert [r.collection for r in done.aliases.collect()] == ["ctx_documents_a" if wrong else "ctx_documents_b"]
