@@ -54,8 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
-def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
-    """``row`` (all columns), ``size, source_size, target, copies`` for every document."""
+def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED,
+        keep: tuple[str, ...] = ("*",)) -> DataFrame:
+    """``row`` (the columns ``keep``), ``size, source_size, target, copies`` for every document. Only what ``row`` holds is
+    shuffled beside the keys."""
     digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     size = words(F.col(text))
     key = {"source_key": key_of(source), "size": size, "digest": digest}
@@ -78,7 +80,7 @@ def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     share = F.col("expected") - F.floor("expected")
     crossed = (F.floor(F.col("offset") + F.col("rank") * share) - F.floor(F.col("offset") + (F.col("rank") - 1) * share))
     return (
-        documents.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in key.items()]).withColumns(bucket)
+        documents.select(F.struct(*keep).alias("row"), *[c.alias(n) for n, c in key.items()]).withColumns(bucket)
         .join(plan, names)
         .withColumn("rank", F.col("before") + F.row_number().over(ordered))
         .select("row", "size", "source_size", "target", (F.floor("expected") + crossed).cast("int").alias("copies"))
@@ -126,5 +128,5 @@ FROM ranked JOIN aims USING (source_key)
 
 @query("op8_source_mixing", SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    mixed = mix(table(spark, folder, "documents"), keep=("doc_id",))
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
