@@ -93,5 +93,5 @@ def _echo():
   SELECT session_id, user_id, 'goal' AS kind, 'first_words' AS key, id AS cited FROM firsts""")
 def _(spark, folder):
     window = history.recent(tables.messages(spark, folder), 6).withColumn("summary", F.lit(""))
-    found = memory.extract(materialize(window), generator(_echo))
+    found = memory.extract(materialize(window), generator(_echo)).candidates
     return found.select("session_id", "user_id", "kind", "key", F.get("source_message_ids", F.lit(0)).alias("cited"))

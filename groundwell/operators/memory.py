@@ -8,6 +8,7 @@ per-bucket totals, so a key that holds a large share of all events is worked on
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,14 +135,23 @@ def validate_candidates(candidates: DataFrame, messages: DataFrame, keys: list[s
     }).drop("_own")
 
 
-def extract(messages: DataFrame, generate: Callable[[Column], Column]) -> DataFrame:
-    """Prompt, generate, decode, validate. One bad candidate refuses the whole request of its session."""
+class Extracted(NamedTuple):
+    candidates: DataFrame
+    refused: DataFrame
+
+
+def extract(messages: DataFrame, generate: Callable[[Column], Column]) -> Extracted:
+    """Prompt, generate, decode, validate. One bad candidate refuses the whole request of its session; ``refused`` has
+    each refused session with the first reason."""
     prompts = extraction_prompts(messages)
-    decoded = decode_candidates(prompts.withColumn("raw", generate(F.col("prompt"))).drop("prompt"))
-    rows = explode_candidates(decoded)
-    checked = validate_candidates(rows, messages, [*SESSION, "position"])
-    refused = checked.filter(F.col("reject_reason").isNotNull()).select(*SESSION).distinct()
-    return checked.join(refused, SESSION, "left_anti").drop("reject_reason", "asks_to_forget")
+    # Replies are generated once and read twice.
+    decoded = materialize(decode_candidates(prompts.withColumn("raw", generate(F.col("prompt"))).drop("prompt")))
+    checked = materialize(validate_candidates(explode_candidates(decoded), messages, [*SESSION, "position"]))
+    unread = decoded.filter(F.col("reject_reason").isNotNull()).select(*SESSION, "reject_reason")
+    bad = checked.filter(F.col("reject_reason").isNotNull()).groupBy(*SESSION).agg(
+        F.min_by("reject_reason", "position").alias("reject_reason"))
+    refused = unread.unionByName(bad)
+    return Extracted(checked.join(refused.select(*SESSION), SESSION, "left_anti").drop("reject_reason", "asks_to_forget"), refused)
 
 
 # --- reading -------------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: list[str] = []
+_made: list[str] = []
 
 
 def stage_folder(spark: SparkSession) -> str:
@@ -35,11 +36,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{stage_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete stages that no result reads any more, on whatever file system they are."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+def clear(spark: SparkSession) -> None:
+    """Delete all stages of this process, on whatever file system they are. Results that are still lazy read their stages,
+    so the caller writes what it needs first."""
+    while _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import identity as ids
 from groundwell.functions.tokens import CODE_POINTS
-from groundwell.operators import points, summary, vector, versions
+from groundwell.operators import memory, points, summary, vector, versions
 from groundwell.operators.skew import lag_within_key, order_buckets
 from groundwell.operators.splitting import Splitter
 from groundwell.operators.structure import ChunkPolicy, structured_chunks
@@ -212,3 +212,24 @@ def test_a_golden_set_guards_publication(spark, wrong):
         64, F.lit("2024-01-01 00:00:00").cast("timestamp"), spark.createDataFrame(cases, tables.GOLDEN_CASES))
     assert [r.outcome for r in done.outcomes.collect()] == ["golden_set_failed" if wrong else "activated"]
     assert [r.collection for r in done.aliases.collect()] == ["ctx_documents_a" if wrong else "ctx_documents_b"]
+
+
+def test_refused_extractions_come_back_with_their_reason(spark):
+    def reply(kind, cited):
+        return ('{"candidates": [{"operation": "upsert", "kind": "%s", "key": "k", "value": "v", "confidence": 0.5, '
+                '"source_message_ids": [%d]}]}' % (kind, cited))
+
+    replies = {"good": reply("goal", 1), "cites": reply("goal", 99), "kind": reply("nonsense", 3), "text": "no json"}
+    rows = [(i + 1, s, "u", "user", f"I am {s}", "") for i, s in enumerate(replies)]
+    messages = spark.createDataFrame(rows, "id long, session_id string, user_id string, role string, content string, summary string")
+
+    def generate(prompt):
+        out = F.lit(None).cast("string")
+        for name, text in replies.items():
+            out = F.when(F.contains(prompt, F.lit(f"I am {name}")), text).otherwise(out)
+        return out
+
+    found = memory.extract(messages, generate)
+    assert [r.session_id for r in found.candidates.collect()] == ["good"]
+    refused = {r.session_id: r.reject_reason for r in found.refused.collect()}
+    assert refused.keys() == {"cites", "kind", "text"} and refused["cites"] == "source_unknown" and refused["text"] == "not_one_json_object"
