@@ -233,3 +233,16 @@ def test_refused_extractions_come_back_with_their_reason(spark):
     assert [r.session_id for r in found.candidates.collect()] == ["good"]
     refused = {r.session_id: r.reject_reason for r in found.refused.collect()}
     assert refused.keys() == {"cites", "kind", "text"} and refused["cites"] == "source_unknown" and refused["text"] == "not_one_json_object"
+
+
+def test_prefiltered_search_scores_exactly_and_finds_most(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    stored = table.select(F.col("vec_id").alias("point_id"), F.col("label").cast("string").alias("tenant"),
+                          F.col("embedding").cast("array<double>").alias("vector"))
+    asked = stored.filter("point_id < 60").select(F.col("point_id").alias("query_id"), "tenant", F.col("vector").alias("query_vector"))
+    near = {(r.query_id, r.point_id): r.score for r in vector.prefiltered(asked, stored, "tenant", 5, 1.3, tables=12, bucket=1.0).collect()}
+    exact = {(r.query_id, r.point_id): r.score for r in vector.nearest(asked, stored, "tenant", 10 ** 6).collect()}
+    assert near and all(exact[pair] == score for pair, score in near.items())
+    close = {pair for pair, score in exact.items() if 2 - 2 * score <= 1.3 ** 2}
+    assert len(close & near.keys()) >= 0.8 * min(len(close), len(near))
+    assert {(q, q) for q in range(60)} <= near.keys()
