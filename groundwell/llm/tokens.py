@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from groundwell.llm.common import query, table
+from groundwell.llm.common import query, table, whole_texts
 from groundwell.operators.stages import stage_folder
 
 LIMIT = 16
@@ -46,7 +46,7 @@ STEP = 64
 #: Documents in one range of the order, about, where the session has no more partitions.
 RANGE = 50_000
 END = 2
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 #: Words that the tokenizer takes as letters, then symbols: two pre-tokens at most, each ending a word.
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:;=?@\\[-`{}~]*)")
@@ -75,7 +75,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.stops[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
+        self._forget_pieces()
 
     @classmethod
     def of(cls, path: str, end: int) -> Encoder:
@@ -83,10 +83,15 @@ class Encoder:
             cls.opened[path, end] = cls(path, end)
         return cls.opened[path, end]
 
-    def _forget(self) -> None:
-        """Words are numbered, and each is one or two numbered pieces. Piece 0 is empty, and piece 1 is the end id."""
-        self.words, self.pieces = _Slots(), _Slots()
+    def _forget_words(self) -> None:
+        """Words are numbered, and each is one or two numbered pieces."""
+        self.words = _Slots()
         self.first = self.second = np.zeros(0, np.int64)
+
+    def _forget_pieces(self) -> None:
+        """Piece 0 is empty, and piece 1 is the end id."""
+        self._forget_words()
+        self.pieces = _Slots()
         self.flat = np.array([self.end], np.uint32)
         self.starts, self.sizes = np.zeros(2, np.int64), np.arange(2)
         assert (self.pieces[""], self.pieces["\n"]) == (0, 1)
@@ -136,8 +141,10 @@ class Encoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by the end id, and their number per text."""
-        if len(self.words) > CACHED_WORDS:
-            self._forget()
+        if len(self.pieces) > 2 * CACHED_WORDS:
+            self._forget_pieces()
+        elif len(self.words) > CACHED_WORDS:
+            self._forget_words()
         # A-Z in lower case is the same word, but not where it could make the name of a special token.
         split = [(t if b"<|" in t else t.translate(_LOWER)).split() if t else [] for t in texts]
         words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)
@@ -160,7 +167,7 @@ def raw_blocks(documents: DataFrame, path: str, doc_id: str, text: str, end: int
     spark = documents.sparkSession
     kind = _width(path, end)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // RANGE))
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = whole_texts(documents).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
