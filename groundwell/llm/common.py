@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BATCH_BYTES = 8 << 20
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,6 +31,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def whole_texts(texts: DataFrame) -> DataFrame:
+    """Tell the session to hand texts to Python in batches of a few megabytes, however many rows that are, unless it has a
+    bound of its own."""
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH_BYTES)
+    return texts
+
+
 def key_of(column: Column | str) -> Column:
     """A never-null text key, so that null groups with null and joins stay plain equalities."""
     value = F.col(column) if isinstance(column, str) else column

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.llm.automaton import Phrases, words_of
-from groundwell.llm.common import query, table
+from groundwell.llm.common import query, table, whole_texts
 
 WINDOW = 13
 #: One hit word in so many contaminates.
@@ -87,7 +87,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                   item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """``row`` (all columns), ``n_words, n_hit, items, spans, contaminated`` of every document."""
     scans = [_scanner(p) for p in automata(benchmark, item_id, item_text, window)]
-    scanned = documents.select(F.struct("*").alias("row"), *[
+    scanned = whole_texts(documents).select(F.struct("*").alias("row"), *[
         scan(F.col(text).cast("binary")).alias(f"scan{i}") for i, scan in enumerate(scans)])
 
     def merged(field: str) -> Column:

@@ -6,8 +6,9 @@ of each fragment.
 1. **Candidates.** Sets of similar size share a scheme that cuts the order into more fragments than two linked sets can
    differ in, so linked sets agree in one whole fragment. Only hashes of whole pieces are shuffled, about a tenth (0.9) to
    half (0.8) of the n-grams, and rare, since a piece holds several n-grams: frequent n-grams alone never meet.
-2. **Bounds.** Each set carries a parity sketch of 256 bits. The bits in which two sketches differ are at most the n-grams
-   in which the sets differ, so pairs beyond the limit are dropped without losing a link.
+2. **Bounds.** Each set carries parity sketches of 256 and 2048 bits. The bits in which two sketches differ are at most the
+   n-grams in which the sets differ, so pairs beyond the limit are dropped without losing a link. The narrow one meets every
+   pair of a shared piece, the wide one what is left of these, before any n-gram is moved.
 3. **Partial overlaps.** For the pairs that remain, overlaps are counted fragment by fragment and summed per pair.
 
 Equal sets are one class from the start. To join a large group of near copies without forming all of its pairs, every class
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import query, table
+from groundwell.llm.common import query, table, whole_texts
 from groundwell.llm.components import components
 from groundwell.llm.shingles import mix, sets
 from groundwell.operators.stages import materialize
@@ -37,6 +38,7 @@ from groundwell.operators.stages import materialize
 FRAGMENTS = 8
 _U = np.uint64
 _WORDS = [f"s{i}" for i in range(4)]
+WIDE = 2048
 
 
 class Schemes:
@@ -79,6 +81,18 @@ def _bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(starts, append=len(rows))
 
 
+def _wide(bit: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Parity sketches of ``WIDE`` bits, a few hundred sets at a time."""
+    out, ends = [], np.cumsum(counts)
+    for i in range(0, len(counts), 512):
+        own = counts[i:i + 512]
+        places = np.repeat(np.arange(len(own)), own) * WIDE + (bit[ends[i] - counts[i]:ends[i + len(own) - 1]] & _U(WIDE - 1)).astype(np.int64)
+        odd = np.bincount(places, minlength=len(own) * WIDE).astype(np.uint8) & 1
+        out.append(np.packbits(odd.reshape(len(own), WIDE), axis=1).view(np.int64).reshape(-1))
+    words = WIDE // 64
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * words, pa.int32()), pa.array(np.concatenate(out)))
+
+
 def _parts(names: np.ndarray) -> np.ndarray:
     """The first half of each name."""
     return np.ascontiguousarray(names).view(np.int64)[::2].copy()
@@ -90,9 +104,9 @@ def _column(values: np.ndarray) -> pa.Array:
 
 
 def profiles(documents: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """``doc_id, n, cls, part, s0..s3``: set size, name of the set, its first half and a parity sketch of every document that
-    has n-grams."""
-    schema = "doc_id bigint, n bigint, cls binary, part bigint, " + ", ".join(f"{s} bigint" for s in _WORDS)
+    """``doc_id, n, cls, part, s0..s3, wide``: set size, name of the set, its first half and the parity sketches of every
+    document that has n-grams."""
+    schema = "doc_id bigint, n bigint, cls binary, part bigint, " + ", ".join(f"{s} bigint" for s in _WORDS) + ", wide array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +121,10 @@ def profiles(documents: DataFrame, doc_id: str, text: str, size: int) -> DataFra
                 names = _digests(grams, starts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(first + rows[starts])), pa.array(counts, pa.int64()), _column(names),
-                    pa.array(_parts(names)), *[pa.array(s.view(np.int64)) for s in sketch],
-                ], names=["doc_id", "n", "cls", "part", *_WORDS])
+                    pa.array(_parts(names)), *[pa.array(s.view(np.int64)) for s in sketch], _wide(bit, counts),
+                ], names=["doc_id", "n", "cls", "part", *_WORDS, "wide"])
 
-    return documents.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, schema)
+    return whole_texts(documents).select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def signatures(documents: DataFrame, text: str, size: int, num: int, den: int) -> DataFrame:
@@ -132,7 +146,7 @@ def signatures(documents: DataFrame, text: str, size: int, num: int, den: int) -
                 sigs, parts = cut(grams[keep], counts[fresh], _parts(names[fresh]), schemes)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(parts)], names=["sig", "part"])
 
-    return documents.select(F.col(text).cast("binary")).mapInArrow(run, "sig bigint, part bigint")
+    return whole_texts(documents).select(F.col(text).cast("binary")).mapInArrow(run, "sig bigint, part bigint")
 
 
 def cut(grams: np.ndarray, counts: np.ndarray, parts: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +204,7 @@ def pieces(documents: DataFrame, text: str, size: int) -> DataFrame:
                     [_column(names[owner[edges]]), pa.array(fragment[edges].astype(np.int32)), lists],
                     names=["cls", "fragment", "grams"])
 
-    return documents.select(F.col(text).cast("binary")).mapInArrow(run, "cls binary, fragment int, grams array<bigint>")
+    return whole_texts(documents).select(F.col(text).cast("binary")).mapInArrow(run, "cls binary, fragment int, grams array<bigint>")
 
 
 def _differ(num: int, den: int) -> Column:
@@ -206,6 +220,13 @@ def _possible(num: int, den: int) -> Column:
 def _linked(pairs: DataFrame, documents: DataFrame, doc_id: str, text: str, classes: DataFrame, size: int, num: int,
             den: int) -> DataFrame:
     """The pairs ``a, b, na, nb`` that are linked: partial overlaps per fragment, summed per pair."""
+    wide = classes.select("cls", "wide")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    limit = F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num))
+    pairs = materialize(
+        pairs.join(wide.select(F.col("cls").alias("a"), F.col("wide").alias("x")), "a")
+        .join(wide.select(F.col("cls").alias("b"), F.col("wide").alias("y")), "b")
+        .filter(apart <= limit).select("a", "b", "na", "nb"))
     involved = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
                            .join(classes.select("cls", "doc_id"), "cls").select("doc_id").distinct())
     # One document stands for each class; rows that share its id are cut as well and simply not asked for.
@@ -223,8 +244,9 @@ def _linked(pairs: DataFrame, documents: DataFrame, doc_id: str, text: str, clas
 def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n, cls`` of every row with n-grams, and ``cls, component_id, label`` of every class."""
     profile = materialize(profiles(documents, doc_id, text, size))
-    classes = materialize(profile.groupBy("cls", "part", "n", *_WORDS).agg(F.min("doc_id").alias("doc_id")))
-    bounds = classes.drop("doc_id")
+    classes = materialize(profile.groupBy("cls", "part", "n", *_WORDS).agg(
+        F.min("doc_id").alias("doc_id"), F.any_value("wide").alias("wide")))
+    bounds = classes.drop("doc_id", "wide")
     by_sig = Window.partitionBy("sig")
     shared = materialize(
         signatures(documents, text, size, num, den)

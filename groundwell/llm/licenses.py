@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.llm.automaton import Phrases, words_of
-from groundwell.llm.common import query, table
+from groundwell.llm.common import query, table, whole_texts
 
 #: The phrases that always count, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -144,7 +144,7 @@ def scan_licenses(documents: DataFrame, text: str = "text") -> DataFrame:
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([scan(t, machine) for t in texts.to_pylist()], _ARROW)
 
-    return documents.select(F.struct("*").alias("row"), found(F.col(text).cast("binary")).alias("found"))
+    return whole_texts(documents).select(F.struct("*").alias("row"), found(F.col(text).cast("binary")).alias("found"))
 
 
 @query("op5_license_scan")

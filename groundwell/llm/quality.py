@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import key_of, query, table
+from groundwell.llm.common import key_of, query, table, whole_texts
 from groundwell.llm.shingles import slices, word_hashes
 from groundwell.operators.stages import materialize
 
@@ -132,7 +132,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         x = features(texts)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(x.reshape(-1)))
 
-    rows = (documents.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    rows = (whole_texts(documents).select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
             .join(F.broadcast(usable), "id").select("id", "label", measured("text").alias("x"))
             .orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE).toArrow())
     x = rows.column("x").combine_chunks()

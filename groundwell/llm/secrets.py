@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import query, table
+from groundwell.llm.common import query, table, whole_texts
 
 KINDS = ("assign", "access", "hex", "model")
 SAMPLE_DOCS = 20_000
@@ -245,7 +245,7 @@ def scan_secrets(documents: DataFrame, network: Network, text: str = "text") ->
         return pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in all_spans(t, network)]
                          for t in texts.to_pylist()], kind)
 
-    return documents.select(F.struct("*").alias("row"), scan(F.col(text).cast("binary")).alias("spans"))
+    return whole_texts(documents).select(F.struct("*").alias("row"), scan(F.col(text).cast("binary")).alias("spans"))
 
 
 @query("op10_secret_scan")
