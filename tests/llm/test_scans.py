@@ -84,7 +84,7 @@ def test_expressions(expression, labels, freedom):
     assert found == labels and (value is None) == (freedom is None) and (value is None or abs(value - freedom) < 1e-9)
 
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
 def rules(text):
