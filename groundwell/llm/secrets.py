@@ -4,7 +4,9 @@ Rules find assignments, access keys and long hex strings. Candidates are, beside
 of ``[A-Za-z0-9+/_.=-]`` with a digit or an inner capital. The network reads a window of a candidate and its surroundings
 as character classes: one convolution, maxima over the context before, the candidate and the context after, one logistic
 unit. It is trained in numpy on labelled findings from a bounded sample of ``SAMPLE_DOCS`` documents (rule findings against
-other text) and on generated keys and look-alikes set into contexts of that sample. Half of the findings is held out; its
+other text) and on generated keys and look-alikes set into contexts of that sample. Each label has bounds of its own, so
+that neither crowds the other out: ``DOC_FINDINGS`` of a document and ``SAMPLE_FINDINGS`` in all, the smallest hashes. They
+bound what the network learns from and never what is scanned. Half of the findings is held out; its
 scores are calibrated by Platt scaling, and the threshold is the highest that keeps a recall of ``RECALL`` there. Accepted
 candidates that no rule covers become spans of kind ``model``; rule spans always stay.
 
@@ -24,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.llm.common import query, table, whole_texts
+from groundwell.operators.stages import materialize
 
 KINDS = ("assign", "access", "hex", "model")
 SAMPLE_DOCS = 20_000
-SAMPLE_FINDINGS = 6_000
+SAMPLE_FINDINGS = 3_000
+DOC_FINDINGS = 50
 RECALL = 0.95
 BEFORE, INSIDE, AFTER = 24, 48, 16
 WIDTH, FILTERS = 5, 16
@@ -188,17 +192,22 @@ def generated(contexts: list[str], count: int = 1200, seed: int = 5) -> list[tup
 
 
 def findings(text: str, raw: bytes) -> list[tuple[bytes, int]]:
-    """Labelled windows of one text: what rules find, candidates that they don't, and one long word."""
+    """Labelled windows of one text: what rules find, candidates that they don't, and one long word; of each label the
+    ``DOC_FINDINGS`` smallest hashes."""
     rules = rule_spans(text, raw)
     out = [(window(text, s, e), 1) for s, e, _ in rules]
     out += [(window(text, s, e), 0) for s, e in candidates(text, raw) if not any(s < b and a < e for a, b, _ in rules)]
     if m := re.search(r"[^\W\d]{12,}", text):
         out.append((window(text, m.start(), m.end()), 0))
-    return out[:50]
+    return [(w, label) for label in (1, 0) for w in sorted({w for w, y in out if y == label}, key=_hash)[:DOC_FINDINGS]]
 
 
-def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network:
-    """Fit on a bounded sample: the documents with the smallest id hashes."""
+def _hash(window: bytes) -> bytes:
+    return hashlib.md5(window).digest()
+
+
+def sample(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[tuple[bytes, int]]:
+    """Labelled windows of the documents with the smallest id hashes, at most ``SAMPLE_FINDINGS`` of each label."""
     ids = (documents.select(F.col(doc_id).alias("id")).filter("id IS NOT NULL").distinct()
            .orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS))
 
@@ -208,14 +217,22 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> N
                 for t in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("window", pa.binary()), ("label", pa.int32())])))
 
-    rows = (documents.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
-            .join(F.broadcast(ids), "id", "left_semi").select("id", F.explode(labelled("text")).alias("f"))
-            .select("id", "f.window", "f.label").distinct()
-            .orderBy(F.col("label").desc(), F.xxhash64("id", "window"), "window").limit(SAMPLE_FINDINGS).collect())
-    found = [(bytes(r["window"]), r["label"]) for r in rows]
+    rows = materialize(
+        documents.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
+        .join(F.broadcast(ids), "id", "left_semi").select("id", F.explode(labelled("text")).alias("f"))
+        .select("id", "f.window", "f.label").distinct())
+    return [(bytes(r["window"]), label) for label in (1, 0) for r in rows.filter(F.col("label") == label)
+            .orderBy(F.xxhash64("id", "window"), "window").limit(SAMPLE_FINDINGS).collect()]
+
+
+def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network:
+    """Fit on a bounded sample and generated findings."""
+    return fitted(sample(documents, doc_id, text))
+
+
+def fitted(found: list[tuple[bytes, int]]) -> Network:
     contexts = [w.decode("latin-1").strip("\0") for w, y in found if not y][:500]
-    found += generated(contexts)
-    found.sort(key=lambda f: hashlib.md5(f[0]).digest())
+    found = sorted(found + generated(contexts), key=lambda f: _hash(f[0]))
     half = len(found) // 2
     network = Network()
     network.fit([w for w, _ in found[:half]], np.array([y for _, y in found[:half]], np.float32))

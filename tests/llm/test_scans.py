@@ -128,6 +128,34 @@ def test_network_adds_spans_beside_rules(spark):
     assert [s.kind for s in spans] == ["model"] * 3 and text[spans[0].start:spans[0].end].startswith("ghp_")
 
 
+def key_dumps(spark, dumps=140, rules=80):
+    """More rule findings than the network learns from, in few documents, beside harmless candidates in these and others."""
+    draw = random.Random(3)
+    word = lambda k: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    upper = lambda k: word(k).upper()
+    plain = lambda: f"see INV-20{draw.randint(10, 99)}/{draw.randint(10000, 99999)}-{upper(2)}-{upper(3)}{draw.randint(1000, 9999)} for {word(6)} "
+    rows = [(i, "".join(f"password={word(6)}{draw.randint(10, 99)} {word(4)}\n" for _ in range(rules)) + plain()) for i in range(dumps)]
+    rows += [(dumps + i, plain() * 2) for i in range(300)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), plain
+
+
+def test_rule_findings_leave_room_for_harmless_ones(spark):
+    documents, plain = key_dumps(spark)
+    texts = [plain() for _ in range(300)]
+    network = secrets.train(documents)
+    taken = sum(bool(secrets.all_spans(t.encode(), network)) for t in texts)
+    assert taken < 0.05 * len(texts)
+
+
+def test_sample_is_bounded_for_each_label(spark):
+    documents, _ = key_dumps(spark)
+    labels = [y for _, y in secrets.sample(documents)]
+    assert labels.count(1) == secrets.SAMPLE_FINDINGS and labels.count(0) >= 400
+    raw = documents.filter("doc_id = 0").first().text.encode()
+    of_one = [y for _, y in secrets.findings(raw.decode(), raw)]
+    assert of_one.count(1) == secrets.DOC_FINDINGS and of_one.count(0) >= 1
+
+
 def test_queries_digest_what_operators_return(spark):
     from groundwell.llm.catalog import QUERIES
     folder = "/root/testdata/sf0.001"
