@@ -6,9 +6,10 @@ as character classes: one convolution, maxima over the context before, the candi
 unit. It is trained in numpy on labelled findings from a bounded sample of ``SAMPLE_DOCS`` documents (rule findings against
 other text) and on generated keys and look-alikes set into contexts of that sample. Each label has bounds of its own, so
 that neither crowds the other out: ``DOC_FINDINGS`` of a document and ``SAMPLE_FINDINGS`` in all, the smallest hashes. They
-bound what the network learns from and never what is scanned. Half of the findings is held out; its
-scores are calibrated by Platt scaling, and the threshold is the highest that keeps a recall of ``RECALL`` there. Accepted
-candidates that no rule covers become spans of kind ``model``; rule spans always stay.
+bound what the network learns from and never what is scanned. Half of the findings is held out, and further keys are
+generated; those that no rule covers, as only these are left to the network, calibrate its scores by Platt scaling, and the
+threshold is the highest that keeps a recall of ``RECALL`` for each shape of key among them. Accepted candidates that no
+rule covers become spans of kind ``model``; rule spans always stay.
 
 Defined results: a null or empty text has no spans; without a usable sample the generated findings train the network;
 repeated rows are scanned one by one; an empty table gives no rows. Other columns pass through in ``row``.
@@ -143,8 +144,8 @@ class Network:
                     v += 0.001 * (g * g - v)
                     w -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
 
-    def calibrate(self, windows: list[bytes], labels: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling by Newton steps, then the highest threshold that keeps the recall."""
+    def calibrate(self, windows: list[bytes], labels: np.ndarray, shapes: list[int], recall: float = RECALL) -> None:
+        """Platt scaling by Newton steps, then the highest threshold that keeps the recall for each shape of key."""
         x = self.logits(windows).astype(np.float64)
         good = max(1, int(labels.sum()))
         aim = np.where(labels > 0, (good + 1) / (good + 2), 1 / (len(labels) - good + 2))
@@ -155,8 +156,9 @@ class Network:
             bend = (design * (p * (1 - p) + 1e-6)[:, None]).T @ design + 1e-3 * np.eye(2)
             theta -= np.linalg.solve(bend, design.T @ (p - aim) + 1e-3 * (theta - [1.0, 0.0]))
         self.slope, self.offset = float(max(theta[0], 1e-3)), float(theta[1])
-        scores = np.sort(self.chance([w for w, y in zip(windows, labels) if y]))
-        self.threshold = float(scores[int(np.floor((1 - recall) * len(scores)))]) if len(scores) else 0.5
+        scores, of = self.chance(windows), np.array(shapes)
+        lowest = [np.sort(scores[(labels > 0) & (of == k)]) for k in sorted({k for k, y in zip(shapes, labels) if y})]
+        self.threshold = float(min((x[int(np.floor((1 - recall) * len(x)))] for x in lowest), default=0.5))
 
 
 def _codes(windows: list[bytes]) -> np.ndarray:
@@ -165,13 +167,20 @@ def _codes(windows: list[bytes]) -> np.ndarray:
 
 def generated(contexts: list[str], count: int = 1200, seed: int = 5) -> list[tuple[bytes, int]]:
     """Keys of known shapes and harmless look-alikes, each set into a piece of sample text."""
+    return [(w, label) for w, label, _, _ in shaped(contexts, count, seed)]
+
+
+def shaped(contexts: list[str], count: int, seed: int) -> list[tuple[bytes, int, int, bool]]:
+    """(window, label, shape, free): free are those that the scan leaves to the network, with the window that it shows."""
     draw = random.Random(seed)
     letters, lower, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
     word = lambda k, chars=letters: "".join(draw.choices(chars, k=k))
     keys = (
         lambda: "ghp_" + word(36), lambda: "sk-" + word(40), lambda: f"xoxb-{word(11, '0123456789')}-{word(24)}",
         lambda: "AIza" + word(35), lambda: f"eyJ{word(30)}.eyJ{word(40)}.{word(32)}", lambda: word(40),
-        lambda: word(draw.randint(18, 44), letters + "+/") + "==", lambda: word(draw.randint(20, 64), hexes),
+        lambda: word(draw.randint(18, 44), letters + "+/") + "==",
+        # Half are too short for the rule, so that the network has to know them.
+        lambda: word(draw.randint(*draw.choice(((20, 23), (24, 64)))), hexes),
         lambda: "AKIA" + word(16, letters[:26] + "0123456789"),
     )
     plain = (
@@ -185,18 +194,27 @@ def generated(contexts: list[str], count: int = 1200, seed: int = 5) -> list[tup
     for i in range(count):
         text = contexts[draw.randrange(len(contexts))] if contexts else "text of no sample " * 5
         at = draw.randint(0, max(0, len(text) - 1))
-        key = draw.choice((keys, plain)[i % 2])()
+        shape = draw.randrange(len((keys, plain)[i % 2]))
+        key = (keys, plain)[i % 2][shape]()
         joined = f"{text[:at]} {key} {text[at:]}"
-        out.append((window(joined, at + 1, at + 1 + len(key)), 1 - i % 2))
+        start, end = at + 1, at + 1 + len(key)
+        raw = joined.encode()
+        free = [c for c in uncovered(joined, raw, rule_spans(joined, raw)) if c[0] < end and start < c[1]]
+        out.append((window(joined, *(free or [(start, end)])[0]), 1 - i % 2, shape, bool(free)))
     return out
 
 
+def uncovered(text: str, raw: bytes, rules: list[Span]) -> list[tuple[int, int]]:
+    """The candidates that are left to the network."""
+    return [(s, e) for s, e in candidates(text, raw) if not any(s < b and a < e for a, b, _ in rules)]
+
+
 def findings(text: str, raw: bytes) -> list[tuple[bytes, int]]:
     """Labelled windows of one text: what rules find, candidates that they don't, and one long word; of each label the
     ``DOC_FINDINGS`` smallest hashes."""
     rules = rule_spans(text, raw)
     out = [(window(text, s, e), 1) for s, e, _ in rules]
-    out += [(window(text, s, e), 0) for s, e in candidates(text, raw) if not any(s < b and a < e for a, b, _ in rules)]
+    out += [(window(text, s, e), 0) for s, e in uncovered(text, raw, rules)]
     if m := re.search(r"[^\W\d]{12,}", text):
         out.append((window(text, m.start(), m.end()), 0))
     return [(w, label) for label in (1, 0) for w in sorted({w for w, y in out if y == label}, key=_hash)[:DOC_FINDINGS]]
@@ -232,22 +250,23 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> N
 
 def fitted(found: list[tuple[bytes, int]]) -> Network:
     contexts = [w.decode("latin-1").strip("\0") for w, y in found if not y][:500]
-    found = sorted(found + generated(contexts), key=lambda f: _hash(f[0]))
-    half = len(found) // 2
+    # A rule decides on its findings, so they are learned from but calibrate nothing.
+    known = [(w, y, 0, not y) for w, y in found] + shaped(contexts, 1200, 5)
+    known.sort(key=lambda f: _hash(f[0]))
+    half = len(known) // 2
     network = Network()
-    network.fit([w for w, _ in found[:half]], np.array([y for _, y in found[:half]], np.float32))
-    network.calibrate([w for w, _ in found[half:]], np.array([y for _, y in found[half:]], np.float32))
+    network.fit([f[0] for f in known[:half]], np.array([f[1] for f in known[:half]], np.float32))
+    held = [f for f in known[half:] + shaped(contexts, 6000, 6) if f[3]]
+    network.calibrate([f[0] for f in held], np.array([f[1] for f in held], np.float32), [f[2] for f in held])
     return network
 
 
 def all_spans(raw: bytes | None, network: Network) -> list[Span]:
     if not raw:
         return []
-    rough = candidates(None, raw)
     text = raw.decode("utf-8", "replace")
     rules = rule_spans(text, raw)
-    free = [(s, e) for s, e in rough if not any(s < b and a < e for a, b, _ in rules)]
-    if free:
+    if free := uncovered(text, raw, rules):
         chances = network.chance([window(text, s, e) for s, e in free])
         rules += [(s, e, 3) for (s, e), p in zip(free, chances) if p >= network.threshold]
     return sorted(rules, key=lambda s: (s[0], s[2]))

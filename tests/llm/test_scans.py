@@ -156,6 +156,35 @@ def test_sample_is_bounded_for_each_label(spark):
     assert of_one.count(1) == secrets.DOC_FINDINGS and of_one.count(0) >= 1
 
 
+def many_rule_findings(rules=3000, plain=600):
+    draw = random.Random(8)
+    word = lambda k, c="abcdefghijklmnopqrstuvwxyz": "".join(draw.choices(c, k=k))
+    found = []
+    for _ in range(rules):
+        text = f"{word(4)} password={word(6)}{draw.randint(10, 99)} {word(4)}"
+        found.append((secrets.window(text, 5, 22), 1))
+    for _ in range(plain):
+        code = f"{word(3).upper()}{draw.randint(100, 999)}-{word(9).title()}{draw.randint(1000, 9999)}/{word(4).upper()}{draw.randint(10, 99)}"
+        found.append((secrets.window(f"see {code} for {word(6)}", 4, 4 + len(code)), 0))
+    return found
+
+
+def kept_keys(network, found):
+    """Share of new keys that stay, for each shape, of those that no rule covers."""
+    contexts = [w.decode("latin-1").strip("\0") for w, y in found if not y][:500]
+    of = {}
+    for w, label, shape, free in secrets.shaped(contexts, 6000, 99):
+        if label and free:
+            of.setdefault(shape, []).append(w)
+    return {shape: float((network.chance(ws) >= network.threshold).mean()) for shape, ws in of.items()}
+
+
+def test_recall_holds_for_each_shape_of_key_beside_many_rule_findings():
+    found = many_rule_findings()
+    kept = kept_keys(secrets.fitted(found), found)
+    assert len(kept) >= 7 and min(kept.values()) >= 0.88, kept  # 0.95, less three deviations of the rarest shape
+
+
 def test_queries_digest_what_operators_return(spark):
     from groundwell.llm.catalog import QUERIES
     folder = "/root/testdata/sf0.001"
