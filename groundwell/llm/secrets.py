@@ -11,6 +11,9 @@ generated; those that no rule covers, as only these are left to the network, cal
 threshold is the highest that keeps a recall of ``RECALL`` for each shape of key among them. Accepted candidates that no
 rule covers become spans of kind ``model``; rule spans always stay.
 
+Text that no rule covers counts as harmless in training unless it looks like a key itself (``suspect``): such text is left
+out, so that keys without a keyword do not teach the network to drop keys.
+
 Defined results: a null or empty text has no spans; without a usable sample the generated findings train the network;
 repeated rows are scanned one by one; an empty table gives no rows. Other columns pass through in ``row``.
 """
@@ -18,8 +21,10 @@ repeated rows are scanned one by one; an empty table gives no rows. Other column
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,12 @@ _IS_HEX = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 _SHAPE = bytes(97 if c in b"abcdefghijklmnopqrstuvwxyz" else 65 if c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
                else 48 if c in b"0123456789" else 46 if c in b"+/_.=-" else 32 for c in range(256))
 _RUN = re.compile(rb"[aA0.]{16,}")
+#: Keys of known services, and ids of a known harmless form.
+_KNOWN = re.compile(
+    r"""(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{20,}|sk-[A-Za-z0-9_-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}
+    |xox[abeoprs]-[A-Za-z0-9-]{16,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}|A[KS]IA[A-Z0-9]{16,}|npm_[A-Za-z0-9]{30,})""", re.A | re.X)
+_UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_OPAQUE = re.compile("[A-Za-z0-9+/=]{16,}")
 _CODES = np.zeros(256, np.uint8)
 for _place, _char in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-:;,'\"<>()[]{}@# \n"):
     _CODES[ord(_char)] = _place + 2
@@ -209,14 +220,33 @@ def uncovered(text: str, raw: bytes, rules: list[Span]) -> list[tuple[int, int]]
     return [(s, e) for s, e in candidates(text, raw) if not any(s < b and a < e for a, b, _ in rules)]
 
 
+def suspect(value: str) -> bool:
+    """Whether a candidate looks like a key: a known service's, or a piece with many different characters in which lower case,
+    capitals and digits change places far more often than in words, names, numbers and dates."""
+    if _KNOWN.search(value):
+        return True
+    for piece in _OPAQUE.findall(_UUID.sub(" ", value)):
+        kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in piece.rstrip("=")]
+        changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+        entropy = -sum(n / len(piece) * math.log2(n / len(piece)) for n in Counter(piece).values())
+        if changes >= 0.3 * len(kinds) and entropy >= 3:
+            return True
+    return False
+
+
 def findings(text: str, raw: bytes) -> list[tuple[bytes, int]]:
-    """Labelled windows of one text: what rules find, candidates that they don't, and one long word; of each label the
-    ``DOC_FINDINGS`` smallest hashes."""
+    """Labelled windows of one text: what rules find, candidates that neither they nor ``suspect`` take for keys, and one long
+    word outside of both; of each label the ``DOC_FINDINGS`` smallest hashes."""
     rules = rule_spans(text, raw)
+    free = uncovered(text, raw, rules)
+    keys = [(s, e) for s, e in free if suspect(text[s:e])]
     out = [(window(text, s, e), 1) for s, e, _ in rules]
-    out += [(window(text, s, e), 0) for s, e in uncovered(text, raw, rules)]
-    if m := re.search(r"[^\W\d]{12,}", text):
-        out.append((window(text, m.start(), m.end()), 0))
+    out += [(window(text, *c), 0) for c in sorted(set(free) - set(keys))]
+    taken = [(s, e) for s, e, _ in rules] + keys
+    for m in re.finditer(r"[^\W\d]{12,}", text):
+        if not any(m.start() < b and a < m.end() for a, b in taken):
+            out.append((window(text, m.start(), m.end()), 0))
+            break
     return [(w, label) for label in (1, 0) for w in sorted({w for w, y in out if y == label}, key=_hash)[:DOC_FINDINGS]]
 
 
