@@ -89,18 +89,54 @@ _KIND_OF = "(['identity', 'preference', 'project_fact', 'goal', 'constraint'])[i
   SELECT query_id, point_id, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scored) WHERE rank <= 4""")
 def _(spark, folder):
+    return _memory_search(spark, folder, tenant_requests(spark, folder))
+
+
+def _memory_search(spark, folder, questions):
     kinds = F.array(*[F.lit(k) for k in ("identity", "preference", "project_fact", "goal", "constraint")])
     stored = tenant_points(spark, folder).withColumnRenamed("tenant", "user_id").withColumn(
         "kind", F.get(kinds, (F.col("point_id") % 5).cast("int")))
-    first = tenant_requests(spark, folder).withColumnRenamed("tenant", "user_id")
-    asked = first.withColumn("requested_kind", F.explode(F.array(F.lit(None).cast("string"), F.lit("goal"))))
-    asked = asked.withColumn("query_id", F.concat("user_id", F.lit("/"), F.coalesce("requested_kind", F.lit("all"))))
+    asked = questions.withColumnRenamed("tenant", "user_id").withColumn(
+        "requested_kind", F.explode(F.array(F.lit(None).cast("string"), F.lit("goal"))))
+    asked = asked.withColumn("query_id", F.concat(
+        F.col("query_id").cast("string"), F.lit("/"), F.coalesce("requested_kind", F.lit("all"))))
     return vector.search_memory(asked, stored, 4).select("query_id", "point_id", "score", "rank")
 
 
+def vector_questions(spark, folder):
+    """Every vector whose id is divisible by 20 asks inside its tenant, so questions grow with the table."""
+    return tables.points(spark, folder).filter("id % 20 = 0").select(
+        F.col("id").alias("query_id"), "tenant", F.col("vector").alias("query_vector"))
+
+
+_QUESTIONS = f"{_POINTS}, questions AS (SELECT id AS query_id, tenant, vector AS query_vector FROM points WHERE id % 20 = 0)"
+
+
+@query("j07_document_questions", f"""WITH {_QUESTIONS},
+  scored AS (SELECT q.query_id, p.id AS point_id, {_COSINE} AS score FROM points p JOIN questions q USING (tenant))
+  SELECT query_id, point_id, score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scored) WHERE rank <= 5""")
+def _(spark, folder):
+    asked = vector_questions(spark, folder).withColumnRenamed("tenant", "knowledge_scope")
+    stored = tenant_points(spark, folder).withColumnRenamed("tenant", "knowledge_scope")
+    return vector.search_documents(asked, stored, 5).select("query_id", "point_id", "score", "rank")
+
+
+@query("j08_memory_questions", f"""WITH {_QUESTIONS},
+  typed AS (SELECT *, {_KIND_OF} AS kind FROM points),
+  asked AS (SELECT query_id || '/all' AS query_id, NULL AS requested_kind, tenant, query_vector FROM questions UNION ALL
+    SELECT query_id || '/goal', 'goal', tenant, query_vector FROM questions),
+  scored AS (SELECT q.query_id, p.id AS point_id, {_COSINE} AS score FROM typed p JOIN asked q USING (tenant)
+    WHERE requested_kind IS NULL OR requested_kind = kind)
+  SELECT query_id, point_id, score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scored) WHERE rank <= 4""")
+def _(spark, folder):
+    return _memory_search(spark, folder, vector_questions(spark, folder))
+
+
 @query("j12_prefiltered_vectors")
 def _(spark, folder):
-    return vector.prefiltered(tenant_requests(spark, folder), tenant_points(spark, folder), "tenant", 5, 1.3).select(
+    return vector.prefiltered(vector_questions(spark, folder), tenant_points(spark, folder), "tenant", 5, 1.3).select(
         "query_id", "point_id", "score", "rank")
 
 

@@ -246,3 +246,16 @@ def test_prefiltered_search_scores_exactly_and_finds_most(spark):
     close = {pair for pair, score in exact.items() if 2 - 2 * score <= 1.3 ** 2}
     assert len(close & near.keys()) >= 0.8 * min(len(close), len(near))
     assert {(q, q) for q in range(60)} <= near.keys()
+
+
+def test_registered_prefilter_finds_most_of_the_exact_top(spark):
+    from groundwell.catalog import QUERIES
+    folder = "/root/testdata/sf0.01"
+    questions = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
+    exact = {(r.query_id, r.point_id): r.score for r in QUERIES["j07_document_questions"](spark, folder).collect()}
+    near = {(r.query_id, r.point_id): r.score for r in QUERIES["j12_prefiltered_vectors"](spark, folder).collect()}
+    assert {q for q, _ in exact} == {q for q, _ in near} == questions
+    assert len(exact.keys() & near.keys()) >= 0.9 * len(exact)
+    assert all(exact[pair] == near[pair] for pair in exact.keys() & near.keys())
+    asked = {r.query_id for r in QUERIES["j08_memory_questions"](spark, folder).select("query_id").distinct().collect()}
+    assert {f"{q}/all" for q in questions} <= asked
