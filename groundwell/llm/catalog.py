@@ -1,6 +1,7 @@
 """Every operator of this subpackage as a query over its whole table."""
 
-from groundwell.llm import chat, decontamination, jaccard, licenses, line_dedup, mixing, neighbours, quality, secrets, tokens  # noqa: F401
+from groundwell.llm import (  # noqa: F401
+    chat, decontamination, jaccard, licenses, line_dedup, mixing, neighbours, pieces, quality, secrets, tokens)
 from groundwell.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
