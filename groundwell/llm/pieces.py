@@ -37,7 +37,7 @@ from groundwell.llm.common import query, table, whole_texts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Characters of the words, and pairs of pieces, that a worker remembers at once.
-WORD_CHARS = 2_000_000
+WORD_CHARS = 5_000_000
 PAIRS = 400_000
 #: Longer words are encoded, but not remembered.
 LONGEST = 64
@@ -64,7 +64,10 @@ class Pieces:
         if self.long:
             self.machine.make_automaton()
         self.words = self._word_pattern()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.signs = re.compile(rf"[^\w{MARK}]")
+        self.beside = {piece[i:i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.told = 0
         self.shorter: dict[str, str] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.chars = 0
@@ -93,12 +96,12 @@ class Pieces:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether ``right`` may stand behind ``left``, or at the start of a text if that is empty."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.merged(left + right) == ([left, right] if left else [right])
-            self.pairs[left, right] = found
+        found = self.merged(left + right) == ([left, right] if left else [right])
+        if self.told >= PAIRS:
+            self.pairs.clear()
+            self.told = 0
+        self.told += 1
+        self.pairs.setdefault(left, {})[right] = found
         return found
 
     def prefix(self, piece: str) -> str:
@@ -115,25 +118,34 @@ class Pieces:
         if self.long:
             for end, size in self.machine.iter(text):
                 longest[end - size + 1] = size
-        alive = bytearray(b"\xff" * (len(text) // 8 + 1))
+        pairs, nothing, shorter = self.pairs, {}, self.shorter
+        failed = None
         taken: list[str] = []
-        at, last, piece = 0, "", text[:longest[0]] if text else ""
-        while at < len(text):
-            end = at + len(piece)
-            if alive[end >> 3] >> (end & 7) & 1 and self.fits(last, piece):
-                taken.append(piece)
-                at, last = end, piece
-                piece = text[at:at + longest[at]] if at < len(text) else ""
-                continue
-            piece = self.prefix(piece)
-            while not piece:
-                if not taken:
-                    raise ValueError("the model does not merge: a text has no encoding")
-                alive[at >> 3] &= ~(1 << (at & 7))
-                piece = taken.pop()
-                at -= len(piece)
-                last = taken[-1] if taken else ""
-                piece = self.prefix(piece)
+        at, last, size = 0, "", len(text)
+        while at < size:
+            piece = text[at:at + longest[at]]
+            follows = pairs.get(last, nothing)
+            while True:
+                fit = follows.get(piece)
+                if fit is None:
+                    fit = self.fits(last, piece)
+                if fit and (failed is None or not failed[(at + len(piece)) >> 3] >> ((at + len(piece)) & 7) & 1):
+                    taken.append(piece)
+                    at, last = at + len(piece), piece
+                    break
+                piece = shorter[piece] if piece in shorter else self.prefix(piece)
+                while not piece:
+                    # Nothing fits here: mark the place, take the last piece back and go on with its next shorter prefix.
+                    if not taken:
+                        raise ValueError("the model does not merge: a text has no encoding")
+                    if failed is None:
+                        failed = bytearray(size // 8 + 1)
+                    failed[at >> 3] |= 1 << (at & 7)
+                    piece = taken.pop()
+                    at -= len(piece)
+                    last = taken[-1] if taken else ""
+                    follows = pairs.get(last, nothing)
+                    piece = self.prefix(piece)
         return taken
 
     def codes(self, piece: str) -> list[int]:
@@ -145,7 +157,22 @@ class Pieces:
         return [self.bytes[f"<0x{b:02X}>"] for b in piece.encode()]
 
     def word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self.codes, self.split(word))))
+        parts = self.parted(word)
+        if len(parts) > 1:
+            known = self.known.get
+            ids = tuple(chain.from_iterable([known(part) or self.part(part) for part in parts]))
+            return self.remember(word, ids)
+        return self.part(word)
+
+    def parted(self, word: str) -> list[str]:
+        """``word``, cut at signs that no piece holds beside their neighbour."""
+        cuts = [i for i in map(re.Match.start, self.signs.finditer(word)) if i and word[i - 1:i + 1] not in self.beside]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+    def part(self, part: str) -> tuple[int, ...]:
+        return self.remember(part, tuple(chain.from_iterable(map(self.codes, self.split(part)))))
+
+    def remember(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(word) <= LONGEST:
             if self.chars > WORD_CHARS:
                 self.known.clear()
