@@ -2,8 +2,13 @@
 
 Every word opens one window: itself and its lead columns, the next words of its piece, padded behind the end of the piece. Only
 these windows are counted, so a word is shuffled once (and once a task, if its window repeats there). The count of a shorter
-phrase is the sum over the windows that it starts, which ``ROLLUP`` takes prefix by prefix, down to the words and the size of
-a language; no text is cut into n-grams of each order.
+phrase is the sum over the windows that it starts, which ``ROLLUP`` takes prefix by prefix; no text is cut into n-grams of
+each order.
+
+Windows hold 64-bit ids of words, which are hashes. A first pass counts the words; it proves that no two words of the
+input share an id (or another seed is taken), and gives the sizes of the languages. A word below the least count is in no
+candidate, so a window ends before it. Tasks know such words by a bitmap of ``BITS`` bits, whatever the vocabulary; a rare word
+that passes it by chance is counted and dropped later. Tasks add equal windows up before they leave.
 
 Scores are exact: products are decimals of 38 digits, which holds a billion times a trillion squared.
 
@@ -14,10 +19,16 @@ ignored.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import query, table
+from groundwell.llm.common import query, table, whole_texts
 from groundwell.operators.stages import materialize
 
 ORDER = 3
@@ -26,38 +37,144 @@ LEAST = 10
 COVERED = 50
 TOP = 2000
 SCORE = "(a * a * 1000000BD) div (l * r)"
-_BREAKS = ".,;:!?\n\x0b\x0c\r"
-#: Stands for a break and behind the end of a piece; no word holds it.
-PAD = "."
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def windows(documents: DataFrame, text: str, lang: str, order: int = ORDER) -> DataFrame:
-    """``lang, w1 .. wN``: the window of every word."""
-    folded = F.translate(F.col(text), _UPPER + _BREAKS + "\t", _UPPER.lower() + PAD * len(_BREAKS) + " ")
-    words = F.array_remove(F.split(F.replace(folded, F.lit(PAD), F.lit(f" {PAD} ")), " "), "")
-    placed = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), words.alias("words")).select(
-        "lang", "words", F.posexplode("words").alias("at", "w1")).filter(F.col("w1") != PAD)
-    for k in range(2, order + 1):
-        follows = F.coalesce(F.get("words", F.col("at") + (k - 1)), F.lit(PAD))
-        placed = placed.withColumn(f"w{k}", follows if k == 2 else F.when(F.col(f"w{k - 1}") == PAD, PAD).otherwise(follows))
-    return placed.drop("words", "at")
-
-
-def counted(documents: DataFrame, text: str, lang: str, order: int, least: int) -> DataFrame:
-    """``lang, words, f`` of every phrase of up to ``order`` words that stands at least ``least`` times; the row without words
-    has the number of words of its language."""
+#: Words of the bitmap, and what a task holds: distinct words, and words whose windows it adds up.
+BITS = 1 << 25
+HELD, WORDS = 400_000, 2_000_000
+SEEDS = 8
+#: Lower-cases A-Z and turns breaks into full stops, which no word holds.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    """Words and breaks of a text; blanks and tabs are all that is left to separate words."""
+    return text.translate(_FOLD).replace(b".", b" . ").split() if text else []
+
+
+def _id(lang: bytes, word: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(lang + b"\0" + word, seed)
+
+
+def _texts(documents: DataFrame, text: str, lang: str) -> DataFrame:
+    named = F.coalesce(F.col(lang).cast("string"), F.lit("und")).cast("binary")
+    return whole_texts(documents).select(named, F.col(text).cast("binary"))
+
+
+def vocabulary(documents: DataFrame, text: str, lang: str, seed: int) -> DataFrame:
+    """``lang, word, id, f`` of every word of every language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, Counter] = defaultdict(Counter)
+
+        def told() -> pa.RecordBatch:
+            rows = [(name, word, n) for name, words in counts.items() for word, n in words.items() if word != b"."]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
+                pa.array(np.array([_id(name, word, seed) for name, word, _ in rows], np.uint64).view(np.int64)),
+                pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "id", "f"])
+
+        for batch in batches:
+            for name, value in zip(*(c.to_pylist() for c in batch.columns)):
+                counts[name].update(_words(value))
+                if sum(map(len, counts.values())) > HELD:
+                    yield told()
+        yield told()
+
+    told = _texts(documents, text, lang).mapInArrow(run, "lang binary, word binary, id bigint, f bigint")
+    return told.groupBy("lang", "word", "id").agg(F.sum("f").alias("f")).select(
+        F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"), "id", "f")
+
+
+def named_words(documents: DataFrame, text: str, lang: str) -> tuple[int, DataFrame]:
+    """A seed, and the vocabulary under ids that are proven to differ."""
+    for seed in range(SEEDS):
+        words = materialize(vocabulary(documents, text, lang, seed))
+        if words.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id = 0").isEmpty():
+            return seed, words
+    raise ValueError("words share ids under every seed")
+
+
+def frequent_bits(words: DataFrame, least: int, bits: int) -> bytes:
+    """One bit for the ids of words that stand at least ``least`` times; its size does not depend on the words."""
+    place = F.pmod("id", F.lit(bits)) + 1
+    rows = words.filter(F.col("f") >= least).groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("held")).collect()
+    whole = bytearray(-(-bits // 8))
+    for r in rows:
+        whole[4096 * (r.bucket - 1):4096 * (r.bucket - 1) + len(r.held)] = r.held
+    return bytes(whole[:-(-bits // 8)])
+
+
+def added_windows(ids: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The windows of a sequence of ids, in order and each once, with their counts; 0 ends a window."""
+    padded = np.concatenate([ids, np.zeros(order, np.int64)])
+    columns = [padded[:len(ids)]]
+    for k in range(1, order):
+        columns.append(np.where(columns[-1] == 0, 0, padded[k:len(ids) + k]))
+    columns = [c[columns[0] != 0] for c in columns]
+    by = np.lexsort(columns[::-1])
+    columns = [c[by] for c in columns]
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(fresh)
+    return [c[starts] for c in columns], np.diff(starts, append=len(by))
+
+
+def windows(documents: DataFrame, text: str, lang: str, order: int, seed: int, frequent: bytes) -> DataFrame:
+    """``w1 .. wN, n``: the windows that open at frequent words, added up within tasks. 0 stands for a break, for a rare
+    word, and for all that follows these."""
+    names = [f"w{k}" for k in range(1, order + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = np.frombuffer(frequent, np.uint8), defaultdict(dict)
+
+        def number(name: bytes, word: bytes) -> int:
+            value = _id(name, word, seed)
+            signed = value - (1 << 64) if value >> 63 else value
+            place = signed % (len(bits) * 8)
+            found = signed if word != b"." and bits[place >> 3] >> (place & 7) & 1 else 0
+            if sum(map(len, known.values())) > HELD:
+                known.clear()
+            known[name][word] = found
+            return found
+
+        def told(parts: list[np.ndarray]) -> pa.RecordBatch:
+            columns, counts = added_windows(np.concatenate(parts), order)
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts)], names=[*names, "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for name, value in zip(*(c.to_pylist() for c in batch.columns)):
+                words = _words(value)
+                ids = list(map(known[name].get, words))
+                if None in ids:
+                    ids = [number(name, w) if i is None else i for w, i in zip(words, ids)]
+                held.append(np.array([*ids, 0], np.int64))
+                size += len(ids) + 1
+                if size > WORDS:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
+
+    return _texts(documents, text, lang).mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "n"]))
+
+
+def counted(documents: DataFrame, text: str, lang: str, order: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """``lang, words, f`` of every phrase of up to ``order`` words that stands at least ``least`` times, and ``lang, n``."""
+    seed, words = named_words(documents, text, lang)
     names = [f"w{k}" for k in range(1, order + 1)]
-    longest = windows(documents, text, lang, order).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
+    seen = windows(documents, text, lang, order, seed, frequent_bits(words, least, BITS))
+    longest = seen.groupBy(*names).agg(F.sum("n").alias("f"))
     # The bound depends on the last word, so both uses share the exchange of the windows.
-    whole = longest.filter(F.col("f") >= F.when(F.col(names[-1]) == PAD, F.lit(None)).otherwise(least)).select(
-        "lang", F.array(*names).alias("words"), "f")
-    shorter = (
-        longest.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
-        .filter(F.col("lang").isNotNull()).select(
-            "lang", F.filter(F.array(*names[:-1]), lambda w: w.isNotNull()).alias("words"), "f"))
-    bounded = shorter.filter(((F.col("f") >= least) | (F.size("words") == 0)) & ~F.array_contains("words", PAD))
-    return whole.unionByName(bounded)
+    whole = longest.filter(F.col("f") >= F.when(F.col(names[-1]) == 0, F.lit(None)).otherwise(least)).select(
+        F.array(*names).alias("ids"), "f")
+    shorter = longest.rollup(*names[:-1]).agg(F.sum("f").alias("f")).filter((F.col("f") >= least) & F.col("w1").isNotNull()).select(
+        F.filter(F.array(*names[:-1]), lambda w: w.isNotNull()).alias("ids"), "f").filter(~F.array_contains("ids", 0))
+    phrases = materialize(whole.unionByName(shorter))
+    spelled = phrases.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(words.select("id", "word", "lang"), "id")
+    named = spelled.groupBy("ids", "f", "lang").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("spelled"))
+    return (named.select("lang", F.col("spelled.word").alias("words"), "f"),
+            words.groupBy("lang").agg(F.sum("f").alias("n")))
 
 
 def _phrase(words: Column) -> Column:
@@ -74,10 +191,10 @@ def _runs(words: Column) -> Column:
 def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, least: int = LEAST,
                  covered: int = COVERED, top: int = TOP) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the best phrases of 2 to ``order`` words of each language."""
-    frequent = materialize(counted(documents, text, lang, order, least).withColumn("phrase", _phrase(F.col("words"))))
-    sizes = frequent.filter(F.size("words") == 0).select("lang", F.col("f").alias("n"))
+    found, sizes = counted(documents, text, lang, order, least)
+    frequent = materialize(found.withColumn("phrase", _phrase(F.col("words"))))
     candidates = frequent.filter(F.size("words") > 1).select("lang", "phrase", "words", F.col("f").alias("a"))
-    parts = frequent.filter((F.size("words") > 0) & (F.size("words") < order))
+    parts = frequent.filter(F.size("words") < order)
 
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k")).select(
         "lang", "phrase", "a", "k", _phrase(F.slice("words", 1, F.col("k"))).alias("first"),
