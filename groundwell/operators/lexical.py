@@ -1,10 +1,14 @@
 """Batch lexical search (J01-J06, K01): many questions against many chunks in one job.
 
-Question tokens become posting lists, cut into blocks of questions so that no list grows with the number of questions.
-Chunk tokens meet them in an equi-join; the lists that reach one chunk are counted inside its row, so no row is made per
-shared token. A first pass over a small part of the chunks gives a score that the k-th best hit of each question
-certainly reaches, and pairs below it are dropped where they arise. The bound only discards pairs that cannot be among
-the best k, so the result is exact.
+A pair with score ``shared / sqrt(|question| * |chunk|)`` of at least a floor shares at least ``floor * sqrt(|question| *
+|chunk|)`` tokens. So a chunk that holds none of the rarest tokens of a question, all but that many less one, cannot reach the
+floor, and one that holds fewer than ``1 + EXTRA`` of the rarest and ``EXTRA`` more cannot either. The index holds these
+leading tokens only: each is kept with the largest chunk in which it still matters, so a frequent token, which comes last,
+meets small chunks at most or none at all. Matches are counted where the chunk lies, and only pairs with enough of them are
+verified on the token set in the chunk's row and leave the task.
+
+Floors are scores that the k-th best hit of each question certainly reaches, taken from a small part of the chunks and
+raised on a larger one. They only discard pairs that cannot be among the best k, so the result is exact.
 """
 
 from __future__ import annotations
@@ -12,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.functions.text import compute_once, is_blank, let, round4, search_text, truncate
-from groundwell.functions.tokens import token_set
+from groundwell.functions.text import is_blank, round4, search_text, truncate
+from groundwell.functions.tokens import similarity, token_set
 from groundwell.operators.joins import broadcast_if_small
 from groundwell.operators.skew import top_n
 from groundwell.operators.stages import materialize
@@ -21,14 +25,18 @@ from groundwell.operators.stages import materialize
 DEFAULT_TOP_K = 5
 PREVIEW_CHARS = 120
 HIT_ROW_BYTES = 256
-FLOOR_PARTS = 32
-BLOCK_QUESTIONS = 4096
+#: Floors come from one chunk in so many, then from one in fewer.
+FLOOR_PARTS = (1024, 32)
+#: Tokens beyond the leading ones; each asks for one match more.
+EXTRA = 3
+#: Allowance for rounding in bounds; the exact score decides in the end.
+MARGIN = 1e-6
 
 
-def question_tokens(queries: DataFrame) -> DataFrame:
-    """Distinct tokens of every question with the size of its token set."""
-    sets = queries.select("query_id", token_set(F.col("question")).alias("tokens"))
-    return sets.select("query_id", F.size("tokens").alias("query_size"), F.explode("tokens").alias("token"))
+def question_sets(queries: DataFrame) -> DataFrame:
+    """The token set of every question that has tokens."""
+    return queries.select("query_id", token_set(F.col("question")).alias("tokens")).filter(F.size("tokens") > 0).select(
+        "query_id", F.size("tokens").alias("query_size"), F.col("tokens").alias("query_tokens"))
 
 
 def chunk_token_sets(chunks: DataFrame) -> DataFrame:
@@ -36,74 +44,80 @@ def chunk_token_sets(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", token_set(text).alias("tokens"))
 
 
-def _score(shared: Column, query_size: Column, chunk_size: Column) -> Column:
-    """J03 from counts."""
-    return shared / F.sqrt((query_size.cast("long") * chunk_size.cast("long")).cast("double"))
-
-
 def _tokens_of(sets: DataFrame) -> DataFrame:
     return sets.select("chunk_id", F.size("tokens").alias("chunk_size"), F.explode("tokens").alias("token"))
 
 
-def _counts(ids: Column, least: Column) -> Column:
-    """(query_id, shared) for every id that occurs at least ``least`` times in a sorted array.
+def rarest_first(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """``query_id, query_size, place, token``: the tokens of every question, from the rarest in the chunks to the most frequent."""
+    words = asked.select("query_id", "query_size", F.explode("query_tokens").alias("token"))
+    wanted = _small(words.select("token").distinct())
+    frequency = _tokens_of(sets).join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("chunks"))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("chunks", F.lit(0)).alias("chunks"), "token")))
+    return words.join(frequency, "token", "left").groupBy("query_id", "query_size").agg(order.alias("order")).select(
+        "query_id", "query_size", F.posexplode("order").alias("place", "entry")).select(
+        "query_id", "query_size", "place", F.col("entry.token").alias("token"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a side of index rows if its measured size allows."""
+    lengths = df.agg(F.count(F.lit(1)), F.max(F.octet_length("token"))).first()
+    return broadcast_if_small(df, lengths[0], HIT_ROW_BYTES + (lengths[1] or 0))
 
-    Such an id equals the entry ``least - 1`` places further on, which leaves few entries to count.
+
+def leading_tokens(ordered: DataFrame, floors: DataFrame) -> DataFrame:
+    """``token, query_id, query_size, floor, least, reach``: tokens by which a pair is found, for chunks of ``least`` to ``reach`` tokens.
+
+    A question without its first ``place`` tokens has ``query_size - place`` left, which must be fewer than the pair has to
+    share; so the token in that place matters while floor * sqrt(query_size * chunk_size) <= query_size - place.
     """
-    step = least - 1
-    often = F.filter(ids, lambda x, i: x == F.get(ids, i + step))
-
-    def runs(kept: Column) -> Column:
-        n = F.size(kept)
-        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(places, lambda i: (i == 0) | (F.get(kept, i) != F.get(kept, i - 1)))
-        return let(starts, lambda at: F.transform(at, lambda s, j: F.struct(
-            F.get(kept, s).alias("query_id"), (F.coalesce(F.get(at, j + 1), n) - s + step).alias("shared"))))
-
-    return let(often, runs)
-
-
-def scores_above(wanted: DataFrame, sets: DataFrame, floors: DataFrame, blocks: int) -> DataFrame:
-    """Pairs that reach the floor of their question. ``floors`` has query_id, query_size and floor."""
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    postings = wanted.groupBy("token", block.alias("block")).agg(F.collect_list("query_id").alias("ids"))
-    bounds = floors.groupBy(block.alias("block")).agg(F.min(F.col("floor") * F.sqrt("query_size")).alias("bound"))
-    have = _tokens_of(sets.repartition("chunk_id"))
-    met = have.join(postings, "token").groupBy("chunk_id", "chunk_size", "block").agg(
-        F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
-    # floor <= shared / sqrt(query_size * chunk_size) gives a count below which no question of the block can succeed;
-    # the small allowance keeps rounding from dropping a pair that the exact test below would keep.
-    least = F.greatest(F.ceil(F.col("bound") * F.sqrt("chunk_size") - 1e-6), F.lit(1)).cast("int")
-    ready = compute_once(met.join(bounds, "block"), ids=F.col("ids"), least=least)
-    pairs = ready.select("chunk_id", "chunk_size", F.inline(_counts(F.col("ids"), F.col("least"))))
-    scored = pairs.join(floors, "query_id").withColumn(
-        "score", _score(F.col("shared"), F.col("query_size"), F.col("chunk_size")))
-    return scored.filter(F.col("score") >= F.col("floor")).select("query_id", "chunk_id", "score")
-
-
-def score_floors(wanted: DataFrame, sets: DataFrame, k: int, threshold: float, blocks: int) -> DataFrame:
-    """Per question a score its k-th best chunk certainly reaches, at least the threshold.
-
-    The k-th best chunk of any part of the chunks is not better than the k-th best of all, so scoring one part in
-    ``FLOOR_PARTS`` gives a floor for the rest.
+    left = F.least(F.col("query_size") - F.col("place") + EXTRA, F.col("query_size")) + MARGIN
+    square = F.col("floor") * F.col("floor") * F.col("query_size")
+    found = ordered.join(floors, "query_id").withColumns({"least": F.ceil(square - MARGIN), "reach": F.floor(left * left / square)})
+    return found.filter(F.col("reach") >= F.col("least")).select("token", "query_id", "query_size", "floor", "least", "reach")
+
+
+def proposed_pairs(ordered: DataFrame, held: DataFrame, floors: DataFrame) -> DataFrame:
+    """``query_id, chunk_id`` of every pair that can reach the floor of its question, and of some that cannot. ``held`` has
+    the rows of a chunk in one task, so nothing is exchanged for the counts."""
+    index = materialize(leading_tokens(ordered, floors))
+    met = _tokens_of(held).join(_small(index), "token").filter(F.col("chunk_size").between(F.col("least"), F.col("reach")))
+    shared = F.ceil(F.col("floor") * F.sqrt(F.col("query_size").cast("double") * F.col("chunk_size")) - MARGIN)
+    counts = met.groupBy("chunk_id", "chunk_size", "query_id", "query_size", "floor").agg(F.count(F.lit(1)).alias("met"))
+    return counts.filter(F.col("met") >= F.least(shared, F.lit(1 + EXTRA))).select("query_id", "chunk_id")
+
+
+def scores_above(asked: DataFrame, ordered: DataFrame, sets: DataFrame, floors: DataFrame) -> DataFrame:
+    """Pairs that reach the floor of their question. ``floors`` has query_id and floor."""
+    held = sets.repartition("chunk_id")
+    pairs = proposed_pairs(ordered, held, floors).join(held, "chunk_id").join(asked, "query_id").join(floors, "query_id")
+    return pairs.select("query_id", "chunk_id", "floor", similarity(F.col("tokens"), F.col("query_tokens")).alias("score")).filter(
+        F.col("score") >= F.col("floor")).drop("floor")
+
+
+def score_floors(asked: DataFrame, ordered: DataFrame, sets: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Per question a score that its k-th best chunk certainly reaches, at least the threshold.
+
+    The k-th best chunk of any part of the chunks is not better than the k-th best of all. Each part is searched with the
+    floors that the smaller one gave.
     """
-    start = wanted.select("query_id", "query_size", F.lit(threshold).alias("floor")).distinct()
-    part = sets.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(FLOOR_PARTS)) == 0)
-    kth = top_n(scores_above(wanted, part, start, blocks), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k).filter(
-        F.col("rank") == k)
-    return start.join(kth.select("query_id", F.col("score").alias("_kth")), "query_id", "left").select(
-        "query_id", "query_size", F.greatest("floor", "_kth").alias("floor"))
+    floors = asked.select("query_id", F.lit(threshold).alias("floor"))
+    for parts in FLOOR_PARTS:
+        part = sets.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)) == 0)
+        best = top_n(scores_above(asked, ordered, part, floors), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+        kth = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
+        floors = materialize(floors.join(kth, "query_id", "left").select("query_id", F.greatest("floor", "_kth").alias("floor")))
+    return floors
 
 
 def best_pairs(queries: DataFrame, chunks: DataFrame, k: int, threshold: float) -> DataFrame:
     """J04 and K01 as (query_id, chunk_id, score, rank); ties go to the smaller chunk id."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive: pairs that share no token are never formed")
-    wanted = question_tokens(queries)
-    sets = materialize(chunk_token_sets(chunks))
-    blocks = -(-queries.count() // BLOCK_QUESTIONS) or 1
-    floors = materialize(score_floors(wanted, sets, k, threshold, blocks))
-    return top_n(scores_above(wanted, sets, floors, blocks), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    asked, sets = materialize(question_sets(queries)), materialize(chunk_token_sets(chunks))
+    ordered = materialize(rarest_first(asked, sets))
+    floors = score_floors(asked, ordered, sets, k, threshold)
+    return top_n(scores_above(asked, ordered, sets, floors), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_TOP_K, threshold: float = 0.1) -> DataFrame:

@@ -113,12 +113,34 @@ def test_search_equals_scoring_every_pair(spark, monkeypatch):
             if score >= 0.1:
                 scored.append((-score, c))
         want |= {(q, c, r) for r, (_, c) in enumerate(sorted(scored)[:4], 1)}
-    for block in (3, 4096):
-        monkeypatch.setattr(lexical, "BLOCK_QUESTIONS", block)
+    for parts in ((7, 2), (1024, 32), ()):
+        monkeypatch.setattr(lexical, "FLOOR_PARTS", parts)
         got = {(r.query_id, r.chunk_id, r["rank"]) for r in lexical.best_pairs(queries, chunks, 4, 0.1).collect()}
         assert got == want
 
 
+def test_index_leaves_frequent_words_out(spark):
+    """Of the chunks that share a word with a question, few are proposed, although every chunk and question holds the most
+    frequent words."""
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    texts = [(f"c{i}", f"d{i}", "", "", " ".join(draw.choices(words, weights, k=30))) for i in range(3000)]
+    asked = [(i, " ".join(texts[i * 50][4].split()[:20] + draw.choices(words, weights, k=6))) for i in range(40)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, document_id string, title string, source_ref string, text string")
+    queries = spark.createDataFrame(asked, "query_id long, question string")
+    sets, questions = lexical.chunk_token_sets(chunks).cache(), lexical.question_sets(queries).cache()
+    ordered = lexical.rarest_first(questions, sets).cache()
+    floors = lexical.score_floors(questions, ordered, sets, 3, 0.1)
+    # Floors from a part are below the third best of all; here the part holds one chunk in 32.
+    assert floors.filter("floor > 0.1").count() == 40
+    proposed = lexical.proposed_pairs(ordered, sets, floors).count()
+    shared = sum(bool(set(q.split()) & set(t[4].split())) for _, q in asked for t in texts)
+    assert shared > 100_000 and proposed < shared / 4
+    ranked = {(r.query_id, r["rank"]): r.chunk_id for r in lexical.best_pairs(queries, chunks, 3, 0.1).collect()}
+    assert all(ranked[i, 1] == f"c{i * 50}" for i in range(40))
+
+
 def test_foreign_hit_stops_the_job(spark):
     hits = spark.createDataFrame([hit("memory", 1, "a", 0.9)], HITS)
     asked = spark.createDataFrame([(1, "other", "s")], "query_id long, user_id string, knowledge_scope string")
