@@ -12,6 +12,7 @@ from groundwell.functions import identity as ids
 
 from groundwell.functions.render import memory_text
 from groundwell.functions.vectors import hash_embedding
+from groundwell.operators.blocks import block_index
 from groundwell.operators import context, points, structure, vector
 from groundwell.sources import tables
 
@@ -92,7 +93,7 @@ def _(spark, folder):
     return _memory_search(spark, folder, tenant_requests(spark, folder))
 
 
-def _memory_search(spark, folder, questions):
+def _memory_search(spark, folder, questions, indexed=False):
     kinds = F.array(*[F.lit(k) for k in ("identity", "preference", "project_fact", "goal", "constraint")])
     stored = tenant_points(spark, folder).withColumnRenamed("tenant", "user_id").withColumn(
         "kind", F.get(kinds, (F.col("point_id") % 5).cast("int")))
@@ -100,6 +101,7 @@ def _memory_search(spark, folder, questions):
         "requested_kind", F.explode(F.array(F.lit(None).cast("string"), F.lit("goal"))))
     asked = asked.withColumn("query_id", F.concat(
         F.col("query_id").cast("string"), F.lit("/"), F.coalesce("requested_kind", F.lit("all"))))
+    stored = block_index(stored, "user_id") if indexed else stored
     return vector.search_memory(asked, stored, 4).select("query_id", "point_id", "score", "rank")
 
 
@@ -118,7 +120,7 @@ _QUESTIONS = f"{_POINTS}, questions AS (SELECT id AS query_id, tenant, vector AS
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scored) WHERE rank <= 5""")
 def _(spark, folder):
     asked = vector_questions(spark, folder).withColumnRenamed("tenant", "knowledge_scope")
-    stored = tenant_points(spark, folder).withColumnRenamed("tenant", "knowledge_scope")
+    stored = block_index(tenant_points(spark, folder).withColumnRenamed("tenant", "knowledge_scope"), "knowledge_scope")
     return vector.search_documents(asked, stored, 5).select("query_id", "point_id", "score", "rank")
 
 
@@ -131,12 +133,12 @@ def _(spark, folder):
   SELECT query_id, point_id, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM scored) WHERE rank <= 4""")
 def _(spark, folder):
-    return _memory_search(spark, folder, vector_questions(spark, folder))
+    return _memory_search(spark, folder, vector_questions(spark, folder), indexed=True)
 
 
 @query("j12_prefiltered_vectors")
 def _(spark, folder):
-    return vector.prefiltered(vector_questions(spark, folder), tenant_points(spark, folder), "tenant", 5, 1.3).select(
+    return vector.prefiltered(vector_questions(spark, folder), tenant_points(spark, folder), "tenant", 5).select(
         "query_id", "point_id", "score", "rank")
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.functions import identity as ids
 from groundwell.functions.memory import memory_point_reason
 from groundwell.functions.render import memory_text
-from groundwell.functions.text import compute_once, first_reason, is_blank, trim
-from groundwell.functions.vectors import dot, unit, vector_reason
+from groundwell.functions.text import first_reason, is_blank, trim
+from groundwell.functions.vectors import dot, vector_reason
+from groundwell.operators.blocks import (
+    CANDIDATES, DIM, LIST_POINTS, PROBED, BlockIndex, approximate_search, block_index, pruned_search, usable)
+from groundwell.operators.context import validated_hits
 from groundwell.operators.skew import largest, top_n
+from groundwell.operators.stages import materialize
 
 # Vector stores keep scores in single precision; ranking on that many decimals keeps equal scores equal whatever the
 # order of summation, so that ties go to the smaller id.
@@ -34,70 +40,66 @@ def missing_vectors(inputs: DataFrame, vectors: DataFrame, key: str) -> DataFram
     return inputs.join(vectors.filter(F.col("vector").isNotNull()).select(key), key, "left_anti")
 
 
-def nearest(queries: DataFrame, points: DataFrame, tenant: str, limit: int | Column,
+#: Tasks over which the points of one tenant are spread; every question is sent to each of them.
+TENANT_PARTS = 16
+
+
+def _score() -> Column:
+    return F.round(dot(F.col("vector"), F.col("query_vector")), SCORE_DECIMALS)
+
+
+def nearest(queries: DataFrame, points: DataFrame | BlockIndex, tenant: str, limit: int | Column,
             matches: Column | None = None) -> DataFrame:
     """Best points per query by cosine inside the tenant of the query.
 
     ``queries`` has query_id, the tenant column and query_vector; ``points`` has point_id, the tenant column, vector and
-    payload. Vectors are scaled once per row, so a pair costs one dot product, and each task keeps only its best rows
-    per query. The tenant is part of the join key: a pair across tenants is never formed.
+    payload, or is an index of such points, which lets blocks be skipped. Vectors are scaled once per row, so a pair costs one
+    dot product, and each task keeps only its best rows per query. Tenant and dimension are parts of the join key: a pair
+    across tenants is never formed, and a point of another dimension has no cosine with a question and is not met
+    (:func:`foreign_dimensions` names the requests whose tenant has such points).
     """
-    # Vectors may be computed by an expression; the filters below must not repeat it.
-    asked = compute_once(queries, query_vector=F.col("query_vector"))
-    asked = asked.filter(vector_reason(F.col("query_vector")).isNull()).withColumn(
-        "query_vector", unit(F.col("query_vector")))
+    asked = usable(queries, "query_vector")
+    bound = None if isinstance(limit, int) else largest(queries, limit)[0]
+    if isinstance(points, BlockIndex):
+        return pruned_search(asked, points, limit, _score(), matches, bound)
     # Points of tenants that nobody asks are dropped on the stored column, before their vectors are touched.
-    stored = compute_once(points.join(queries.select(tenant).distinct(), tenant, "left_semi"), vector=F.col("vector"))
-    stored = stored.filter(vector_reason(F.col("vector")).isNull()).withColumn("vector", unit(F.col("vector")))
-    pairs = stored.join(asked, tenant)
-    # A point of another dimension has no cosine with the question; it stops the job instead of taking a place.
-    alien = F.size("vector") != F.size("query_vector")
-    pairs = pairs.withColumn("point_id", F.when(alien, F.raise_error(F.concat(
-        F.lit("vector of another dimension: "), F.col("point_id").cast("string"))).cast(points.schema["point_id"].dataType))
-        .otherwise(F.col("point_id")))
+    stored = usable(points.join(queries.select(tenant).distinct(), tenant, "left_semi"), "vector").withColumn(
+        "_part", F.pmod(F.xxhash64("point_id"), F.lit(TENANT_PARTS)))
+    spread = asked.withColumn("_part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TENANT_PARTS)])))
+    pairs = stored.join(spread, [tenant, DIM, "_part"])
     if matches is not None:
         pairs = pairs.filter(matches)
-    scored = pairs.withColumn("score", F.round(dot(F.col("vector"), F.col("query_vector")), SCORE_DECIMALS))
-    bound = None if isinstance(limit, int) else largest(queries, limit)[0]
-    return top_n(scored.drop("vector", "query_vector"), ["query_id"], [F.desc("score"), F.asc("point_id")], limit,
-                 bound=bound)
+    return top_n(pairs.withColumn("score", _score()).drop("vector", "query_vector", "_part", DIM), ["query_id"],
+                 [F.desc("score"), F.asc("point_id")], limit, bound=bound)
+
 
+def foreign_dimensions(queries: DataFrame, points: DataFrame, tenant: str) -> DataFrame:
+    """``query_id, foreign_points`` of the requests whose tenant holds usable vectors of another dimension."""
+    asked = queries.filter(vector_reason(F.col("query_vector")).isNull()).select(
+        "query_id", tenant, F.size("query_vector").alias("_asked"))
+    sizes = points.join(queries.select(tenant).distinct(), tenant, "left_semi").filter(
+        vector_reason(F.col("vector")).isNull()).groupBy(tenant, F.size("vector").alias("_stored")).agg(F.count(F.lit(1)).alias("_n"))
+    return asked.join(sizes, tenant).filter(F.col("_asked") != F.col("_stored")).groupBy("query_id").agg(
+        F.sum("_n").alias("foreign_points"))
 
-def search_documents(queries: DataFrame, points: DataFrame, limit: int | Column) -> DataFrame:
+
+def search_documents(queries: DataFrame, points: DataFrame | BlockIndex, limit: int | Column) -> DataFrame:
     """Scoped document search."""
     return nearest(queries, points, "knowledge_scope", limit)
 
 
-def search_memory(queries: DataFrame, points: DataFrame, limit: int | Column) -> DataFrame:
+def search_memory(queries: DataFrame, points: DataFrame | BlockIndex, limit: int | Column) -> DataFrame:
     """Memory search of one user, of one kind when ``requested_kind`` is given."""
     asked = F.col("requested_kind")
     return nearest(queries, points, "user_id", limit, asked.isNull() | (F.col("kind") == asked))
 
 
-def prefiltered(queries: DataFrame, points: DataFrame, tenant: str, limit: int, radius: float,
-                tables: int = 4, bucket: float = 0.5, seed: int = 7) -> DataFrame:
-    """Approximate form of :func:`nearest`. Random projections propose pairs within ``radius`` on unit vectors and
-    an exact pass ranks them; points that share no bucket with a query are not seen. Off unless called."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def prepared(df: DataFrame, column: str) -> DataFrame:
-        good = df.filter(vector_reason(F.col(column)).isNull()).withColumn(column, unit(F.col(column)))
-        return good.withColumn("features", array_to_vector(column))
-
-    left, right = prepared(points, "vector"), prepared(queries, "query_vector")
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket, seed=seed).fit(left)
-    hashed = model.transform(left).select("*", F.posexplode("hashes").alias("_table", "_hash")).drop("features", "hashes")
-    probes = model.transform(right).select("*", F.posexplode("hashes").alias("_table", "_hash")).drop(
-        "features", "hashes")
-    key = [tenant, "_table", "_bucket"]
-    near = hashed.withColumn("_bucket", F.col("_hash").cast("string")).drop("_hash").join(
-        probes.withColumn("_bucket", F.col("_hash").cast("string")).drop("_hash"), key)
-    scored = near.withColumn("score", F.round(dot(F.col("vector"), F.col("query_vector")), SCORE_DECIMALS))
-    close = scored.filter(2 - 2 * F.col("score") <= radius * radius)
-    once = close.drop("vector", "query_vector", "_table", "_bucket").dropDuplicates(["query_id", "point_id"])
-    return top_n(once, ["query_id"], [F.desc("score"), F.asc("point_id")], limit)
+def prefiltered(queries: DataFrame, points: DataFrame | BlockIndex, tenant: str, limit: int, probed: float = PROBED,
+                candidates: int = CANDIDATES) -> DataFrame:
+    """Approximate form of :func:`nearest`. Lists near a question propose points by their codes, and an exact pass ranks
+    them; points of lists that are not probed are not seen. Off unless called."""
+    index = points if isinstance(points, BlockIndex) else block_index(points, tenant, LIST_POINTS)
+    return approximate_search(usable(queries, "query_vector"), index, limit, _score(), probed, candidates)
 
 
 # --- hits ----------------------------------------------------------------------------------------------------------
@@ -106,8 +108,8 @@ HIT_COLUMNS = ["query_id", "source", "id", "content", "score", "user_id", "knowl
                "source_ref", "metadata"]
 
 
-def memory_hits(results: DataFrame) -> DataFrame:
-    """Search results as hits of the memory source."""
+def memory_hits(results: DataFrame, *more: str) -> DataFrame:
+    """Search results as hits of the memory source, with ``more`` columns as they are."""
     key, value, kind = trim(F.col("memory_key")), trim(F.col("value")), trim(F.col("kind"))
     return results.select(
         "query_id",
@@ -121,10 +123,11 @@ def memory_hits(results: DataFrame) -> DataFrame:
         F.lit("").alias("title"),
         F.lit("").alias("source_ref"),
         F.create_map(F.lit("key"), key, F.lit("version"), F.col("version").cast("string")).alias("metadata"),
+        *more,
     )
 
 
-def document_hits(results: DataFrame) -> DataFrame:
+def document_hits(results: DataFrame, *more: str) -> DataFrame:
     return results.select(
         "query_id",
         F.lit("document").alias("source"),
@@ -140,6 +143,7 @@ def document_hits(results: DataFrame) -> DataFrame:
             F.lit("document_id"), F.col("document_id"), F.lit("chunk_id"), F.col("chunk_id"),
             F.lit("content_hash"), F.col("content_hash"), F.lit("embedding_model"), F.col("embedding_model"),
         ).alias("metadata"),
+        *more,
     )
 
 
@@ -160,24 +164,17 @@ def retrieved_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("reject_reason", reason).withColumns({c: trim(F.col(c)) for c in fields})
 
 
-def require_intact(results: DataFrame, reason: Column) -> DataFrame:
-    """A retrieved point that breaks a payload rule stops the job."""
-    broken = F.raise_error(F.concat(F.lit("stored point is not intact: "), F.col("point_id").cast("string"), F.lit(": "), reason))
-    # The check is part of a column that is kept, so it cannot be pruned away.
-    return results.withColumn("score", F.when(reason.isNull(), F.col("score")).otherwise(broken.cast("double")))
-
-
-def intact_documents(results: DataFrame) -> DataFrame:
-    """P13, P27 on search results."""
+def document_point_reason() -> Column:
+    """P13, P27 for a found document point."""
     required = [(is_blank(F.col(c)), f"{c}_required") for c in ("knowledge_scope", "document_id", "chunk_id", "text")]
-    return require_intact(results, F.coalesce(payload_reason(), first_reason(*required)))
+    return F.coalesce(payload_reason(), first_reason(*required))
 
 
-def intact_memories(results: DataFrame) -> DataFrame:
-    """P14 on search results. A point without an ``item_id`` of its own is its item."""
+def judged_memories(results: DataFrame) -> DataFrame:
+    """``point_reason`` of found memory points. A point without an ``item_id`` of its own is its item."""
     if "item_id" not in results.columns:
         results = results.withColumn("item_id", F.col("point_id"))
-    return require_intact(results.withColumn("requested_user_id", trim(F.col("user_id"))), memory_point_reason())
+    return results.withColumn("requested_user_id", trim(F.col("user_id"))).withColumn("point_reason", memory_point_reason())
 
 
 # --- both sources --------------------------------------------------------------------------------------------------
@@ -204,22 +201,9 @@ def tenant_violations(hits: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.filter(~own).drop("_user", "_scope")
 
 
-def require_own_tenant(hits: DataFrame, requests: DataFrame) -> DataFrame:
-    """P12 as a guard: a foreign hit stops the job."""
-    owners = requests.select("query_id", F.col("user_id").alias("_user"), F.col("knowledge_scope").alias("_scope"))
-    joined = hits.join(owners, "query_id", "left")
-    foreign = F.when(F.col("source") == "memory", ~F.col("user_id").eqNullSafe(F.col("_user"))).otherwise(
-        ~F.col("knowledge_scope").eqNullSafe(F.col("_scope")))
-    checked = F.when(foreign, F.raise_error(F.concat(F.lit("hit of another tenant: "), F.col("id"))).cast("string"))
-    # The check is part of a column that is kept, so it cannot be pruned away.
-    return joined.withColumn("id", F.coalesce(checked, F.col("id"))).drop("_user", "_scope")
-
-
-def dual_retrieve(requests: DataFrame, memory_points: DataFrame, document_points: DataFrame) -> DataFrame:
-    """Hits of both sources for every valid request; a disabled source is skipped.
-
-    ``requests`` carries query_vector, computed once and used for both sources.
-    """
+def checked_hits(requests: DataFrame, memory_points: DataFrame | BlockIndex, document_points: DataFrame | BlockIndex) -> DataFrame:
+    """Trimmed hits of both sources for every valid request, with the reason why a hit must not be used: its point breaks a
+    payload rule (P13, P14, P27), it belongs to another tenant (P12), or it breaks a rule for hits (P10, P11)."""
     valid = requests.filter(dual_request_reason().isNull())
     personal = valid.filter("use_memory").select(
         "query_id", trim(F.col("user_id")).alias("user_id"), "query_vector", F.col("memory_limit").alias("_limit"),
@@ -227,14 +211,45 @@ def dual_retrieve(requests: DataFrame, memory_points: DataFrame, document_points
     scoped = valid.filter("use_documents").select(
         "query_id", trim(F.col("knowledge_scope")).alias("knowledge_scope"), "query_vector",
         F.col("document_limit").alias("_limit"))
-    found = memory_hits(intact_memories(search_memory(personal, memory_points, F.col("_limit")))).unionByName(
-        document_hits(intact_documents(search_documents(scoped, document_points, F.col("_limit")))))
-    return require_own_tenant(found, requests)
+    memories = judged_memories(search_memory(personal, memory_points, F.col("_limit")))
+    documents = search_documents(scoped, document_points, F.col("_limit")).withColumn("point_reason", document_point_reason())
+    found = memory_hits(memories, "point_reason").unionByName(document_hits(documents, "point_reason"))
+    owners = requests.select("query_id", trim(F.col("user_id")).alias("_user"), trim(F.col("knowledge_scope")).alias("_scope"))
+    foreign = F.when(F.col("source") == "memory", ~F.col("user_id").eqNullSafe(F.col("_user"))).otherwise(
+        ~F.col("knowledge_scope").eqNullSafe(F.col("_scope")))
+    judged = validated_hits(found).join(owners, "query_id")
+    return judged.withColumn("reject_reason", F.coalesce(
+        F.concat(F.lit("stored point is not intact: "), "point_reason"), F.when(foreign, "hit of another tenant"),
+        "reject_reason")).drop("_user", "_scope", "point_reason")
+
+
+@dataclass(frozen=True)
+class Retrieved:
+    """Hits of the requests that can be answered, and ``query_id, reject_reason`` of those that met a broken hit."""
+
+    hits: DataFrame
+    refused: DataFrame
+
+
+def dual_results(requests: DataFrame, memory_points: DataFrame | BlockIndex, document_points: DataFrame | BlockIndex) -> Retrieved:
+    """A request that meets one hit that must not be used is given up with a reason, as its tenant's data cannot be
+    trusted; all other requests of the batch are answered."""
+    checked = materialize(checked_hits(requests, memory_points, document_points))
+    refused = checked.filter(F.col("reject_reason").isNotNull()).groupBy("query_id").agg(F.min(
+        F.concat("id", F.lit(": "), "reject_reason")).alias("reject_reason"))
+    return Retrieved(checked.join(refused, "query_id", "left_anti").drop("reject_reason"), refused)
+
+
+def dual_retrieve(requests: DataFrame, memory_points: DataFrame | BlockIndex, document_points: DataFrame | BlockIndex) -> DataFrame:
+    """Hits of both sources for every valid request that can be answered; a disabled source is skipped.
+
+    ``requests`` carries query_vector, computed once and used for both sources.
+    """
+    return dual_results(requests, memory_points, document_points).hits
 
 
 def retrieval_warnings(requests: DataFrame) -> DataFrame:
-    """A request without a usable query vector goes on without context, with a warning instead of hits. Broken
-    tenant and payload rules stop the job in :func:`require_own_tenant` and :func:`require_intact`."""
+    """A request without a usable query vector goes on without context, with a warning instead of hits."""
     reason = vector_reason(F.col("query_vector"))
     return requests.select("query_id", F.when(
         reason.isNotNull(), F.array(F.concat(F.lit("query embedding unavailable: "), reason))

@@ -36,9 +36,10 @@ def _retrieved(requests: DataFrame, memory_points: DataFrame, document_points: D
         F.col("use_knowledge").alias("use_documents"), "memory_limit", "document_limit", "context_token_budget",
     )
     embedded = materialize(asked.withColumn("query_vector", embed(F.col("query"))))
-    hits = vector.dual_retrieve(embedded, memory_points, document_points)
-    selection = context.select_within_budget(context.merge(hits, embedded), embedded, counter)
-    warned = vector.retrieval_warnings(embedded)
+    found = vector.dual_results(embedded, memory_points, document_points)
+    selection = context.select_within_budget(context.merge(found.hits, embedded), embedded, counter)
+    warned = vector.retrieval_warnings(embedded).join(
+        found.refused.withColumnRenamed("reject_reason", "retrieval_reason"), "query_id", "left")
     return warned.join(selection, "query_id", "left").withColumnRenamed("query_id", "request_id")
 
 
@@ -82,8 +83,8 @@ def assemble(requests: DataFrame, messages: DataFrame, memory_points: DataFrame,
         .otherwise("count"),
     })
     planned = materialize(planned.withColumns({
-        "plan_reason": F.when(F.col("auto_token_budget"), F.coalesce("plan_reason", F.when(
-            F.col("use_session_summary"), history.summary_reserve_reason()))),
+        "plan_reason": F.coalesce("retrieval_reason", F.when(F.col("auto_token_budget"), F.coalesce("plan_reason", F.when(
+            F.col("use_session_summary"), history.summary_reserve_reason())))),
         "history_budget": F.when(F.col("auto_token_budget"), F.col("available_history_tokens") - reserve)
         .otherwise(F.col("recent_token_budget")),
     }))
