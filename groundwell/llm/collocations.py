@@ -5,10 +5,12 @@ these windows are counted, so a word is shuffled once (and once a task, if its w
 phrase is the sum over the windows that it starts, which ``ROLLUP`` takes prefix by prefix; no text is cut into n-grams of
 each order.
 
-Windows hold 64-bit ids of words, which are hashes. A first pass counts the words; it proves that no two words of the
-input share an id (or another seed is taken), and gives the sizes of the languages. A word below the least count is in no
-candidate, so a window ends before it. Tasks know such words by a bitmap of ``BITS`` bits, whatever the vocabulary; a rare word
-that passes it by chance is counted and dropped later. Tasks add equal windows up before they leave.
+A first pass counts the words and gives the sizes of the languages. A word below the least count is in no candidate, so a
+window ends before it. The other words are numbered, the most frequent first, and a window is one 64-bit number where that
+holds all its words. Tasks add equal windows up before they leave. The numbers travel to the tasks, so their count is
+checked: beyond ``NUMBERED`` words, or where a window does not fit, windows have a column for each word with its 64-bit hash, and
+tasks know rare words by a bitmap of ``BITS`` bits (a rare word that passes it by chance is counted and dropped later). The first
+pass proves that no two words share a hash, or another seed is taken.
 
 Scores are exact: products are decimals of 38 digits, which holds a billion times a trillion squared.
 
@@ -37,9 +39,10 @@ LEAST = 10
 COVERED = 50
 TOP = 2000
 SCORE = "(a * a * 1000000BD) div (l * r)"
-#: Words of the bitmap, and what a task holds: distinct words, and words whose windows it adds up.
+#: Words that are numbered, bits of the bitmap, and what a task holds: distinct words, and words whose windows it adds up.
+NUMBERED = (1 << 21) - 1
 BITS = 1 << 25
-HELD, WORDS = 400_000, 2_000_000
+HELD, WORDS = 300_000, 1_500_000
 SEEDS = 8
 #: Lower-cases A-Z and turns breaks into full stops, which no word holds.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -51,7 +54,10 @@ def _words(text: bytes | None) -> list[bytes]:
 
 
 def _id(lang: bytes, word: bytes, seed: int) -> int:
-    return xxhash.xxh64_intdigest(lang + b"\0" + word, seed)
+    """Spark's ``xxhash64(seed, lang, word)`` over texts."""
+    value = xxhash.xxh64_intdigest(str(seed).encode(), 42)
+    value = xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang, value))
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _texts(documents: DataFrame, text: str, lang: str) -> DataFrame:
@@ -69,8 +75,7 @@ def vocabulary(documents: DataFrame, text: str, lang: str, seed: int) -> DataFra
             counts.clear()
             return pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()),
-                pa.array(np.array([_id(name, word, seed) for name, word, _ in rows], np.uint64).view(np.int64)),
-                pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "id", "f"])
+                pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "f"])
 
         for batch in batches:
             for name, value in zip(*(c.to_pylist() for c in batch.columns)):
@@ -79,9 +84,10 @@ def vocabulary(documents: DataFrame, text: str, lang: str, seed: int) -> DataFra
                     yield told()
         yield told()
 
-    told = _texts(documents, text, lang).mapInArrow(run, "lang binary, word binary, id bigint, f bigint")
-    return told.groupBy("lang", "word", "id").agg(F.sum("f").alias("f")).select(
-        F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"), "id", "f")
+    told = _texts(documents, text, lang).mapInArrow(run, "lang binary, word binary, f bigint")
+    return told.groupBy("lang", "word").agg(F.sum("f").alias("f")).select(
+        F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"),
+        F.xxhash64(F.lit(str(seed)), F.col("lang").cast("string"), F.col("word").cast("string")).alias("id"), "f")
 
 
 def named_words(documents: DataFrame, text: str, lang: str) -> tuple[int, DataFrame]:
@@ -104,13 +110,55 @@ def frequent_bits(words: DataFrame, least: int, bits: int) -> bytes:
     return bytes(whole[:-(-bits // 8)])
 
 
-def added_windows(ids: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The windows of a sequence of ids, in order and each once, with their counts; 0 ends a window."""
+class Numbers:
+    """The number of every word that is not rare: its place by frequency, or its hash where there are too many. 0 is no word."""
+
+    def __init__(self, words: DataFrame, least: int, seed: int, order: int):
+        self.seed, self.bits, self.places, self.width = seed, None, None, 0
+        often = words.filter(F.col("f") >= least)
+        count = often.count()
+        if count <= NUMBERED and order * count.bit_length() < 64:
+            held = often.select("id", "f").toArrow()
+            ids, f = held["id"].to_numpy(), held["f"].to_numpy()
+            self.hashes, self.width = np.sort(ids), max(1, count.bit_length())
+            self.places = np.empty(count, np.int64)
+            self.places[np.lexsort((self.hashes, -f[np.argsort(ids)]))] = np.arange(1, count + 1)
+        else:
+            self.bits = np.frombuffer(frequent_bits(words, least, BITS), np.uint8)
+
+    def number(self, lang: bytes, word: bytes) -> int:
+        if word == b".":
+            return 0
+        value = _id(lang, word, self.seed)
+        if self.bits is not None:
+            place = value % (len(self.bits) * 8)
+            return value if self.bits[place >> 3] >> (place & 7) & 1 else 0
+        at = int(np.searchsorted(self.hashes, value))
+        return int(self.places[at]) if at < len(self.hashes) and self.hashes[at] == value else 0
+
+    def named(self, words: DataFrame) -> DataFrame:
+        """``id, word, lang`` with the numbers of the words as ids."""
+        if self.places is None:
+            return words.select("id", "word", "lang")
+        table_ = pa.table({"id": self.hashes, "place": self.places})
+        return words.join(words.sparkSession.createDataFrame(table_), "id").select(F.col("place").alias("id"), "word", "lang")
+
+
+def added_windows(ids: np.ndarray, order: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The windows of a sequence of ids, in order and each once, with their counts; 0 ends a window. With a ``width``, a window
+    is one number with so many bits for each word."""
     padded = np.concatenate([ids, np.zeros(order, np.int64)])
     columns = [padded[:len(ids)]]
     for k in range(1, order):
         columns.append(np.where(columns[-1] == 0, 0, padded[k:len(ids) + k]))
-    columns = [c[columns[0] != 0] for c in columns]
+    opened = columns[0] != 0
+    columns = [c[opened] for c in columns]
+    if width:
+        keys = columns[0]
+        for c in columns[1:]:
+            keys = keys << width | c
+        keys, counts = np.unique(keys, return_counts=True)
+        return [keys], counts
     by = np.lexsort(columns[::-1])
     columns = [c[by] for c in columns]
     fresh = np.ones(len(by), bool)
@@ -119,26 +167,21 @@ def added_windows(ids: np.ndarray, order: int) -> tuple[list[np.ndarray], np.nda
     return [c[starts] for c in columns], np.diff(starts, append=len(by))
 
 
-def windows(documents: DataFrame, text: str, lang: str, order: int, seed: int, frequent: bytes) -> DataFrame:
-    """``w1 .. wN, n``: the windows that open at frequent words, added up within tasks. 0 stands for a break, for a rare
-    word, and for all that follows these."""
-    names = [f"w{k}" for k in range(1, order + 1)]
+def windows(documents: DataFrame, text: str, lang: str, order: int, numbers: Numbers) -> DataFrame:
+    """``w1 .. wN, f``, or ``w, f``: the windows that open at frequent words, added up within tasks and then over all. 0 stands
+    for a break, for a rare word, and for all that follows these."""
+    names = ["w"] if numbers.width else [f"w{k}" for k in range(1, order + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = np.frombuffer(frequent, np.uint8), defaultdict(dict)
+        known = defaultdict(dict)
 
         def number(name: bytes, word: bytes) -> int:
-            value = _id(name, word, seed)
-            signed = value - (1 << 64) if value >> 63 else value
-            place = signed % (len(bits) * 8)
-            found = signed if word != b"." and bits[place >> 3] >> (place & 7) & 1 else 0
             if sum(map(len, known.values())) > HELD:
                 known.clear()
-            known[name][word] = found
-            return found
+            return known[name].setdefault(word, numbers.number(name, word))
 
         def told(parts: list[np.ndarray]) -> pa.RecordBatch:
-            columns, counts = added_windows(np.concatenate(parts), order)
+            columns, counts = added_windows(np.concatenate(parts), order, numbers.width)
             return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts)], names=[*names, "n"])
 
         held, size = [], 0
@@ -156,22 +199,26 @@ def windows(documents: DataFrame, text: str, lang: str, order: int, seed: int, f
         if held:
             yield told(held)
 
-    return _texts(documents, text, lang).mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "n"]))
+    told_ = _texts(documents, text, lang).mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "n"]))
+    return told_.groupBy(*names).agg(F.sum("n").alias("f"))
 
 
 def counted(documents: DataFrame, text: str, lang: str, order: int, least: int) -> tuple[DataFrame, DataFrame]:
     """``lang, words, f`` of every phrase of up to ``order`` words that stands at least ``least`` times, and ``lang, n``."""
     seed, words = named_words(documents, text, lang)
-    names = [f"w{k}" for k in range(1, order + 1)]
-    seen = windows(documents, text, lang, order, seed, frequent_bits(words, least, BITS))
-    longest = seen.groupBy(*names).agg(F.sum("n").alias("f"))
+    numbers = Numbers(words, least, seed, order)
+    names, width = [f"w{k}" for k in range(1, order + 1)], numbers.width
+    longest = windows(documents, text, lang, order, numbers)
+    if width:
+        mask = F.lit((1 << width) - 1)
+        longest = longest.select(*[F.shiftright("w", width * (order - k)).bitwiseAND(mask).alias(f"w{k}") for k in range(1, order + 1)], "f")
     # The bound depends on the last word, so both uses share the exchange of the windows.
     whole = longest.filter(F.col("f") >= F.when(F.col(names[-1]) == 0, F.lit(None)).otherwise(least)).select(
         F.array(*names).alias("ids"), "f")
     shorter = longest.rollup(*names[:-1]).agg(F.sum("f").alias("f")).filter((F.col("f") >= least) & F.col("w1").isNotNull()).select(
         F.filter(F.array(*names[:-1]), lambda w: w.isNotNull()).alias("ids"), "f").filter(~F.array_contains("ids", 0))
     phrases = materialize(whole.unionByName(shorter))
-    spelled = phrases.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(words.select("id", "word", "lang"), "id")
+    spelled = phrases.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(numbers.named(words), "id")
     named = spelled.groupBy("ids", "f", "lang").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("spelled"))
     return (named.select("lang", F.col("spelled.word").alias("words"), "f"),
             words.groupBy("lang").agg(F.sum("f").alias("n")))

@@ -46,8 +46,9 @@ def rows_of(df):
     return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect())
 
 
-@pytest.mark.parametrize(("order", "least", "top"), [(3, 4, 2000), (2, 3, 5), (4, 3, 2000), (3, 1, 7)])
-def test_matches_brute_force(spark, order, least, top):
+@pytest.mark.parametrize(("order", "least", "top", "numbered"), [(3, 4, 2000, 10 ** 6), (2, 3, 5, 10 ** 6), (4, 3, 2000, 0), (3, 1, 7, 0)])
+def test_matches_brute_force(spark, monkeypatch, order, least, top, numbered):
+    monkeypatch.setattr(collocations, "NUMBERED", numbered)
     draw = random.Random(order * 10 + least)
     words = ["a", "B", "c", "É", "d\x1ce", "-", "New", "York", "日本"]
     rows = [("".join(draw.choice(words) + draw.choice([" ", " ", " ", "\t", "  ", ". ", ",", "\n", "\r\n", "!? "]) for _ in range(draw.randint(0, 40))),
