@@ -40,6 +40,18 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    """Roles are lines, so a newline becomes a backslash and an n; no other escape ends in an n."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    """Pairs of backslashes are set aside first, so what follows a single one names its escape."""
+    parts = F.transform(F.split(role, r"\\\\"), lambda p: F.replace(
+        F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\|"), F.lit("|")))
+    return F.array_join(parts, "\\")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages: ``conv_id, turn, number, role, text``; ``number`` tells messages of one turn apart."""
     rank = F.array_position(F.array(*map(F.lit, ("message", "regenerate", "edit", "delta"))), F.col("kind"))
@@ -67,7 +79,7 @@ def render(messages: DataFrame) -> DataFrame:
     """``conv_id, slice, formatted, loss``: the text of up to ``SLICE`` turns, and spans [start, end) in code points of
     what a model is trained on. The slices of a conversation, in order, make up its formatted text."""
     within = Window.partitionBy("conv_id", "slice").orderBy("turn", "number")
-    head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     placed = (
         messages.withColumns({"slice": F.floor(F.col("turn") / SLICE), "head": head, "body": escape(F.col("text"))})
         .withColumn("whole", F.concat("head", "body", F.lit(CLOSE)))
@@ -84,10 +96,10 @@ def render(messages: DataFrame) -> DataFrame:
 
 def parse(formatted: Column) -> Column:
     """The messages of a rendered text, as an array of (role, text)."""
-    pattern = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)$"
+    pattern = r"(?s)^<\|im_start\|>([^\n]*)\n(.*)$"
     return F.transform(
         F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda p: p != ""),
-        lambda p: F.struct(unescape(F.regexp_extract(p, pattern, 1)).alias("role"),
+        lambda p: F.struct(unescape_role(F.regexp_extract(p, pattern, 1)).alias("role"),
                            unescape(F.regexp_extract(p, pattern, 2)).alias("text")))
 
 
@@ -138,6 +150,26 @@ FROM turns GROUP BY conv_id
 """
 
 
+def replayed(rows: DataFrame) -> DataFrame:
+    """A log whose messages are the rows: texts are streamed in two pieces, some after a false start that is generated anew or
+    edited away. Rows that share a turn follow one another."""
+    text, turn = F.coalesce("text", F.lit("")), F.coalesce("turn", F.lit(0))
+    first, rest = F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")), F.substring(
+        text, (F.floor(F.length(text) / 2) + 1).cast("int"), F.length(text))
+
+    def event(kind: str, said: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.when(F.lit(kind == "message"), F.col("role")).alias("role"), said.alias("text"))
+
+    kept = F.array(event("message", first), event("delta", rest))
+    redone = F.array(event("message", F.lit("no, wait")), event("regenerate", first), event("delta", rest))
+    edited = F.array(event("message", first), event("delta", F.lit("...")), event("edit", text))
+    log = F.when(F.pmod(turn, F.lit(3)) == 1, redone).when(F.pmod(turn, F.lit(3)) == 2, edited).otherwise(kept)
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    return rows.withColumn("place", F.row_number().over(order)).select(
+        "conv_id", "turn", F.col("place").cast("long").alias("place"), F.posexplode(log).alias("step", "event")).select(
+        "conv_id", "turn", (F.col("place") * 4 + F.col("step")).alias("seq"), "event.kind", "event.role", "event.text")
+
+
 @query("op1_chat_formatting", SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
@@ -145,5 +177,4 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(control).alias("text"))
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    events = rows.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return digests(format_chat(events))
+    return digests(format_chat(replayed(rows)))

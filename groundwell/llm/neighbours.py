@@ -11,9 +11,12 @@ The lists are fitted on a sample of ``SAMPLE`` vectors; every vector is indexed.
 precision, ties go to the smaller id. Queries are dealt out in groups, lists in blocks, so that neither a popular list nor a
 vector with very many copies meets in one task.
 
-Defined results: vectors that are null, empty, zero, of another dimension than the sample's first, or hold null or
-non-finite components take no part, nor do rows without an id; of rows that share an id each is a candidate, but none is one
-for its own id; with fewer candidates than k all are returned; an empty table gives no rows. Other columns are ignored.
+A query whose lists hold fewer than k other vectors is asked again in all lists. The lists are made of the most frequent
+dimension; vectors of another one are compared with those of their own, exactly and in blocks as well.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without
+an id; vectors of different dimensions have no distance; of rows that share an id each is a candidate, but none is one for
+its own id; with fewer candidates than k all are returned; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +43,12 @@ STRICT = 2.1
 PROBED = 0.75
 
 
-def valid(vectors: DataFrame, vec_id: str, embedding: str, dimension: int | None = None) -> DataFrame:
+def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """``vec_id, v`` of the vectors that take part."""
     v = F.col(embedding).cast("array<double>")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(
+    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull() & (F.size("v") > 0)
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    return rows if dimension is None else rows.filter(F.size("v") == dimension)
 
 
 def rotation(dimension: int, seed: int = 11) -> np.ndarray:
@@ -115,17 +117,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "ve
     """``query_id, rank, vec_id, score``: up to k nearest vectors of each row of ``queries``, other than rows of its id."""
     spark = vectors.sparkSession
     rows = valid(vectors, vec_id, embedding)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    if not sample:
+    common = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if common is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dimension = len(sample[0])
-    fitted = np.array([v for v in sample if len(v) == dimension])
-    total = vectors.count()
-    found = centres(fitted, int(min(4096, max(1, total ** 0.5))))
-    probes = max(1, min(len(found), int(np.ceil(probed * len(found)))))
+    dimension, total = common.width, common["count"]
+    sample = rows.filter(F.size("v") == dimension).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    found = centres(np.array(sample.select("v").toPandas()["v"].tolist()), int(min(4096, max(1, total ** 0.5))))
     turn = rotation(dimension)
 
-    def assigned(count: int, group: int, name: str):
+    def assigned(vectors_: DataFrame, count: int, name: str) -> DataFrame:
+        """Vectors with their nearest lists; those of another dimension have one list, below 0."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
@@ -135,40 +136,51 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "ve
                         batch.column(0).take(order), batch.column(1).take(order), pa.array(near.reshape(-1).astype(np.int32))],
                         names=[name, "v", "list"])
 
-        return run
-
-    # A block holds about BLOCK vectors of a list, a group about QUERIES_AT_ONCE queries: as many as counts ask for.
-    kept = materialize(valid(vectors, vec_id, embedding, dimension).mapInArrow(
-        assigned(1, BLOCK, "vec_id"), "vec_id bigint, v array<double>, list int"))
-    sizes = kept.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = materialize(valid(queries, vec_id, embedding, dimension).mapInArrow(
-        assigned(probes, QUERIES_AT_ONCE, "query_id"), "query_id bigint, v array<double>, list int"))
-    groups = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("groups"))
-    shape = materialize(sizes.join(groups, "list"))
-    stored = kept.join(shape, "list").select(
-        "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "vec_id", "v")
-    posed = asked.join(shape, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int").alias("group"), "query_id", "v")
+        others = vectors_.filter(F.size("v") != dimension).select(F.col("vec_id").alias(name), "v", (-F.size("v")).alias("list"))
+        return vectors_.filter(F.size("v") == dimension).mapInArrow(run, f"{name} bigint, v array<double>, list int").unionByName(others)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
             ids = left.column("vec_id").to_numpy()
             data = _matrix(left.column("v").combine_chunks())
-            for own, at, far in scan(_matrix(right.column("v").combine_chunks()), right.column("query_id").to_numpy(), ids,
-                                     data, turn, k, strict):
+            usual = data.shape[1] == dimension
+            for own, at, far in scan(_matrix(right.column("v").combine_chunks()), right.column("query_id").to_numpy(), ids, data,
+                                     turn if usual else np.eye(data.shape[1]), k, strict if usual else 1e9):
                 out.append((np.full(len(at), own), ids[at], far))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    keys = ["list", "block", "group"]
-    near = stored.groupBy(keys).cogroup(posed.groupBy(keys)).applyInArrow(
-        compare, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    # A block holds about BLOCK vectors of a list, a group about QUERIES_AT_ONCE queries: as many as counts ask for.
+    kept = materialize(assigned(rows, 1, "vec_id"))
+    sizes = kept.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+
+    def found_in(posed_: DataFrame, probes: int) -> DataFrame:
+        asked = materialize(assigned(posed_, probes, "query_id"))
+        groups = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("groups"))
+        shape = materialize(sizes.join(groups, "list"))
+        stored = kept.join(shape, "list").select(
+            "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "vec_id", "v")
+        posed = asked.join(shape, "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int").alias("group"), "query_id", "v")
+        keys = ["list", "block", "group"]
+        near = stored.groupBy(keys).cogroup(posed.groupBy(keys)).applyInArrow(
+            compare, "query_id bigint, vec_id bigint, score double")
+        best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return materialize(near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+            "query_id", "rank", "vec_id", "score"))
+
+    asks = valid(queries, vec_id, embedding)
+    probes = max(1, min(len(found), int(np.ceil(probed * len(found)))))
+    near = found_in(asks, probes)
+    full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = materialize(asks.join(full, "vec_id", "left_anti"))
+    if probes == len(found) or short.isEmpty():
+        return near
+    again = found_in(short, len(found))
+    return near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 
 @query("op6_nearest_neighbours")

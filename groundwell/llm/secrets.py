@@ -20,6 +20,7 @@ repeated rows are scanned one by one; an empty table gives no rows. Other column
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -82,12 +83,13 @@ def rule_spans(text: str, raw: bytes) -> list[Span]:
 
 def candidates(text: str | None, raw: bytes) -> list[tuple[int, int]]:
     """Runs that could hold a secret, in code points."""
-    found = []
+    found, place, start = [], 0, 0
     for m in _RUN.finditer(raw.translate(_SHAPE)):
         shape = m.group().strip(b".")
         if len(shape) >= 16 and (b"0" in shape or b"A" in shape[1:] and b"a" in shape):
-            skip = len(m.group()) - len(m.group().lstrip(b"."))
-            start = len(raw[:m.start() + skip].decode("utf-8", "ignore"))
+            begins = m.start() + len(m.group()) - len(m.group().lstrip(b"."))
+            start += len(raw[place:begins].decode("utf-8", "ignore"))
+            place = begins
             found.append((start, start + len(shape)))
     return found
 
@@ -217,7 +219,25 @@ def shaped(contexts: list[str], count: int, seed: int) -> list[tuple[bytes, int,
 
 def uncovered(text: str, raw: bytes, rules: list[Span]) -> list[tuple[int, int]]:
     """The candidates that are left to the network."""
-    return [(s, e) for s, e in candidates(text, raw) if not any(s < b and a < e for a, b, _ in rules)]
+    covered = Covered((a, b) for a, b, _ in rules)
+    return [(s, e) for s, e in candidates(text, raw) if not covered.meets(s, e)]
+
+
+class Covered:
+    """Places that are taken, joined where they overlap, so that one look-up tells whether a span meets any."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
 
 
 def suspect(value: str) -> bool:
@@ -242,9 +262,9 @@ def findings(text: str, raw: bytes) -> list[tuple[bytes, int]]:
     keys = [(s, e) for s, e in free if suspect(text[s:e])]
     out = [(window(text, s, e), 1) for s, e, _ in rules]
     out += [(window(text, *c), 0) for c in sorted(set(free) - set(keys))]
-    taken = [(s, e) for s, e, _ in rules] + keys
+    taken = Covered([(s, e) for s, e, _ in rules] + keys)
     for m in re.finditer(r"[^\W\d]{12,}", text):
-        if not any(m.start() < b and a < m.end() for a, b in taken):
+        if not taken.meets(m.start(), m.end()):
             out.append((window(text, m.start(), m.end()), 0))
             break
     return [(w, label) for label in (1, 0) for w in sorted({w for w, y in out if y == label}, key=_hash)[:DOC_FINDINGS]]

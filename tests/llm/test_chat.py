@@ -47,3 +47,21 @@ def test_very_long_text_and_null_slice_order(spark):
     got = chat.digests(chat.format_chat(events)).collect()[0]
     assert got.turns_sha256 == hashlib.sha256(f"user\nfirst\nassistant\n{long}\n".encode()).hexdigest()
     assert got.loss_chars == len(long)
+
+
+def test_long_roles_with_many_escapes(spark):
+    roles = ["r\n\\<|n|" * 120_000, "\\n", "\\\n\\\\n\n", "<|\n\\|", "x" * 20_000, "\n"]
+    rows = [(1, i, i, "message", role, "said \n \\n <|", 0) for i, role in enumerate(roles)]
+    rendered = chat.format_chat(spark.createDataFrame(rows, SCHEMA))
+    turns = rendered.select(chat.parse(chat.F.col("formatted")).alias("turns")).collect()[0].turns
+    assert [(t.role, t.text) for t in turns] == [(r, "said \n \\n <|") for r in roles]
+
+
+def test_replayed_log_folds_into_its_rows(spark, edges):
+    rows = [(r.doc_id, i % 7 if i % 5 else None, r.source, r.text) for i, r in enumerate(edges.collect())]
+    rows += [(9, t, "assistant", f"text {t}" * (t % 4)) for t in range(20)] + [(9, 4, "user", "twice"), (9, 4, "user", "twice")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    log = chat.replayed(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    got = chat.fold(log).select("conv_id", "turn", "role", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((c, t, r or "", x or "")) for c, t, r, x in rows)

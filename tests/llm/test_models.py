@@ -85,3 +85,32 @@ def test_quality_edges(spark, edges, nothing):
     untaught = quality.classify(edges, labels.limit(0)).collect()
     assert all(r.keep and r.evidence == 0 for r in untaught) and len(untaught) == edges.count()
     assert quality.classify(nothing, labels).count() == 0
+
+
+def nearest_by_loops(rows, asked, k=10):
+    out = {}
+    for q, v in asked:
+        far = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows if i != q and len(w) == len(v))
+        out[q] = [i for _, i in far[:k]]
+    return out
+
+
+def test_neighbours_with_other_dimensions(spark):
+    """One odd vector, whichever its hash, takes nothing from the others; other dimensions have neighbours of their own."""
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=8).tolist()) for i in range(300)] + [(i, draw.normal(size=5).tolist()) for i in range(300, 330)]
+    rows += [(400, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = [r for r in rows if r[0] % 20 == 0]
+    got = found(neighbours.search(df, df.filter("vec_id % 20 = 0"), probed=1.0, strict=50.0))
+    expected = nearest_by_loops(rows, asked)
+    assert {q: [v for v, _ in h] for q, h in got.items()} == {q: v for q, v in expected.items() if v}
+
+
+def test_neighbours_beyond_the_probed_lists(spark):
+    """Copies fill the lists that are not probed: all queries still get ten."""
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=4).tolist()) for i in range(8)] + [(100 + i, [50.0, 50.0, 50.0, 50.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = found(neighbours.search(df, df))
+    assert {q: [v for v, _ in h] for q, h in got.items()} == nearest_by_loops(rows, rows)

@@ -228,3 +228,33 @@ def test_queries_digest_what_operators_return(spark):
         n, hit, found, bad = brute(documents[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(found), bad)
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+
+
+def test_secret_spans_of_a_long_dump(spark):
+    """Doubling a dump of keys doubles the time, and every key is found where it stands."""
+    import time
+    draw = random.Random(3)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    lines = [f"é {i} token = {''.join(draw.choices(chars, k=30))} and {''.join(draw.choices(chars, k=40))}\n" for i in range(24_000)]
+    took = []
+    for count in (6_000, 24_000):
+        text = "".join(lines[:count])
+        raw = text.encode()
+        started = time.process_time()
+        rules = secrets.rule_spans(text, raw)
+        free = secrets.uncovered(text, raw, rules)
+        took.append(time.process_time() - started)
+        assert len(rules) == count and len(free) == count
+        assert [text[s:e] for s, e in free] == [line.split(" and ")[1].strip() for line in lines[:count]]
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_covered_places_match_a_plain_look():
+    draw = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + draw.randint(1, 6)) for a in (draw.randint(0, 60) for _ in range(draw.randint(0, 12)))]
+        covered = secrets.Covered(spans)
+        for _ in range(30):
+            s = draw.randint(0, 60)
+            e = s + draw.randint(1, 5)
+            assert covered.meets(s, e) == any(s < b and a < e for a, b in spans)
