@@ -69,7 +69,8 @@ class Pieces:
         self.pairs: dict[str, dict[str, bool]] = {}
         self.told = 0
         self.shorter: dict[str, str] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.packed: dict[str, bytes] = {}
         self.chars = 0
 
     def _word_pattern(self) -> re.Pattern:
@@ -156,12 +157,17 @@ class Pieces:
             return [self.processor.unk_id()]
         return [self.bytes[f"<0x{b:02X}>"] for b in piece.encode()]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        parts = self.parted(word)
-        if len(parts) > 1:
+    def pack(self, piece: str) -> bytes:
+        """The ids of a piece as 32-bit integers; the table holds pieces of the vocabulary only."""
+        found = np.array(self.codes(piece), np.int32).tobytes()
+        if piece in self.ids:
+            self.packed[piece] = found
+        return found
+
+    def word(self, word: str) -> bytes:
+        if not word[1:].isalpha() and len(parts := self.parted(word)) > 1:
             known = self.known.get
-            ids = tuple(chain.from_iterable([known(part) or self.part(part) for part in parts]))
-            return self.remember(word, ids)
+            return self.remember(word, b"".join([known(part) or self.part(part) for part in parts]))
         return self.part(word)
 
     def parted(self, word: str) -> list[str]:
@@ -169,10 +175,11 @@ class Pieces:
         cuts = [i for i in map(re.Match.start, self.signs.finditer(word)) if i and word[i - 1:i + 1] not in self.beside]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
-    def part(self, part: str) -> tuple[int, ...]:
-        return self.remember(part, tuple(chain.from_iterable(map(self.codes, self.split(part)))))
+    def part(self, part: str) -> bytes:
+        packed = self.packed.get
+        return self.remember(part, b"".join([packed(piece) or self.pack(piece) for piece in self.split(part)]))
 
-    def remember(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+    def remember(self, word: str, ids: bytes) -> bytes:
         if len(word) <= LONGEST:
             if self.chars > WORD_CHARS:
                 self.known.clear()
@@ -184,7 +191,7 @@ class Pieces:
     def encode(self, text: str) -> np.ndarray:
         known, word = self.known.get, self.word
         parts = [known(w) or word(w) for w in self.words.findall(self.processor.normalize(text))]
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.processor.decode(ids.tolist()) if len(ids) else ""
