@@ -3,9 +3,10 @@
 The global order of n-grams is the order of their hashes. It is cut into fragments, and a set falls apart into its pieces
 of each fragment.
 
-1. **Candidates.** Sets of similar size share a scheme that cuts the order into more fragments than two linked sets can
-   differ in, so linked sets agree in one whole fragment. Only hashes of whole pieces are shuffled, about a tenth (0.9) to
-   half (0.8) of the n-grams, and rare, since a piece holds several n-grams: frequent n-grams alone never meet.
+1. **Candidates.** Sets of similar size share a scheme that cuts the order into half as many fragments again as two linked
+   sets can differ in. If they differ in at most D fragments, the rarest piece in which they agree has at most D rarer ones
+   in either set: so sets meet on their D + 1 rarest pieces only. A passage that many documents share makes frequent pieces,
+   and sets with enough rare ones never meet on these. Only hashes of whole pieces are shuffled.
 2. **Bounds.** Each set carries parity sketches of 256 and 2048 bits. The bits in which two sketches differ are at most the
    n-grams in which the sets differ, so pairs beyond the limit are dropped without losing a link. The narrow one meets every
    pair of a shared piece, the wide one what is left of these, before any n-gram is moved.
@@ -39,6 +40,8 @@ FRAGMENTS = 8
 _U = np.uint64
 _WORDS = [f"s{i}" for i in range(4)]
 WIDE = 2048
+#: Schemes are told apart within a room; prefix n-grams may always be met on.
+SCHEMES, ANY = 1 << 12, 1 << 62
 
 
 class Schemes:
@@ -58,7 +61,7 @@ class Schemes:
             self.low.append(self.low[-1] * self.den // self.num + 1)
             small = self.low[-1] - 1
             differ = (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-            spare = 1 + (differ + 1) // 12
+            spare = 1 + (differ + 1) // 2
             self.fragments.append(differ + 1 + spare)
             self.spare.append(spare)
 
@@ -128,8 +131,9 @@ def profiles(documents: DataFrame, doc_id: str, text: str, size: int) -> DataFra
 
 
 def signatures(documents: DataFrame, text: str, size: int, num: int, den: int) -> DataFrame:
-    """``sig, part``: hashes of whole pieces, with the first half of the name of the set. Equal sets of one task are told
-    once, so that large groups of copies are thinned out before the shuffle."""
+    """``sig, part, room``: hashes of whole pieces, with the first half of the name of the set, and how many more pieces of its
+    scheme may be met on than are its own alone (see :func:`rarest`). Equal sets of one task are told once, so that large
+    groups of copies are thinned out before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schemes, told = Schemes(num, den), set()
@@ -143,19 +147,20 @@ def signatures(documents: DataFrame, text: str, size: int, num: int, den: int) -
                 if not fresh.any():
                     continue
                 keep = np.repeat(fresh, counts)
-                sigs, parts = cut(grams[keep], counts[fresh], _parts(names[fresh]), schemes)
-                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(parts)], names=["sig", "part"])
+                sigs, parts, rooms = cut(grams[keep], counts[fresh], _parts(names[fresh]), schemes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sigs.view(np.int64)), pa.array(parts), pa.array(rooms)], names=["sig", "part", "room"])
 
-    return whole_texts(documents).select(F.col(text).cast("binary")).mapInArrow(run, "sig bigint, part bigint")
+    return whole_texts(documents).select(F.col(text).cast("binary")).mapInArrow(run, "sig bigint, part bigint, room bigint")
 
 
-def cut(grams: np.ndarray, counts: np.ndarray, parts: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
+def cut(grams: np.ndarray, counts: np.ndarray, parts: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     schemes.grow(int(counts.max()))
     buckets = schemes.bucket(counts)
     fragments, spare = np.array(schemes.fragments), np.array(schemes.spare)
     ends = np.cumsum(counts)
     place = np.arange(len(grams)) - np.repeat(ends - counts, counts)
-    found_sigs, found_parts, short = [], [], np.zeros(len(counts), bool)
+    found_sigs, found_parts, found_rooms, short = [], [], [], np.zeros(len(counts), bool)
     hashed = mix(grams ^ _U(0x2545F4914F6CDD1D))
     for back in (0, 1):
         scheme = buckets - back
@@ -171,14 +176,41 @@ def cut(grams: np.ndarray, counts: np.ndarray, parts: np.ndarray, schemes: Schem
         who = owner[edges]
         found_sigs.append(mix(sums ^ mix(scheme[who].astype(np.uint64) * _U(1 << 32) + fragment[edges])))
         found_parts.append(parts[who])
-        empty = fragments[scheme[used]] - np.bincount(who, minlength=len(counts))[used]
+        pieces_of = np.bincount(who, minlength=len(counts))
+        # fragments - spare is D + 1; a room names its scheme, as a set has a room in each.
+        room = fragments[scheme] - spare[scheme] - pieces_of
+        found_rooms.append((room * SCHEMES + scheme)[who].astype(np.int64))
+        empty = fragments[scheme[used]] - pieces_of[used]
         short[used] |= empty > spare[scheme[used]]
     if short.any():
         # Too many empty pieces: such sets could agree in these alone, so they also tell their first n-grams.
         first = np.repeat(short, counts) & (place < np.repeat(schemes.prefix(counts), counts))
         found_sigs.append(mix(grams[first] ^ _U(0x632BE59BD9B4E019)))
         found_parts.append(np.repeat(parts, counts)[first])
-    return np.concatenate(found_sigs), np.concatenate(found_parts)
+        found_rooms.append(np.full(int(first.sum()), ANY, np.int64))
+    return np.concatenate(found_sigs), np.concatenate(found_parts), np.concatenate(found_rooms)
+
+
+def rarest(told: DataFrame) -> DataFrame:
+    """``sig, part`` on which sets of different names meet.
+
+    A set that tells m pieces in a scheme, of which others share c, has m - c rarer ones of its own, so D + 1 - m + c of the
+    shared ones are left to meet on, from the rarest. One exchange tells rows apart and counts them; pieces that no two sets
+    share, nearly all, end there.
+    """
+    once = told.repartition("sig").dropDuplicates(["sig", "part", "room"])
+    shared = once.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("held > 1")
+    scheme = ["part", "room"]
+    place = F.row_number().over(Window.partitionBy(*scheme).orderBy("held", "sig"))
+    ranked = shared.withColumns({"place": place, "c": F.count(F.lit(1)).over(Window.partitionBy(*scheme))})
+    inside = F.col("place") <= F.floor(F.col("room") / SCHEMES) + F.col("c")
+    return ranked.filter((F.col("room") == ANY) | inside).select("sig", "part").distinct()
+
+
+def _several(rows: DataFrame, value: str) -> DataFrame:
+    """Rows of pieces that hold several values."""
+    ends = rows.groupBy("sig").agg(F.min(value).alias("low"), F.max(value).alias("high")).filter("low < high")
+    return rows.join(ends.select("sig"), "sig")
 
 
 def pieces(documents: DataFrame, text: str, size: int) -> DataFrame:
@@ -247,11 +279,7 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     classes = materialize(profile.groupBy("cls", "part", "n", *_WORDS).agg(
         F.min("doc_id").alias("doc_id"), F.any_value("wide").alias("wide")))
     bounds = classes.drop("doc_id", "wide")
-    by_sig = Window.partitionBy("sig")
-    shared = materialize(
-        signatures(documents, text, size, num, den)
-        .withColumns({"low": F.min("part").over(by_sig), "high": F.max("part").over(by_sig)})
-        .filter("low < high").select("sig", "part").distinct())
+    shared = materialize(_several(rarest(signatures(documents, text, size, num, den)), "part"))
 
     # The leader of a piece is the class that meets the most others: near copies are closest to what they were made of.
     met = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("met"))
@@ -267,10 +295,7 @@ def _joined(documents: DataFrame, size: int, num: int, den: int, doc_id: str, te
     # What is left: pieces whose classes are not all connected yet, compared pair by pair under the bounds.
     labelled = classes.select("part", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select(
         "part", "cls", F.coalesce("label", "cls").alias("label"))
-    apart = materialize(
-        shared.select("sig", "part").join(labelled, "part")
-        .withColumns({"low": F.min("label").over(by_sig), "high": F.max("label").over(by_sig)})
-        .filter("low < high").select("sig", "cls", "label"))
+    apart = materialize(_several(shared.join(labelled, "part"), "label").select("sig", "cls", "label"))
     held = apart.join(bounds.drop("part"), "cls")
     rest = materialize(
         held.alias("a").join(held.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cls") < F.col("b.cls"))
