@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from groundwell.llm.common import query, table, whole_texts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
-#: Characters of the words, and pairs of pieces, that a worker remembers at once.
-WORD_CHARS = 5_000_000
-PAIRS = 400_000
+#: Characters of the words, twice, and pairs of pieces, that a worker remembers at once.
+WORD_CHARS = 3_000_000
+PAIRS = 600_000
 #: Longer words are encoded, but not remembered.
 LONGEST = 64
 MARK = "▁"
@@ -69,7 +69,9 @@ class Pieces:
         self.pairs: dict[str, dict[str, bool]] = {}
         self.told = 0
         self.shorter: dict[str, str] = {}
+        #: Words seen lately, and those of the time before, from which words that come again are taken over.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.packed: dict[str, bytes] = {}
         self.chars = 0
 
@@ -165,6 +167,8 @@ class Pieces:
         return found
 
     def word(self, word: str) -> bytes:
+        if found := self.known.get(word) or self.older.get(word):
+            return self.remember(word, found)
         if not word[1:].isalpha() and len(parts := self.parted(word)) > 1:
             known = self.known.get
             return self.remember(word, b"".join([known(part) or self.part(part) for part in parts]))
@@ -176,16 +180,18 @@ class Pieces:
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
     def part(self, part: str) -> bytes:
+        if found := self.known.get(part) or self.older.get(part):
+            return self.remember(part, found)
         packed = self.packed.get
         return self.remember(part, b"".join([packed(piece) or self.pack(piece) for piece in self.split(part)]))
 
     def remember(self, word: str, ids: bytes) -> bytes:
         if len(word) <= LONGEST:
             if self.chars > WORD_CHARS:
-                self.known.clear()
-                self.chars = 0
+                self.older, self.known, self.chars = self.known, {}, 0
+            if word not in self.known:
+                self.chars += len(word)
             self.known[word] = ids
-            self.chars += len(word)
         return ids
 
     def encode(self, text: str) -> np.ndarray:

@@ -102,3 +102,14 @@ def test_unused_pieces_are_refused():
     model.is_unused = lambda i: True
     with pytest.raises(ValueError):
         pieces.Pieces(model)
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    monkeypatch.setattr(pieces, "WORD_CHARS", 40)
+    monkeypatch.setattr(pieces, "PAIRS", 10)
+    coder = pieces.Pieces(sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL))
+    draw = random.Random(4)
+    words = ["token", "Entität,", "x&&&", "internationalisation", "été", "\n", "a1", "日本"]
+    for _ in range(40):
+        text = " ".join(draw.choices(words, k=60))
+        assert list(coder.encode(text)) == LIBRARY.encode(text)
