@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,14 +10,10 @@ from groundwell.catalog.conversation import requests as chat_requests
 from groundwell.catalog.registry import query
 from groundwell.catalog.retrieval import compressed, document_chunks
 from groundwell.operators import evaluate, history, lexical
-from groundwell.operators.stages import stage_folder
+from groundwell.operators.stages import fresh_path
 from groundwell.sources import reports, sinks, tables
 
 
-def fresh_path(spark, name):
-    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def ranked(spark, folder):
     return lexical.best_pairs(tables.questions(spark, folder), document_chunks(spark, folder), 5, sql.SEARCH_THRESHOLD)
 

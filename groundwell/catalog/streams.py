@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from groundwell.catalog import sql
 from groundwell.catalog.conversation import _WINDOW, POLICY, WINDOW_BUDGET
-from groundwell.catalog.long_term import _RESOLVED, event_messages
-from groundwell.catalog.quality import fresh_path
+from groundwell.catalog.long_term import _APPLIED, event_messages, stored_items
 from groundwell.catalog.registry import query
 from groundwell.operators import summary
+from groundwell.operators.stages import fresh_path
 from groundwell.sources import tables
 from groundwell.streaming import streams
 
@@ -37,18 +37,15 @@ def _(spark, folder):
     return last.withColumn("recent_ids", F.array_join("recent_ids", ","))
 
 
-@query("t03_memory_stream", _RESOLVED.replace("FROM (SELECT user_id, kind, count(*) AS n FROM candidates GROUP BY user_id, kind)",
-       "FROM (SELECT user_id, kind, count(*) AS n FROM candidates GROUP BY user_id, kind) WHERE false") + """
-  SELECT user_id, kind, memory_key, next_value AS value, next_status AS status, version FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id, kind, memory_key ORDER BY source_id DESC, position DESC) AS age
-    FROM decisions WHERE item_exists) WHERE age = 1""")
+@query("t03_memory_stream", f"{_APPLIED} SELECT user_id, kind, memory_key, value, status, version FROM after")
 def _(spark, folder):
+    streams.use_rocksdb(spark)
     path = fresh_path(spark, "memory")
-    arriving = tables.as_candidates(streams.stream_table(spark, folder, "events"))
-    streams.memory_stream(arriving, event_messages(spark, folder), path, f"{path}-checkpoint").awaitTermination()
-    items = spark.read.parquet(f"{path}/memory_items")
-    last = items.agg(F.max("batch").alias("b")).scalar()
-    return items.filter(F.col("batch") == last).select("user_id", "kind", "memory_key", "value", "status", "version")
+    stored = streams.MemoryTables.of(spark, path, 16)
+    stored.start(stored_items(spark, folder))
+    arriving = streams.stream_in_order(tables.read(spark, folder, "events"), f"{path}/arriving", "event_id", 3)
+    streams.memory_stream(tables.as_candidates(arriving), event_messages(spark, folder), stored, f"{path}/checkpoint").awaitTermination()
+    return stored.items.read().drop("id")
 
 
 @query("t04_trigger_stream", f"""WITH {sql.MESSAGES},

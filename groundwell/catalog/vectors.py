@@ -14,7 +14,9 @@ from groundwell.functions.render import memory_text
 from groundwell.functions.vectors import hash_embedding
 from groundwell.operators.blocks import block_index
 from groundwell.operators import context, points, structure, vector
+from groundwell.operators.stages import fresh_path
 from groundwell.sources import tables
+from groundwell.sources.buckets import BucketTable
 
 MODEL = "hash-64"
 
@@ -476,6 +478,23 @@ def _(spark, folder):
     return points.upsert(both, writes, "id", F.col("n")).select("id", "tenant")
 
 
+@query("s10_bucketed_points", f"""WITH {_POINTS}
+  SELECT id, CASE WHEN id % 3 = 0 THEN 'moved-2' ELSE tenant END AS tenant FROM points UNION ALL
+  SELECT id + 1000000, 'moved-2' FROM points WHERE id % 3 = 0""")
+def _(spark, folder):
+    stored = tables.points(spark, folder).select("id", "tenant")
+    third = stored.filter(F.col("id") % 3 == 0)
+    keys = third.select("id").unionByName(third.select((F.col("id") + 1000000).alias("id")))
+    writes = keys.select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")).withColumn(
+        "tenant", F.concat(F.lit("moved-"), F.col("n").cast("string")))
+    kept = BucketTable(spark, fresh_path(spark, "points"), "id long, tenant string", ["id"], 16)
+    kept.upsert(stored, "load", 0)
+    kept.upsert(writes, "change", 0, F.col("n"))
+    # The batch comes again, and changes nothing.
+    kept.upsert(writes.withColumn("tenant", F.lit("twice")), "change", 0, F.col("n"))
+    return kept.read()
+
+
 @query("s11_delete_points", f"WITH {_POINTS} SELECT id, tenant FROM points WHERE id % 3 <> 0")
 def _(spark, folder):
     stored = tables.points(spark, folder).select("id", "tenant")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 64
 BUCKET_ROWS = 100_000
-MOST_BUCKETS = 4096
+MOST_BUCKETS = 1024
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column, rank: str = "rank",
@@ -53,18 +53,21 @@ def order_buckets(df: DataFrame, first: str, second: str | None = None, rows: in
     The bounds are quantiles of ``df`` itself, so sparse ids and dense ones fill buckets alike. A value of ``first`` that
     fills buckets of its own is cut further by quantiles of ``second``.
     """
-    parts = min(MOST_BUCKETS, -(-df.count() // rows))
+    columns = [first] if second is None else [first, second]
+    # One pass gives the count and the finest bounds; of these, as many are taken as the count asks for.
+    fine = [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)]
+    found = df.agg(F.count(F.lit(1)).alias("_count"), *[
+        F.percentile_approx(c, fine, F.lit(4 * MOST_BUCKETS)).alias(c) for c in columns]).first()
+    parts = min(MOST_BUCKETS, 1 << max(0, -(-found["_count"] // rows) - 1).bit_length())
     if parts < 2:
         return F.lit(0).cast("long")
-    shares = [i / parts for i in range(1, parts)]
-    columns = [first] if second is None else [first, second]
-    found = df.agg(*[F.percentile_approx(c, shares, F.lit(10 * parts)).alias(c) for c in columns]).first()
-    bounds = found[first] or []
+    held = {c: (found[c] or [])[MOST_BUCKETS // parts - 1::MOST_BUCKETS // parts] for c in columns}
+    bounds = held[first]
     bucket = _below(F.col(first), sorted(set(bounds))) * (MOST_BUCKETS + 1)
     heavy = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
     if second is not None and heavy:
         # A bound is the last value of its bucket, so its rows follow all others there.
-        inside = _below(F.col(second), sorted(set(found[second]))) + 1
+        inside = _below(F.col(second), sorted(set(held[second]))) + 1
         bucket = bucket + F.when(F.array_contains(F.array(*map(F.lit, heavy)), F.col(first)), inside).otherwise(0)
     return bucket.cast("long")
 

@@ -28,6 +28,11 @@ def stage_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from groundwell.functions.text import value_key
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
 from groundwell.operators.history import SESSION, message_tokens
-from groundwell.operators.memory import apply_candidates
+from groundwell.operators.memory import IDENTITY, new_evidence, normal_candidates
+from groundwell.operators.skew import dense_ids
+from groundwell.operators.stages import materialize
 from groundwell.operators.summary import TriggerPolicy, trigger_reason
-from groundwell.sources import tables
+from groundwell.sources.buckets import BUCKETS, BucketTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -89,30 +93,110 @@ def recent_windows(messages: DataFrame, budget: int, fetch: int = 50,
 # --- T03 -----------------------------------------------------------------------------------------------------------
 
 
-def memory_stream(candidates: DataFrame, messages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of candidates is resolved against the items stored so far.
+DECISION_SCHEMA = ("user_id string, kind string, memory_key string, session_id string, operation string, source_message_ids array<long>, "
+                   "source_id long, position long, version long, next_value string, next_status string, item_exists boolean, changed boolean")
 
-    Items and evidence of a batch go to a folder named after the batch, and the batch reads the folder of the one
-    before. A repeated batch therefore writes the same result again.
+
+class MemoryItem(StatefulProcessor):
+    """The item of one identity and the place of the last candidate that was applied.
+
+    Candidates of a batch are taken in order of source and position. One at or before the last place has been applied already,
+    or comes too late, and does nothing.
     """
-    spark = candidates.sparkSession
 
-    def stored(batch: int, name: str) -> DataFrame:
-        schema = tables.SCHEMAS[name]
-        if batch < 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{folder}/{name}/batch={batch}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.item = handle.getValueState("item", "value string, norm string, status string, version long")
+        self.place = handle.getValueState("place", "source_id long, position long")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.iloc[0]
+        self.item.update((first["value"], first["norm"], first["status"], int(first["version"])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        value, norm, status, version = self.item.get() if self.item.exists() else ("", None, None, 0)
+        place = tuple(self.place.get()) if self.place.exists() else None
+        arrived = pd.concat(rows).sort_values(["source_id", "position"])
+        out = []
+        for r in arrived.itertuples(index=False):
+            if place is not None and (r.source_id, r.position) <= place:
+                continue
+            place = (int(r.source_id), int(r.position))
+            upsert = r.operation == "upsert"
+            changed = (status != "active" or r.norm != norm) if upsert else status == "active"
+            if changed:
+                version, status = version + 1, "active" if upsert else "forgotten"
+                if upsert:
+                    value, norm = r.value, r.norm
+            out.append((*key, r.session_id, r.operation, list(r.source_message_ids), *place, version, value,
+                        "active" if upsert else "forgotten", status is not None, changed))
+        if status is not None:
+            self.item.update((value, norm, status, version))
+        if place is not None:
+            self.place.update(place)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
 
-    def apply(batch_rows: DataFrame, batch: int) -> None:
-        items, evidence = stored(batch - 1, "memory_items"), stored(batch - 1, "memory_item_evidence")
-        after, fresh = apply_candidates(batch_rows, items, messages, evidence)
-        unstamped = {"created_at": F.lit(None).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")}
-        after.withColumns(unstamped).write.mode("overwrite").parquet(f"{folder}/memory_items/batch={batch}")
-        fresh.withColumn("created_at", unstamped["created_at"]).unionByName(evidence).write.mode("overwrite").parquet(
-            f"{folder}/memory_item_evidence/batch={batch}")
 
-    return (candidates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def memory_decisions(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """What every candidate of a stream does to the item of its identity, which starts as stored in ``items``."""
+    arriving = normal_candidates(candidates).filter(F.col("reject_reason").isNull()).select(
+        *IDENTITY, "session_id", "operation", "source_message_ids", "source_id", "position", "value",
+        value_key(F.col("value")).alias("norm"))
+    start = items.select(*IDENTITY, "value", value_key(F.col("value")).alias("norm"), "status", "version")
+    return arriving.groupBy(*IDENTITY).transformWithStateInPandas(
+        statefulProcessor=MemoryItem(), outputStructType=DECISION_SCHEMA, outputMode="update", timeMode="none",
+        initialState=start.groupBy(*IDENTITY))
+
+
+ITEMS = "id long, user_id string, kind string, memory_key string, value string, status string, version long"
+EVIDENCE = ("memory_item_id long, user_id string, source_session_id string, source_message_id long, source_role string, "
+            "operation string, evidence_text string")
+
+
+@dataclass(frozen=True)
+class MemoryTables:
+    """Items and evidence in buckets, so that a batch writes what it changes only."""
+
+    items: BucketTable
+    evidence: BucketTable
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str, buckets: int = BUCKETS) -> MemoryTables:
+        return cls(BucketTable(spark, f"{folder}/items", ITEMS, list(IDENTITY), buckets),
+                   BucketTable(spark, f"{folder}/evidence", EVIDENCE, [
+                       "memory_item_id", "source_session_id", "source_message_id", "operation"], buckets))
+
+    def start(self, items: DataFrame) -> None:
+        """Store the items that are there before the stream; done once."""
+        last = items.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        self.items.upsert(items.select(*self.items.schema.fieldNames()), "start", 0, notes={"last_id": last})
+
+    def apply(self, decisions: DataFrame, messages: DataFrame, batch: int) -> None:
+        """Write the items that the decisions of one batch change, under ids after the last one, and their evidence. Both writes
+        carry the number of the batch, so a batch that is repeated after a failure does what is still missing."""
+        decisions = materialize(decisions)
+        at = F.struct("source_id", "position")
+        changed = materialize(decisions.filter("changed").groupBy(*IDENTITY).agg(
+            F.max_by(F.struct("next_value", "next_status", "version"), at).alias("l")).select(
+            *IDENTITY, F.col("l.next_value").alias("value"), F.col("l.next_status").alias("status"), "l.version"))
+        known = self.items.touched(changed)[0].select(*IDENTITY, "id")
+        last = self.items.last().notes.get("last_id", 0)
+        created = dense_ids(changed.join(known, IDENTITY, "left_anti"), IDENTITY, F.lit(last))
+        rows = materialize(changed.join(known, IDENTITY).unionByName(created))
+        highest = rows.agg(F.coalesce(F.max("id"), F.lit(last))).first()[0]
+        self.items.upsert(rows, "stream", batch, notes={"last_id": max(last, highest)})
+        cited = decisions.filter("item_exists")
+        stored = self.items.touched(cited)[0]
+        self.evidence.insert(new_evidence(cited, stored, messages, self.evidence.spark.createDataFrame([], EVIDENCE)), "stream", batch)
+
+
+def memory_stream(candidates: DataFrame, messages: DataFrame, tables_: MemoryTables, checkpoint: str) -> StreamingQuery:
+    """Keeps ``tables_`` in line with a stream of candidates."""
+    decisions = memory_decisions(candidates, materialize(tables_.items.read()))
+    return (decisions.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .foreachBatch(lambda rows, batch: tables_.apply(rows, messages, batch)).trigger(availableNow=True).start())
 
 
 # --- T04 -----------------------------------------------------------------------------------------------------------
@@ -175,6 +259,19 @@ def summary_triggers(messages: DataFrame, keep: int, policy: TriggerPolicy, coun
 # --- helpers -------------------------------------------------------------------------------------------------------
 
 
+def stream_in_order(df: DataFrame, path: str, order: str, parts: int = 5) -> DataFrame:
+    """``df`` cut into files by ``order``, as a stream of one file per micro-batch; the second file comes twice."""
+    bounds = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    dealt = df.withColumn("_part", part * 2)
+    dealt = materialize(dealt.unionByName(dealt.filter("_part = 2").withColumn("_part", F.lit(5))))
+    for number in range(0, 2 * parts):
+        some = dealt.filter(F.col("_part") == number).drop("_part")
+        if not some.isEmpty():
+            some.coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """An input table as a stream of its files, one per micro-batch."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema

@@ -1,8 +1,13 @@
 """Memory resolution against a plain loop, golden chains, and hot identities split over many buckets."""
 
 import random
+import uuid
+
+from pyspark.sql import functions as F
 
 from groundwell.operators import memory
+from groundwell.operators.stages import stage_folder
+from groundwell.streaming import streams
 
 ITEMS = "id long, user_id string, kind string, memory_key string, value string, status string, version long"
 CANDIDATES = ("user_id string, session_id string, position long, operation string, kind string, key string, value string, "
@@ -111,3 +116,51 @@ def test_decoding_refuses_what_a_strict_parser_refuses(spark):
     }
     rows = memory.decode_candidates(spark.createDataFrame([(c,) for c in cases], "raw string")).collect()
     assert {r.raw: r.reject_reason for r in rows} == cases
+
+
+def test_memory_stream_equals_the_loop_and_writes_changes_only(spark):
+    draw = random.Random(11)
+    stored = [(1, "u", "goal", "k0", "Old", "active", 4), (2, "u", "goal", "k1", "Gone", "forgotten", 2), (3, "w", "goal", "far", "Stays", "active", 1)]
+    said = [candidate(i % 3, draw.choice(["upsert", "upsert", "forget"]), f"k{draw.randint(0, 4)}", draw.choice(["Go", "go ", "Rust"]), 100 + i)
+            for i in range(60)]
+    said = [(*c[:6], "" if c[3] == "forget" else c[6], *c[7:]) for c in said]
+    path = f"{stage_folder(spark)}/stream-{uuid.uuid4().hex}"
+    streams.use_rocksdb(spark)
+    kept = streams.MemoryTables.of(spark, path, 16)
+    kept.start(spark.createDataFrame(stored, ITEMS))
+    everything = spark.createDataFrame(said, CANDIDATES).withColumn("at", F.col("source_message_ids")[0])
+    arriving = streams.stream_in_order(everything, f"{path}/arriving", "at", 4)
+    messages = spark.createDataFrame([(100 + i, "user", f"m{i}") for i in range(60)], "id long, role string, content string")
+    streams.memory_stream(arriving.drop("at"), messages, kept, f"{path}/checkpoint").awaitTermination()
+
+    state = {(i[1], i[2], i[3]): (i[4], i[5], i[6]) for i in stored}
+    decided = loop(said, stored)
+    for c, (_, _, new) in zip(sorted(said, key=lambda c: (min(c[8]), c[2])), decided):
+        if new is not None:
+            state[c[0], c[4], c[5]] = new
+    rows = kept.items.read().collect()
+    assert {(r.user_id, r.kind, r.memory_key): (r.value.strip(), r.status, r.version) for r in rows} == {
+        k: (v.strip(), s, n) for k, (v, s, n) in state.items()}
+    assert len({r.id for r in rows}) == len(rows) and {r.id for r in rows if r.memory_key in ("k0", "k1", "far")} == {1, 2, 3}
+    exists = [c[8][0] for c, (_, _, new) in zip(sorted(said, key=lambda c: (min(c[8]), c[2])), decided) if new is not None]
+    assert sorted(r.source_message_id for r in kept.evidence.read().collect()) == sorted(exists)
+
+    # A file that came twice and a batch that is repeated leave every bucket where it was.
+    before = kept.items.last()
+    kept.apply(spark.createDataFrame([], streams.DECISION_SCHEMA), messages, 0)
+    assert kept.items.last() == before
+
+
+def test_late_and_repeated_candidates_do_nothing(spark):
+    path = f"{stage_folder(spark)}/late-{uuid.uuid4().hex}"
+    streams.use_rocksdb(spark)
+    kept = streams.MemoryTables.of(spark, path, 4)
+    kept.start(spark.createDataFrame([], ITEMS))
+    said = [candidate(0, "upsert", "k", "A", 10), candidate(0, "upsert", "k", "B", 20), candidate(0, "upsert", "k", "A", 10), candidate(0, "upsert", "k", "late", 15)]
+    for at, c in enumerate(said):
+        spark.createDataFrame([c], CANDIDATES).coalesce(1).write.mode("append").parquet(f"{path}/arriving")
+    arriving = spark.readStream.schema(CANDIDATES).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
+    messages = spark.createDataFrame([(10, "user", "a"), (20, "user", "b")], "id long, role string, content string")
+    streams.memory_stream(arriving, messages, kept, f"{path}/checkpoint").awaitTermination()
+    assert [(r.value, r.version) for r in kept.items.read().collect()] == [("B", 2)]
+    assert sorted(r.source_message_id for r in kept.evidence.read().collect()) == [10, 20]
