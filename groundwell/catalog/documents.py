@@ -223,11 +223,13 @@ def _(spark, folder):
 @query("c19_routed_units", f"""{_DOCS}
   SELECT document_id, unit_no, count(*) AS pieces, CAST(max(length(text)) AS BIGINT) AS longest FROM parts GROUP BY ALL""")
 def _(spark, folder):
-    units = structure.markdown_units(documents(spark, folder))
-    whole = F.struct(F.col("structure_kind").alias("kind"), F.col("heading_path").alias("path"), "text")
-    split = units.withColumn("_p", structure._split_paragraphs(F.array(whole), LIMIT))
-    return split.select("document_id", "unit_no", F.size("_p").alias("pieces"),
-                        F.array_max(F.transform("_p", lambda p: F.length(p["text"]))).alias("longest"))
+    parsed = structure.parse_markdown(structure.normalize_documents(documents(spark, folder)))
+    # The number of a unit takes the place of its path, so that pieces can be told apart.
+    numbered = F.transform("units", lambda u, i: F.struct(u["kind"].alias("kind"), i.cast("string").alias("path"), u["text"].alias("text")))
+    split = structure.split_units(parsed.withColumn("units", numbered), POLICY)
+    parts = split.filter(F.col("reject_reason").isNull()).select("document_id", F.explode("split").alias("p"))
+    return parts.groupBy("document_id", F.col("p.path").cast("bigint").alias("unit_no")).agg(
+        F.count(F.lit(1)).alias("pieces"), F.max(F.length("p.text")).alias("longest"))
 
 
 @query("i02_chunk_ids", f"{_DIALOGUE} SELECT document_id, ordinal, chunk_id FROM schunks")

@@ -42,12 +42,14 @@ class TokenCounter:
     """A counter is a column expression; ``python`` is needed only where texts are split to fit.
 
     ``additive`` states that the count of a concatenation is the sum of the counts, which lets the splitter use
-    closed forms instead of trying prefixes.
+    closed forms instead of trying prefixes. ``longest`` states that no token has more characters, so that the splitter
+    tries no text that cannot fit.
     """
 
     column: Callable[[Column], Column]
     python: Callable[[str], int] | None = None
     additive: bool = False
+    longest: int | None = None
 
     def __call__(self, text: Column) -> Column:
         return self.column(text)
@@ -62,7 +64,7 @@ class TokenCounter:
 CODE_POINTS = TokenCounter(column=lambda text: F.char_length(text).cast("long"), python=len, additive=True)
 
 
-def python_counter(count: Callable[[str], int]) -> TokenCounter:
+def python_counter(count: Callable[[str], int], longest: int | None = None) -> TokenCounter:
     """Wrap a Python tokenizer; Spark sends Arrow batches of texts to it."""
 
     @F.pandas_udf("long")
@@ -70,7 +72,7 @@ def python_counter(count: Callable[[str], int]) -> TokenCounter:
         for batch in texts:
             yield batch.map(lambda text: None if text is None else count(text)).astype("Int64")
 
-    return TokenCounter(column=lambda text: batched(text), python=count)
+    return TokenCounter(column=lambda text: batched(text), python=count, longest=longest)
 
 
 def pieces_needed(length: Column, size: int, overlap: int) -> Column:

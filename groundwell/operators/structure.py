@@ -101,21 +101,19 @@ def fence_of(line: Column, i: Column) -> Column:
 def fence_blocks(lines: Column) -> Column:
     """(blocks, open) where ``open`` is the line of an unclosed fence or -1."""
     marks = F.filter(F.transform(lines, fence_of), lambda m: m.isNotNull())
-    start = F.struct(
-        F.lit(-1).alias("open"), F.lit("").alias("char"), F.lit(0).alias("run"),
-        _empty("array<struct<first:int,last:int>>").alias("blocks"),
-    )
+    closed = F.struct(F.lit(-1).alias("line"), F.lit("").alias("char"), F.lit(0).alias("run"))
 
     def step(state: Column, mark: Column) -> Column:
-        opened = F.struct(mark["line"].alias("open"), mark["char"].alias("char"), mark["run"].alias("run"),
-                          state["blocks"].alias("blocks"))
-        block = F.struct(state["open"].alias("first"), mark["line"].alias("last"))
-        closed = F.struct(F.lit(-1).alias("open"), F.lit("").alias("char"), F.lit(0).alias("run"),
-                          F.concat(state["blocks"], F.array(block)).alias("blocks"))
-        closes = mark["bare"] & (mark["char"] == state["char"]) & (mark["run"] >= state["run"])
-        return F.when(state["open"] < 0, opened).when(closes, closed).otherwise(state)
+        now = state["open"]
+        opened = F.struct(state["done"].alias("done"), F.struct(
+            mark["line"].alias("line"), mark["char"].alias("char"), mark["run"].alias("run")).alias("open"))
+        block = F.struct(now["line"].alias("first"), mark["line"].alias("last"))
+        done = F.struct(F.concat(state["done"], F.array(block)).alias("done"), closed.alias("open"))
+        closes = mark["bare"] & (mark["char"] == now["char"]) & (mark["run"] >= now["run"])
+        return F.when(now["line"] < 0, opened).when(closes, done).otherwise(state)
 
-    return F.aggregate(marks, start, step)
+    return let(_fold(marks, "array<struct<first:int,last:int>>", closed, step), lambda state: F.struct(
+        state["done"].alias("blocks"), state["open"]["line"].alias("open")))
 
 
 def _prose_line(line: Column) -> Column:
@@ -244,8 +242,8 @@ def exact_pieces(text: Column, limit: int) -> Column:
 def _fold(items: Column, done: str, first: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Fold ``items`` into a struct of ``done``, an array that grows, and ``open``.
 
-    Appending copies the array, so each ``FOLD_BATCH`` items fill an array of their own, which is appended as a whole: the
-    cost of copying falls by that factor, and a document twice as long takes twice as long.
+    Appending copies the array, so each ``FOLD_BATCH`` items fill an array of their own. These are kept as arrays, of which only
+    the references are copied, and joined once at the end.
     """
     def folded(all_items: Column) -> Column:
         last = F.greatest(F.ceil(F.size(all_items) / FOLD_BATCH).cast("int") - 1, F.lit(0))
@@ -253,9 +251,11 @@ def _fold(items: Column, done: str, first: Column, step: Callable[[Column, Colum
 
         def outer(state: Column, batch: Column) -> Column:
             inner = F.aggregate(batch, F.struct(_empty(done).alias("done"), state["open"].alias("open")), step)
-            return let(inner, lambda r: F.struct(F.concat(state["done"], r["done"]).alias("done"), r["open"].alias("open")))
+            return let(inner, lambda r: F.struct(
+                F.concat(state["done"], F.array(r["done"])).alias("done"), r["open"].alias("open")))
 
-        return F.aggregate(batches, F.struct(_empty(done).alias("done"), first.alias("open")), outer)
+        whole = F.aggregate(batches, F.struct(_empty(f"array<{done}>").alias("done"), first.alias("open")), outer)
+        return let(whole, lambda r: F.struct(F.flatten(r["done"]).alias("done"), r["open"].alias("open")))
 
     return let(items, folded)
 
@@ -314,7 +314,7 @@ def _code_splitter(policy: ChunkPolicy, counter: TokenCounter):
 
     @F.pandas_udf("array<array<string>>")
     def split(batch: pd.Series) -> pd.Series:
-        cutter = Splitter(counter.python, policy.max_tokens, policy.overlap_lines, counter.additive)
+        cutter = Splitter(counter.python, policy.max_tokens, policy.overlap_lines, counter.additive, counter.longest)
 
         def pieces(unit):
             if unit is None:
@@ -335,7 +335,7 @@ def _unit_packer(policy: ChunkPolicy, counter: TokenCounter):
 
     @F.pandas_udf(_UNITS)
     def pack(batch: pd.Series) -> pd.Series:
-        cutter = Splitter(counter.python, policy.max_tokens, policy.overlap_lines, counter.additive)
+        cutter = Splitter(counter.python, policy.max_tokens, policy.overlap_lines, counter.additive, counter.longest)
 
         def packed(units):
             try:
@@ -349,52 +349,53 @@ def _unit_packer(policy: ChunkPolicy, counter: TokenCounter):
     return pack.asNondeterministic()
 
 
+def split_units(parsed: DataFrame, policy: ChunkPolicy) -> DataFrame:
+    """Adds ``split``, the units with every oversized one cut by its kind; null where one cannot be cut. Counts code points."""
+    limit = policy.max_tokens
+    # The test for code reads the raw text, so that neither branch parses the documents of the other.
+    may_hold_code = F.coalesce(
+        (F.col("format") != "markdown") | F.contains("content", F.lit("```")) | F.contains("content", F.lit("~~~")),
+        F.lit(False),
+    )
+    prose = compute_once(parsed.filter(~may_hold_code), split=_split_paragraphs(F.col("units"), limit))
+    code = compute_once(parsed.filter(may_hold_code), _oversized=F.transform("units", lambda u: F.when(
+        (u["kind"] != PARAGRAPH) & (F.length(u["text"]) > limit), u)))
+    code = code.withColumn("_pieces", _code_splitter(policy, CODE_POINTS)(F.col("_oversized")))
+    routed = F.flatten(F.zip_with("units", "_pieces", lambda u, p: F.when(p.isNotNull(), _with_text(u, p)).otherwise(
+        _split_paragraphs(F.array(u), limit))))
+    stuck = F.exists("_pieces", lambda p: F.coalesce(F.size(p) == 0, F.lit(False)))
+    return prose.unionByName(compute_once(code, split=F.when(~stuck, routed)).drop("_oversized", "_pieces"))
+
+
 def split_and_pack(parsed: DataFrame, policy: ChunkPolicy, counter: TokenCounter = CODE_POINTS) -> DataFrame:
     """Adds ``packed``; a unit that cannot be brought under the limit refuses its document."""
-    limit = policy.max_tokens
     accepted = F.col("reject_reason").isNull()
     if not (counter.additive and counter is CODE_POINTS):
         if counter.python is None:
             raise ValueError("splitting needs the Python form of this counter")
         packed = parsed.withColumn("packed", _unit_packer(policy, counter)(F.col("units")))
     else:
-        # The test for code reads the raw text, so that neither branch parses the documents of the other.
-        may_hold_code = F.coalesce(
-            (F.col("format") != "markdown") | F.contains("content", F.lit("```")) | F.contains("content", F.lit("~~~")),
-            F.lit(False),
-        )
-        prose = compute_once(parsed.filter(~may_hold_code), _split=_split_paragraphs(F.col("units"), limit))
-        prose = compute_once(prose, packed=packed_units(F.col("_split"), limit)).drop("_split")
-        code = compute_once(parsed.filter(may_hold_code), _oversized=F.transform("units", lambda u: F.when(
-            (u["kind"] != PARAGRAPH) & (F.length(u["text"]) > limit), u)))
-        code = code.withColumn("_pieces", _code_splitter(policy, counter)(F.col("_oversized")))
-        routed = F.flatten(F.zip_with("units", "_pieces", lambda u, p: F.when(p.isNotNull(), _with_text(u, p)).otherwise(
-            _split_paragraphs(F.array(u), limit))))
-        stuck = F.exists("_pieces", lambda p: F.coalesce(F.size(p) == 0, F.lit(False)))
-        code = compute_once(code, _split=F.when(~stuck, routed)).drop("_oversized", "_pieces")
-        code = compute_once(code, packed=packed_units(F.col("_split"), limit)).drop("_split")
-        packed = prose.unionByName(code)
+        packed = compute_once(split_units(parsed, policy), packed=packed_units(F.col("split"), policy.max_tokens)).drop("split")
     return packed.withColumn("reject_reason", F.coalesce(
         "reject_reason", F.when(accepted & F.col("packed").isNull(), F.lit("piece_over_limit"))))
 
 
+
 # --- assembly ------------------------------------------------------------------------------------------------------
 
 
 def duplicate_ordinals(keys: Column) -> Column:
-    """For each key the number of equal keys before it. Equal keys are neighbours after a sort, so one fold counts
-    them; documents without repeated chunks skip it."""
+    """For each key the number of equal keys before it. Equal keys are neighbours after a sort, where a place less the start
+    of its run is that number; documents without repeated chunks skip it."""
 
     def count(sorted_keys: Column) -> Column:
-        start = F.struct(F.lit("").alias("key"), F.lit(-1).alias("n"),
-                         _empty("array<struct<i:int,n:int>>").alias("out"))
-
-        def step(state: Column, item: Column) -> Column:
-            n = F.when((state["n"] >= 0) & (state["key"] == item["key"]), state["n"] + 1).otherwise(F.lit(0))
-            return F.struct(item["key"].alias("key"), n.alias("n"), F.concat(
-                state["out"], F.array(F.struct(item["i"].alias("i"), n.alias("n")))).alias("out"))
-
-        return F.transform(F.array_sort(F.aggregate(sorted_keys, start, step)["out"]), lambda x: x["n"])
+        n = F.size(sorted_keys)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j == 0) | (
+            F.get(sorted_keys, j)["key"] != F.get(sorted_keys, j - 1)["key"]))
+        runs = let(starts, lambda at: F.flatten(F.transform(at, lambda s, k: F.sequence(
+            F.lit(0), F.coalesce(F.get(at, k + 1), n) - s - 1))))
+        placed = F.zip_with(sorted_keys, runs, lambda item, run: F.struct(item["i"].alias("i"), run.alias("n")))
+        return F.transform(F.array_sort(placed), lambda x: x["n"])
 
     def number(ks: Column) -> Column:
         pairs = F.array_sort(F.transform(ks, lambda k, i: F.struct(k.alias("key"), i.alias("i"))))

@@ -129,3 +129,76 @@ def test_overlap_alone_makes_no_piece():
 def test_zero_count_of_a_text_is_an_error():
     with pytest.raises(ValueError):
         Splitter(lambda t: 0, 5).fits("x")
+
+
+def blocks_by_loop(lines):
+    """Fences one line after the other."""
+    found, start = [], None
+    for i, line in enumerate(lines):
+        text = line.strip()
+        char = text[:1]
+        if not text.startswith(("```", "~~~")):
+            continue
+        run = len(text) - len(text.lstrip(char))
+        if start is None:
+            start = (i, char, run)
+        elif run == len(text) and char == start[1] and run >= start[2]:
+            found.append((start[0], i))
+            start = None
+    return found, start[0] if start else -1
+
+
+def test_fences_match_a_loop_beyond_one_batch(spark):
+    draw = random.Random(6)
+    marks = ["```", "~~~", "````", "```go", "~~~~ ", "text", ""]
+    for n in (0, 1, 3, 257, 3000):
+        lines = draw.choices(marks, k=n)
+        df = spark.createDataFrame([(lines,)], "lines array<string>")
+        got = df.select(structure.fence_blocks(F.col("lines")).alias("f")).first().f
+        assert ([tuple(b) for b in got.blocks], got.open) == blocks_by_loop(lines)
+
+
+def test_repeats_are_numbered_in_order(spark):
+    draw = random.Random(7)
+    for n in (0, 1, 5, 2000):
+        keys = [draw.choice("abcde") * draw.randint(1, 3) for _ in range(n)]
+        df = spark.createDataFrame([(keys,)], "keys array<string>")
+        got = df.select(structure.duplicate_ordinals(F.col("keys")).alias("n")).first().n
+        assert list(got) == [keys[:i].count(k) for i, k in enumerate(keys)]
+
+
+def test_twice_the_fences_or_repeats_take_twice_the_time(spark):
+    def took(n):
+        import time
+        df = spark.createDataFrame([(["```"] * n, ["same", "other"] * (n // 2))], "lines array<string>, keys array<string>").cache()
+        df.count()
+        started = time.time()
+        row = df.select(F.size(structure.fence_blocks(F.col("lines"))["blocks"]).alias("b"),
+                        F.array_max(structure.duplicate_ordinals(F.col("keys"))).alias("m")).first()
+        assert (row.b, row.m) == (n // 2, n // 2 - 1)
+        return time.time() - started
+
+    took(1000)
+    assert took(200_000) < 6 * took(50_000) + 5
+
+
+@pytest.mark.parametrize("kind", ["code", "declaration", "paragraph"])
+def test_a_declared_longest_token_bounds_the_tries(kind):
+    """A counter of tokens of 1 to 4 characters gives the same pieces with and without its bound, in few calls."""
+    draw = random.Random(3)
+
+    def count(text):
+        calls.append(len(text))
+        return len([t for part in text.split("\n") for t in range(0, len(part), 4)]) + text.count("\n")
+
+    calls, per_char = [], []
+    for size in (400, 1600):
+        text = "\n".join("x" * draw.choice([0, 1, 3, 9, 25]) for _ in range(size // 8))
+        text = "```\n" + text + "\n```" if kind == "code" else text
+        plain = Splitter(count, 9, 1).unit(kind, text) if size == 400 else None
+        calls.clear()
+        bounded = Splitter(count, 9, 1, longest=4).unit(kind, text)
+        assert plain is None or bounded == plain
+        per_char.append(len(calls) / len(text))
+        assert max(calls[1:]) <= 2 * 9 * 4 + 8
+    assert per_char[1] < 1.5 * per_char[0] + 0.5
