@@ -43,13 +43,15 @@ class TokenCounter:
 
     ``additive`` states that the count of a concatenation is the sum of the counts, which lets the splitter use
     closed forms instead of trying prefixes. ``longest`` states that no token has more characters, so that the splitter
-    tries no text that cannot fit.
+    tries no text that cannot fit. ``cut`` is a pattern of places, without width, that no token crosses whatever stands
+    around them, so that a long text may be counted in parts.
     """
 
     column: Callable[[Column], Column]
     python: Callable[[str], int] | None = None
     additive: bool = False
     longest: int | None = None
+    cut: str | None = None
 
     def __call__(self, text: Column) -> Column:
         return self.column(text)
@@ -64,7 +66,7 @@ class TokenCounter:
 CODE_POINTS = TokenCounter(column=lambda text: F.char_length(text).cast("long"), python=len, additive=True)
 
 
-def python_counter(count: Callable[[str], int], longest: int | None = None) -> TokenCounter:
+def python_counter(count: Callable[[str], int], longest: int | None = None, cut: str | None = None) -> TokenCounter:
     """Wrap a Python tokenizer; Spark sends Arrow batches of texts to it."""
 
     @F.pandas_udf("long")
@@ -72,7 +74,7 @@ def python_counter(count: Callable[[str], int], longest: int | None = None) -> T
         for batch in texts:
             yield batch.map(lambda text: None if text is None else count(text)).astype("Int64")
 
-    return TokenCounter(column=lambda text: batched(text), python=count, longest=longest)
+    return TokenCounter(column=lambda text: batched(text), python=count, longest=longest, cut=cut)
 
 
 def pieces_needed(length: Column, size: int, overlap: int) -> Column:

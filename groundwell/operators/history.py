@@ -9,6 +9,7 @@ from groundwell.functions.render import assistant_prefix, chat_message
 from groundwell.functions.text import first_reason, is_blank, trim
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
 from groundwell.operators.skew import BUCKET_ROWS, lag_within_key, order_buckets, top_n
+from groundwell.operators.stages import materialize
 
 SESSION = ["session_id", "user_id"]
 NEWEST_FIRST = ("created_at", "id")
@@ -190,15 +191,42 @@ def render_conversations(window: DataFrame, assistant: bool = True, counter: Tok
     return rendered.withColumn("total_tokens", counter.guarded(F.col("rendered")))
 
 
-def transcript_totals(messages: DataFrame, counter: TokenCounter = CODE_POINTS) -> DataFrame:
-    """Content tokens against the tokens of the transcript ``role: content`` per line.
+#: Messages of one slice of a transcript, about.
+SLICE_MESSAGES = 1000
 
-    An additive counter gives the transcript count as a sum, so no session is brought together in one place.
+
+def transcript_totals(messages: DataFrame, counter: TokenCounter = CODE_POINTS, rows: int = SLICE_MESSAGES) -> DataFrame:
+    """Content tokens against the tokens of the transcript ``role: content`` per line, in the order of ids.
+
+    An additive counter gives the transcript count as a sum. With another one that names safe cuts, slices of a session are
+    counted apart from their first cut to their last, and what lies between the cuts of two slices is counted again as a seam.
+    No session is brought together in one place.
     """
-    if not counter.additive:
-        raise ValueError("the transcript count of a session needs an additive counter")
     line = F.concat("role", F.lit(": "), "content", F.lit("\n"))
-    return messages.groupBy(*SESSION).agg(
-        F.sum(counter.guarded(F.col("content"))).alias("content_tokens"),
-        F.sum(counter.guarded(line)).alias("transcript_tokens"),
-    )
+    if counter.additive:
+        return messages.groupBy(*SESSION).agg(
+            F.sum(counter.guarded(F.col("content"))).alias("content_tokens"),
+            F.sum(counter.guarded(line)).alias("transcript_tokens"),
+        )
+    if counter.cut is None:
+        raise ValueError("the transcript count of a session needs an additive counter, or one that names safe cuts")
+    contents = messages.select(*SESSION, counter.guarded(F.col("content")).alias("n")).groupBy(*SESSION).agg(
+        F.sum("n").alias("content_tokens"))
+    lines = messages.select(*SESSION, "id", line.alias("line"), order_buckets(messages, "id", rows=rows).alias("slice"))
+    slices = lines.groupBy(*SESSION, "slice").agg(F.array_sort(F.collect_list(F.struct("id", "line"))).alias("l")).select(
+        *SESSION, "slice", F.split(F.array_join(F.transform("l", lambda x: x["line"]), ""), counter.cut).alias("parts"))
+    slices = materialize(slices.withColumn("whole", F.size("parts") == 1))
+    inner = slices.filter("NOT whole").select(*SESSION, F.array_join(F.slice("parts", 2, F.size("parts") - 2), "").alias("text"))
+    ends = F.array_sort(F.collect_list(F.struct(
+        "slice", F.get("parts", F.lit(0)).alias("head"), "whole", F.element_at("parts", -1).alias("tail"))))
+
+    def step(state: Column, part: Column) -> Column:
+        grown = F.concat(state["open"], part["head"])
+        return F.when(part["whole"], F.struct(state["seams"].alias("seams"), grown.alias("open"))).otherwise(
+            F.struct(F.concat(state["seams"], F.array(grown)).alias("seams"), part["tail"].alias("open")))
+
+    start = F.struct(F.array().cast("array<string>").alias("seams"), F.lit("").alias("open"))
+    folded = slices.groupBy(*SESSION).agg(F.aggregate(ends, start, step).alias("s"))
+    seams = folded.select(*SESSION, F.explode(F.concat(F.col("s.seams"), F.array("s.open"))).alias("text"))
+    counted = inner.unionByName(seams).filter("text <> ''").select(*SESSION, counter.guarded(F.col("text")).alias("n"))
+    return contents.join(counted.groupBy(*SESSION).agg(F.sum("n").alias("transcript_tokens")), SESSION)

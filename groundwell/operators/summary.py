@@ -12,6 +12,8 @@ from groundwell.functions.render import clean_summary, message_line, update_prom
 from groundwell.functions.text import first_reason, is_blank
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
 from groundwell.operators.history import SESSION, list_after, message_tokens
+from groundwell.operators.skew import BUCKET_ROWS, earlier_buckets, order_buckets, with_carry
+from groundwell.operators.stages import materialize
 
 # Trigger reasons.
 NO_EVICTED, BOTH, BY_MESSAGES, BY_TOKENS, BELOW = (
@@ -126,6 +128,57 @@ def update_prompts(messages: DataFrame, decided: DataFrame) -> DataFrame:
     return due.join(parts, SESSION).withColumn("prompt", update_prompt(F.col("content"), lines)).drop("_l")
 
 
+#: Levels of partial summaries; a generator that does not shorten its input ends there.
+MOST_LEVELS = 12
+
+
+def bounded_prompts(messages: DataFrame, decided: DataFrame, generate: Callable[[Column], Column], budget: int,
+                    counter: TokenCounter = CODE_POINTS) -> DataFrame:
+    """R07 under an input budget: as :func:`update_prompts`, but no prompt, partial ones included, holds more than ``budget``
+    tokens of lines.
+
+    A session whose lines fit is prompted as it is. Of others the lines are cut into runs of half the budget by their running
+    count, so that a run ends with the line that crosses it. Each run is summarised on its own, all runs of all sessions side
+    by side, and its summary takes the place of its lines, until these fit.
+    A partial summary without text adds nothing. A line above half the budget, or summaries that do not get shorter, refuse the session with a ``prompt_reason``.
+    """
+    half = budget // 2
+    due = decided.filter(F.col("should_summarize") & F.col("reject_reason").isNull())
+    marks = due.select(*SESSION, "last_message_id", "recent_start_id")
+    evicted = messages.join(marks, SESSION).filter((F.col("id") > F.col("last_message_id")) & is_evicted())
+    lines = materialize(evicted.select(*SESSION, "id", message_line(F.col("id"), F.col("role"), F.col("content")).alias("line"))
+                        .withColumn("tokens", counter(F.col("line"))))
+    for _ in range(MOST_LEVELS):
+        # The running count is taken over order buckets, so a long session is spread over tasks.
+        bucketed = lines.withColumn("_bucket", order_buckets(lines, "id", rows=BUCKET_ROWS))
+        local = Window.partitionBy(*SESSION, "_bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        placed = with_carry(bucketed, SESSION, "_bucket", {"_sum": F.sum("tokens")},
+                            {"_base": F.coalesce(F.sum("_sum").over(earlier_buckets(SESSION, "_bucket")), F.lit(0))})
+        before = F.col("_base") + F.coalesce(F.sum("tokens").over(local), F.lit(0))
+        sums = lines.groupBy(*SESSION).agg(F.sum("tokens").alias("_total"), F.max("tokens").alias("_longest"))
+        placed = materialize(placed.withColumn("run", F.floor(before / half)).join(sums, SESSION).select(
+            *SESSION, "id", "line", "tokens", "run", "_total", "_longest"))
+        several = materialize(placed.filter((F.col("_total") > budget) & (F.col("_longest") <= half)).select(*SESSION).distinct())
+        if several.isEmpty():
+            break
+        part = placed.join(several.select(*SESSION), SESSION)
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "")
+        partial = part.groupBy(*SESSION, "run").agg(F.max("id").alias("id"), text.alias("text")).select(
+            *SESSION, "id", clean_summary(generate(update_prompt(F.lit(""), F.col("text")))).alias("partial"))
+        told = partial.filter(F.col("partial").isNotNull()).select(
+            *SESSION, "id", message_line(F.col("id"), F.lit("summary"), F.col("partial")).alias("line")).withColumn(
+            "tokens", counter(F.col("line")))
+        lines = materialize(lines.join(several.select(*SESSION), SESSION, "left_anti").unionByName(told))
+    reason = F.when(F.col("_total") <= budget, None).when(F.col("_longest") > half, "message_over_input_budget").otherwise(
+        "summary_does_not_shrink")
+    judged = placed.select(*SESSION, reason.alias("prompt_reason")).distinct()
+    kept = placed.join(judged.filter(F.col("prompt_reason").isNull()).select(*SESSION), SESSION, "left_semi")
+    parts = kept.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("id", "line"))).alias("_l"))
+    joined = F.array_join(F.transform("_l", lambda p: p["line"]), "")
+    return due.join(judged.select(*SESSION, "prompt_reason"), SESSION).join(parts, SESSION, "left").withColumn(
+        "prompt", update_prompt(F.col("content"), joined)).drop("_l")
+
+
 def save(stored: DataFrame, proposals: DataFrame) -> DataFrame:
     """Q05: compare-and-set. ``proposals`` has the keys, content, last_message_id and expected_version; the result says
     what happens to each and the version it would get."""
@@ -160,8 +213,9 @@ def first_and_last(prompt: Column) -> Column:
 
 def update_all(messages: DataFrame, requests: DataFrame, summaries: DataFrame, policy: TriggerPolicy = TriggerPolicy(),
                generate: Callable[[Column], Column] = first_and_last,
-               counter: TokenCounter = CODE_POINTS) -> DataFrame:
-    """Q06: read, select, decide, generate and compare-and-set for every requested session.
+               counter: TokenCounter = CODE_POINTS, input_budget: int | None = None) -> DataFrame:
+    """Q06: read, select, decide, generate and compare-and-set for every requested session. With an ``input_budget`` no prompt
+    holds more tokens of messages (:func:`bounded_prompts`).
 
     Each row tells whether the summary was updated; a failed step leaves the stored summary as it is. Requests that
     are not valid, or name a session more than once, come back with their reason.
@@ -174,7 +228,16 @@ def update_all(messages: DataFrame, requests: DataFrame, summaries: DataFrame, p
         F.col("last_message_id").alias("watermark")).drop("request_reason")
     current = lookup(valid.filter(F.col("request_reason").isNull()), summaries)
     decided = decide(select_prefix(messages, current, counter), policy)
-    made = update_prompts(messages, decided).select(
+    if input_budget is None:
+        prompts = update_prompts(messages, decided)
+    else:
+        decided = materialize(decided)
+        prompts = materialize(bounded_prompts(messages, decided, generate, input_budget, counter))
+        refusals = prompts.filter(F.col("prompt_reason").isNotNull()).select(*SESSION, "prompt_reason")
+        prompts = prompts.filter(F.col("prompt_reason").isNull())
+        decided = decided.join(refusals, SESSION, "left").withColumn(
+            "reject_reason", F.coalesce("reject_reason", "prompt_reason")).drop("prompt_reason")
+    made = prompts.select(
         *SESSION, clean_summary(generate(F.col("prompt"))).alias("generated"),
         F.col("next_watermark").alias("_mark"), F.col("version").alias("expected_version"))
     proposals = made.filter(F.col("generated").isNotNull()).select(

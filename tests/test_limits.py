@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwell.functions import identity as ids
-from groundwell.functions.tokens import CODE_POINTS
+from groundwell.functions.tokens import CODE_POINTS, python_counter
+from groundwell.operators import history as past
 from groundwell.operators import blocks, memory, points, summary, vector, versions
 from groundwell.operators.skew import lag_within_key, order_buckets
 from groundwell.operators.splitting import Splitter
@@ -301,3 +302,66 @@ def test_registered_prefilter_finds_most_of_the_exact_top(spark, size):
     assert all(exact[pair] == near[pair] for pair in exact.keys() & near.keys())
     asked = {r.query_id for r in QUERIES["j08_memory_questions"](spark, folder).select("query_id").distinct().collect()}
     assert {f"{q}/all" for q in questions} <= asked
+
+
+def four_characters(text):
+    """Tokens of leading white space and up to four characters, so a joined text may count fewer than its parts."""
+    import re
+    return len(re.findall(r"\s*\S{1,4}|\s+$", text))
+
+
+def test_transcripts_with_a_counter_that_merges(spark):
+    """Slices and seams give the count of the whole text."""
+    draw = random.Random(12)
+    rows = []
+    for i in range(400):
+        session = "long" if i % 2 else draw.choice(["a", "b", "c"])
+        text = draw.choice(["", "word " * draw.randint(1, 9), "x" * draw.randint(1, 30), "tail\n\n", " ", "é ü "])
+        rows.append((i + 1, session, "u", draw.choice(["user", "assistant"]), text))
+    rows += [(1000 + i, "joined", "u", "", "") for i in range(30)]
+    messages = spark.createDataFrame(rows, "id long, session_id string, user_id string, role string, content string")
+    messages = messages.filter("content <> ''").unionByName(messages.filter("content = ''").withColumn("content", F.lit("y")))
+    counter = python_counter(four_characters, cut=r"(?<=\S)(?=\s)")
+    texts, contents = {}, {}
+    for r in messages.orderBy("id").collect():
+        texts[r.session_id] = texts.get(r.session_id, "") + f"{r.role}: {r.content}\n"
+        contents[r.session_id] = contents.get(r.session_id, 0) + four_characters(r.content)
+    for size in (7, 10 ** 6):
+        got = {r.session_id: (r.content_tokens, r.transcript_tokens) for r in past.transcript_totals(messages, counter, size).collect()}
+        assert got == {s: (contents[s], four_characters(t)) for s, t in texts.items()}
+    with pytest.raises(ValueError):
+        past.transcript_totals(messages, python_counter(four_characters))
+
+
+def chatter(spark, sizes):
+    rows = [(n * 100_000 + i + 1, f"s{n}", "u", "user" if i % 2 == 0 else "assistant", f"message {i} of {n}", i) for n, size in enumerate(sizes) for i in range(size)]
+    return spark.createDataFrame(rows, "id long, session_id string, user_id string, role string, content string, at long").withColumn(
+        "created_at", F.timestamp_seconds("at")).drop("at")
+
+
+def test_long_sessions_are_summarised_within_the_input_budget(spark):
+    messages = chatter(spark, [5000, 40, 6])
+    stored = spark.createDataFrame([], "session_id string, user_id string, content string, last_message_id long, version long")
+    asked = messages.groupBy("session_id", "user_id").agg((F.max("id") - 1).alias("recent_start_id")).withColumns(
+        {"model": F.lit("m"), "max_output_tokens": F.lit(100).cast("long")})
+    budget, frame = 2000, len("<previous_summary>\n\n</previous_summary>\n<new_messages>\n</new_messages>") + 60
+
+    def generate(prompt):
+        checked = F.when(F.length(prompt) > budget + frame, F.raise_error(F.lit("prompt above its budget")).cast("string"))
+        return F.coalesce(checked, F.substring(summary.first_and_last(prompt), 1, 300))
+
+    policy = summary.TriggerPolicy(1, 1)
+    done = {r.session_id: r for r in summary.update_all(messages, asked, stored, policy, generate, input_budget=budget).collect()}
+    plain = {r.session_id: r for r in summary.update_all(messages, asked, stored, policy).collect()}
+    assert all(done[s].updated and done[s].watermark == plain[s].watermark for s in plain)
+    assert (done["s2"].content, done["s1"].content) == (plain["s2"].content, plain["s1"].content)
+    assert "message 0 of 0" in done["s0"].content and len(done["s0"].content) <= 300
+    with pytest.raises(Exception, match="above its budget"):
+        summary.update_all(messages, asked, stored, policy, generate).collect()
+    # A single line that cannot fit, and a generator that does not shorten, refuse their sessions alone.
+    wide = messages.withColumn("content", F.when(F.col("id") == 3, F.repeat(F.lit("x"), F.lit(1500))).otherwise(F.col("content")))
+    refused = {r.session_id: (r.reject_reason, r.updated) for r in summary.update_all(wide, asked, stored, policy, generate, input_budget=budget).collect()}
+    assert refused["s0"] == ("message_over_input_budget", False) and refused["s1"] == (None, True)
+    echo = summary.update_all(messages.filter("session_id <> 's0'"), asked.filter("session_id <> 's0'"), stored, policy,
+                              lambda p: F.repeat(F.lit("z"), F.lit(1000)), input_budget=1000)
+    assert {r.session_id: r.reject_reason for r in echo.collect()} == {"s1": "message_over_input_budget", "s2": None}
