@@ -10,7 +10,8 @@ from groundwell.functions import text as tx
 from groundwell.functions.tokens import similarity, token_set
 from groundwell.operators import lexical, lines
 from groundwell.operators.points import upsert
-from groundwell.operators.stages import materialize
+from groundwell.operators.stages import fresh_path, materialize
+from groundwell.plans import ingest
 from groundwell.sources import tables
 
 _DOCS = f"WITH {sql.LINE_DOCUMENTS},{sql.LINE_CHUNKS}"
@@ -90,6 +91,25 @@ def _(spark, folder):
         F.count(F.lit(1)).alias("chunk_count"), F.lit("ok").alias("status"))
 
 
+@query("s15_ingest_status", f"""{_DOCS},
+  stored AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY document_id)
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n END AS chunk_count,
+    CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n END AS stored_chunks, CASE WHEN doc_id % 7 = 0 THEN 'refused' ELSE 'ok' END AS status,
+    CASE WHEN doc_id % 7 = 0 THEN 'text_required' END AS reason, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE sha256(text) END AS archived
+  FROM documents LEFT JOIN stored ON document_id = CAST(doc_id AS VARCHAR)""")
+def _(spark, folder):
+    """Every seventh document comes without a text; chunks and texts are read back from what was written."""
+    docs = tables.line_documents(spark, folder).withColumn(
+        "text", F.when(F.col("document_id").cast("long") % 7 == 0, F.lit(" ")).otherwise(F.col("text")))
+    path = fresh_path(spark, "ingest")
+    store = ingest.chunk_table(spark, f"{path}/chunks", buckets=32)
+    told = ingest.ingest_texts(docs, store, f"{path}/archive", "load", 0)
+    held = store.read().groupBy("document_id").agg(F.count(F.lit(1)).alias("stored_chunks"))
+    kept = spark.read.parquet(f"{path}/archive/load-0").select("document_id", F.sha2("text", 256).alias("archived"))
+    return told.join(held, "document_id", "left").join(kept, "document_id", "left").select(
+        "document_id", "chunk_count", F.coalesce("stored_chunks", F.lit(0)).alias("stored_chunks"), "status", "reason", "archived")
+
+
 @query("p26_default_substitution", f"""
   SELECT doc_id, CASE WHEN {sql.blank("regexp_extract(text, '^[^A-Z]*', 0)")} THEN source
     ELSE regexp_extract(text, '^[^A-Z]*', 0) END AS value FROM documents""")

@@ -31,7 +31,7 @@ def append_log(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("log_date").json(path)
 
 
-def archive_texts(documents: DataFrame, path: str, buckets: int = ARCHIVE_BUCKETS) -> None:
+def archive_texts(documents: DataFrame, path: str, buckets: int = ARCHIVE_BUCKETS, mode: str = "append") -> None:
     """The raw text of every document, in hash buckets instead of one file each."""
     bucketed = documents.select("document_id", "text", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).alias("bucket"))
-    bucketed.write.mode("append").partitionBy("bucket").parquet(path)
+    bucketed.repartition(F.col("bucket")).write.mode(mode).partitionBy("bucket").parquet(path)

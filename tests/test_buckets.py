@@ -103,3 +103,23 @@ def test_vacuum_keeps_what_is_read(spark):
     assert len(list_names(spark, f"{table.path}/commits")) == 2 and len(content(table)) == 6
     used = {json.dumps(v) for v in table.last().buckets.values()}
     assert len(list_names(spark, f"{table.path}/data")) <= len(used) + 2
+
+
+def test_ingest_tells_what_became_of_each_document(spark):
+    from groundwell.plans import ingest
+    from groundwell.sources.files import list_names as names
+
+    path = f"{stage_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    docs = spark.createDataFrame(
+        [("a", "T", "a.md", "one\ntwo", ["x"]), ("b", "", "b.md", " \n", []), ("c", None, "c.md", "# H\nbody", []),
+         ("d", "", "d.md", "first", []), ("d", "", "d.md", "second", []), (None, "", "", "text", [])],
+        "document_id string, title string, source_ref string, text string, tags array<string>")
+    store = ingest.chunk_table(spark, f"{path}/chunks", buckets=4)
+    for _ in range(2):
+        told = ingest.ingest_texts(docs, store, f"{path}/archive", "load", 0)
+        assert sorted(map(str, map(tuple, told.collect()))) == sorted(map(str, [
+            ("a", 2, "ok", None), ("b", 0, "refused", "text_required"), ("c", 1, "ok", None), ("d", 0, "refused", "document_repeated"),
+            ("d", 0, "refused", "document_repeated"), (None, 0, "refused", "document_id_required")]))
+        assert sorted(r.chunk_id for r in store.read().collect()) == ["a#0", "a#1", "c#0"]
+        assert sorted(r.document_id for r in spark.read.parquet(f"{path}/archive/load-0").collect()) == ["a", "c"]
+    assert len(names(spark, f"{path}/chunks/commits")) == 1
