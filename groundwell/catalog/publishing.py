@@ -335,6 +335,17 @@ def _(spark, folder):
     return points.reconcile(rows, index_of(rows))
 
 
+@query("j14_range_reconciliation", f"""{_INDEX},
+  m AS (SELECT point_id, count(*) AS n, min(content_hash) AS h FROM snapshot GROUP BY point_id),
+  i AS (SELECT point_id, count(*) AS n, min(content_hash) AS h FROM indexed GROUP BY point_id)
+  SELECT * FROM (SELECT point_id, CASE WHEN m.n IS NULL THEN 'unexpected' WHEN i.n IS NULL THEN 'missing'
+    WHEN m.n > 1 THEN 'duplicate_in_manifest' WHEN i.n > 1 THEN 'duplicate_in_index' WHEN m.h <> i.h THEN 'mismatch' END
+    AS issue FROM m FULL JOIN i USING (point_id)) WHERE issue IS NOT NULL""")
+def _(spark, folder):
+    rows = materialize(snapshot(spark, folder))
+    return points.reconcile_ranges(rows, materialize(index_of(rows)))
+
+
 _VERIFIED = f"""{_INDEX},
 reports AS (SELECT knowledge_scope, collection, manifest_digest, chunk_count,
   (SELECT count(*) FROM indexed i WHERE i.knowledge_scope = d.knowledge_scope) AS point_count,

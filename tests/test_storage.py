@@ -123,3 +123,23 @@ def test_query_equals_its_sql(spark, name):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     assert compare(spark, con, SMALL, name, QUERIES[name], ORACLES[name]).startswith("ok")
+
+
+def test_ranges_that_agree_are_not_joined(spark):
+    from pyspark.sql import functions as F
+
+    from groundwell.operators import points
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("point_id"), F.lit("s").alias("knowledge_scope"),
+                                      F.concat(F.lit("c"), "id").alias("chunk_id"), F.md5(F.col("id").cast("string")).alias("content_hash"), "id").cache()
+    kept = points.range_fingerprints(rows).cache()
+    assert kept.count() <= points.RANGES and points.reconcile_ranges(rows, rows.repartition(7), kept).count() == 0
+    changed = rows.filter("id <> 5").withColumn("content_hash", F.when(F.col("id") == 7, "other").otherwise(F.col("content_hash")))
+    changed = changed.withColumn("chunk_id", F.when(F.col("id") == 11, None).otherwise(F.col("chunk_id")))
+    changed = changed.unionByName(rows.filter("id = 9")).unionByName(rows.filter("id = 1").withColumn("point_id", F.lit("new")))
+    expected = sorted(map(tuple, points.reconcile(rows, changed).collect()))
+    assert len(expected) == 5 and expected == sorted(map(tuple, points.reconcile_ranges(rows, changed, kept).collect()))
+    assert expected == sorted(map(tuple, points.reconcile_ranges(rows, changed).collect()))
+    # A swap of two hashes keeps every count, and is found.
+    pair = rows.withColumn("content_hash", F.when(F.col("id") == 3, F.md5(F.lit("4"))).when(F.col("id") == 4, F.md5(F.lit("3"))).otherwise(F.col("content_hash")))
+    assert points.reconcile_ranges(rows, pair, kept).count() == 2
+    assert points.reconcile_ranges(rows.limit(0), rows.limit(0)).count() == 0
