@@ -16,7 +16,7 @@ from groundwell.functions import identity as ids
 from groundwell.functions.text import first_reason, is_blank, trim
 from groundwell.functions.tokens import CODE_POINTS, TokenCounter
 from groundwell.functions.vectors import hash_embedding, shape_reason
-from groundwell.operators.points import reconcile
+from groundwell.operators.points import reconcile_ranges
 from groundwell.operators.skew import dense_ids
 from groundwell.operators.stages import materialize
 from groundwell.operators.structure import ChunkPolicy, chunk_documents, explode_chunks, normalize_documents
@@ -312,7 +312,8 @@ def snapshot_issues(members: DataFrame, versions: DataFrame, sources: DataFrame,
 def verify(chunks: DataFrame, claimed: DataFrame, points: DataFrame, vector_size: int,
            verified_at: Column | None = None) -> DataFrame:
     """One report row per snapshot. ``claimed`` has the snapshot key and the digest the publisher believes in;
-    ``points`` is the index with collection, scope, point_id, chunk_id, content_hash and vector."""
+    ``points`` is the index with collection, scope, point_id, chunk_id, content_hash and vector. Only ranges of points whose
+    fingerprints differ are compared row by row."""
     actual = manifest_digests(chunks)
     index = points.groupBy(*SNAPSHOT_KEY).agg(
         F.count(F.lit(1)).alias("point_count"),
@@ -322,7 +323,8 @@ def verify(chunks: DataFrame, claimed: DataFrame, points: DataFrame, vector_size
     tagged = [df.select(F.concat_ws("\x00", "collection", "point_id").alias("point_id"), *identity[1:], "collection")
               for df in (chunks, points)]
     owners = tagged[0].select("point_id", *SNAPSHOT_KEY).unionByName(tagged[1].select("point_id", *SNAPSHOT_KEY))
-    differences = reconcile(*[df.select(*identity) for df in tagged]).join(owners.distinct(), "point_id").groupBy(
+    found = materialize(reconcile_ranges(*[df.select(*identity) for df in tagged]))
+    differences = owners.join(found, "point_id").dropDuplicates(["point_id", *SNAPSHOT_KEY]).groupBy(
         *SNAPSHOT_KEY).agg(F.count(F.lit(1)).alias("differences"))
     joined = claimed.join(actual, SNAPSHOT_KEY, "left").join(index, SNAPSHOT_KEY, "left").join(
         differences, SNAPSHOT_KEY, "left")
