@@ -7,7 +7,7 @@ of each fragment.
    sets can differ in. If they differ in at most D fragments, the rarest piece in which they agree has at most D rarer ones
    in either set: so sets meet on their D + 1 rarest pieces only. A passage that many documents share makes frequent pieces,
    and sets with enough rare ones never meet on these. Only hashes of whole pieces are shuffled.
-2. **Bounds.** Each set carries parity sketches of 256 and 2048 bits. The bits in which two sketches differ are at most the
+2. **Bounds.** Each set carries parity sketches of 1024 and 2048 bits. The bits in which two sketches differ are at most the
    n-grams in which the sets differ, so pairs beyond the limit are dropped without losing a link. The narrow one meets every
    pair of a shared piece, the wide one what is left of these, before any n-gram is moved.
 3. **Partial overlaps.** For the pairs that remain, overlaps are counted fragment by fragment and summed per pair.
@@ -38,8 +38,9 @@ from groundwell.operators.stages import materialize
 #: Ranges of the global order in which overlaps are counted.
 FRAGMENTS = 8
 _U = np.uint64
-_WORDS = [f"s{i}" for i in range(4)]
 WIDE = 2048
+#: The narrow sketch is the wide one, folded in two.
+_WORDS = [f"s{i}" for i in range(WIDE // 128)]
 #: Schemes are told apart within a room; prefix n-grams may always be met on.
 SCHEMES, ANY = 1 << 12, 1 << 62
 
@@ -84,16 +85,15 @@ def _bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(starts, append=len(rows))
 
 
-def _wide(bit: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Parity sketches of ``WIDE`` bits, a few hundred sets at a time."""
+def _wide(bit: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Parity sketches of ``WIDE`` bits, a row for each set, made for a few hundred at a time."""
     out, ends = [], np.cumsum(counts)
     for i in range(0, len(counts), 512):
         own = counts[i:i + 512]
         places = np.repeat(np.arange(len(own)), own) * WIDE + (bit[ends[i] - counts[i]:ends[i + len(own) - 1]] & _U(WIDE - 1)).astype(np.int64)
         odd = np.bincount(places, minlength=len(own) * WIDE).astype(np.uint8) & 1
         out.append(np.packbits(odd.reshape(len(own), WIDE), axis=1).view(np.int64).reshape(-1))
-    words = WIDE // 64
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * words, pa.int32()), pa.array(np.concatenate(out)))
+    return np.concatenate(out).reshape(len(counts), WIDE // 64)
 
 
 def _parts(names: np.ndarray) -> np.ndarray:
@@ -107,7 +107,7 @@ def _column(values: np.ndarray) -> pa.Array:
 
 
 def profiles(documents: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """``doc_id, n, cls, part, s0..s3, wide``: set size, name of the set, its first half and the parity sketches of every
+    """``doc_id, n, cls, part, s0.., wide``: set size, name of the set, its first half and the parity sketches of every
     document that has n-grams."""
     schema = "doc_id bigint, n bigint, cls binary, part bigint, " + ", ".join(f"{s} bigint" for s in _WORDS) + ", wide array<bigint>"
 
@@ -117,14 +117,14 @@ def profiles(documents: DataFrame, doc_id: str, text: str, size: int) -> DataFra
                 starts, counts = _bounds(rows)
                 if not len(starts):
                     continue
-                bit = mix(grams ^ _U(0x7C0FFEE))
-                flag = _U(1) << (bit & _U(63))
-                sketch = [np.bitwise_xor.reduceat(np.where((bit >> _U(6)) & _U(3) == w, flag, _U(0)), starts)
-                          for w in range(len(_WORDS))]
+                wide = _wide(mix(grams ^ _U(0x7C0FFEE)), counts)
+                folded = wide[:, :len(_WORDS)] ^ wide[:, len(_WORDS):]
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(counts) + 1) * wide.shape[1], pa.int32()), pa.array(wide.reshape(-1)))
                 names = _digests(grams, starts)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(first + rows[starts])), pa.array(counts, pa.int64()), _column(names),
-                    pa.array(_parts(names)), *[pa.array(s.view(np.int64)) for s in sketch], _wide(bit, counts),
+                    pa.array(_parts(names)), *[pa.array(np.ascontiguousarray(s)) for s in folded.T], lists,
                 ], names=["doc_id", "n", "cls", "part", *_WORDS, "wide"])
 
     return whole_texts(documents).select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(run, schema)
