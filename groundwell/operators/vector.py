@@ -15,6 +15,7 @@ from groundwell.functions.vectors import dot, vector_reason
 from groundwell.operators.blocks import (
     CANDIDATES, DIM, LIST_POINTS, PROBED, BlockIndex, approximate_search, block_index, pruned_search, usable)
 from groundwell.operators.context import validated_hits
+from groundwell.operators.joins import broadcast_if_small
 from groundwell.operators.skew import largest, top_n
 from groundwell.operators.stages import materialize
 
@@ -42,6 +43,10 @@ def missing_vectors(inputs: DataFrame, vectors: DataFrame, key: str) -> DataFram
 
 #: Tasks over which the points of one tenant are spread; every question is sent to each of them.
 TENANT_PARTS = 16
+#: Bytes of a ranked pair without vectors and payload.
+BEST_ROW_BYTES = 256
+#: Types of columns that a condition on pairs may read.
+MATCHED = ("string", "long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp")
 
 
 def _score() -> Column:
@@ -62,15 +67,21 @@ def nearest(queries: DataFrame, points: DataFrame | BlockIndex, tenant: str, lim
     bound = None if isinstance(limit, int) else largest(queries, limit)[0]
     if isinstance(points, BlockIndex):
         return pruned_search(asked, points, limit, _score(), matches, bound)
-    # Points of tenants that nobody asks are dropped on the stored column, before their vectors are touched.
-    stored = usable(points.join(queries.select(tenant).distinct(), tenant, "left_semi"), "vector").withColumn(
-        "_part", F.pmod(F.xxhash64("point_id"), F.lit(TENANT_PARTS)))
+    # Points of tenants that nobody asks are dropped on the stored column, before their vectors are touched. The rest is
+    # written once: pairs are ranked by ids and scores alone, and the payload comes back for the best of them.
+    stored = materialize(usable(points.join(queries.select(tenant).distinct(), tenant, "left_semi"), "vector").withColumns({
+        "_part": F.pmod(F.xxhash64("point_id"), F.lit(TENANT_PARTS)), "_row": F.monotonically_increasing_id()}))
     spread = asked.withColumn("_part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TENANT_PARTS)])))
-    pairs = stored.join(spread, [tenant, DIM, "_part"])
+    needed = [c for c in stored.columns if c in {tenant, DIM, "_part", "_row", "point_id", "vector"} or (
+        matches is not None and c not in spread.columns and stored.schema[c].dataType.typeName() in MATCHED)]
+    pairs = stored.select(*needed).join(spread, [tenant, DIM, "_part"])
     if matches is not None:
         pairs = pairs.filter(matches)
-    return top_n(pairs.withColumn("score", _score()).drop("vector", "query_vector", "_part", DIM), ["query_id"],
-                 [F.desc("score"), F.asc("point_id")], limit, bound=bound)
+    narrow = pairs.select(*[c for c in asked.columns if c not in ("query_vector", DIM)], "point_id", "_row", _score().alias("score"))
+    best = top_n(narrow, ["query_id"], [F.desc("score"), F.asc("point_id")], limit, bound=bound)
+    payload = stored.drop(tenant, DIM, "_part", "point_id", "vector")
+    most = asked.count() * (limit if bound is None else bound)
+    return payload.join(broadcast_if_small(best, most, BEST_ROW_BYTES), "_row").drop("_row")
 
 
 def foreign_dimensions(queries: DataFrame, points: DataFrame, tenant: str) -> DataFrame:

@@ -22,3 +22,23 @@ def test_a_failing_build_of_another_worker_stays_building(spark):
         F.lit(0).cast("long").alias("chunk_count"), F.lit("").alias("error_message"), F.lit(None).cast("timestamp").alias("activated_at"))
     done = versions.ingest(documents, policy, "ctx_documents_a", sources, stored, spark.createDataFrame([], tables.SCHEMAS["document_chunk_manifests"]))
     assert {(r.id, r.status) for r in done.versions.collect()} == {(1, "building"), (2, "failed")}
+
+
+def test_pairs_are_ranked_without_their_payload(spark):
+    points = spark.createDataFrame([(i, "t", [1.0, float(i)], f"text {i}") for i in range(40)], "point_id long, tenant string, vector array<double>, text string")
+    asked = spark.createDataFrame([(q, "t", [1.0, float(q)]) for q in range(3)], "query_id long, tenant string, query_vector array<double>")
+    found = vector.nearest(asked, points, "tenant", 2, F.col("point_id") != F.col("query_id"))
+    assert all(r.text == f"text {r.point_id}" for r in found.collect()) and found.count() == 6
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number" in line]
+    assert windows and "text" not in plan[plan.index("row_number"):].split("Relation")[0]
+
+
+def test_packs_are_the_longest_that_fit(spark):
+    texts = ["", "One. Two! Three?", "abcdefghijkl. mn. o", "no end at all here", "。！a", "12345. 6789012345. x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for limit in (1, 4, 5, 9, 30):
+        for r in df.select("t", structure.packed_sentences(F.col("t"), limit).alias("packs")).collect():
+            assert "".join(r.packs) == r.t and all(0 < len(p) <= limit for p in r.packs)
+            for pack, after in zip(r.packs, r.packs[1:]):
+                assert pack[-1] in ".!?。！？\n" or len(pack) == limit
