@@ -83,17 +83,28 @@ def round4(value: Column) -> Column:
 
 
 def portable(value: Column) -> Column:
-    """LF line ends, no trailing blanks or tabs on a line, no blank lines at either edge."""
-    lines = F.regexp_replace(value, r"\r\n?", "\n")
-    lines = F.regexp_replace(lines, r"(?<![ \t])[ \t]++(?=\n|\z)", "")
-    body = F.regexp_replace(lines, r"(?U)\A\s*\n", "")
+    """LF line ends, no trailing blanks or tabs on a line, no blank lines at either edge. Patterns run on texts that hold
+    what they look for only."""
+    def lines(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+
+    def bare(text: Column) -> Column:
+        trailing = F.lit(False)
+        for blank in " \t":
+            trailing = trailing | F.contains(text, F.lit(blank + "\n")) | F.endswith(text, F.lit(blank))
+        return F.when(trailing, F.regexp_replace(text, r"(?<![ \t])[ \t]++(?=\n|\z)", "")).otherwise(text)
+
+    def cut_head(text: Column) -> Column:
+        blank = F.substring(text, 1, 1).isin(*UNICODE_SPACES)
+        return F.when(blank, F.regexp_replace(text, r"(?U)\A\s*\n", "")).otherwise(text)
 
     def cut_tail(text: Column) -> Column:
         kept = F.rtrim(text, F.lit(UNICODE_SPACES))
         rest = F.substring(text, F.length(kept) + 1, F.length(text))
-        return F.when(kept == "", F.lit("")).otherwise(F.concat(kept, F.substring_index(rest, "\n", 1)))
+        return F.when(kept == "", F.lit("")).when(F.length(kept) == F.length(text), text).otherwise(
+            F.concat(kept, F.substring_index(rest, "\n", 1)))
 
-    return let(body, cut_tail)
+    return let(let(let(let(value, lines), bare), cut_head), cut_tail)
 
 
 def preview(value: Column, size: int) -> Column:

@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundwell.functions.text import let, search_text
+from groundwell.functions.text import let
 
 
 def token_set(value: Column) -> Column:
-    """ASCII words, single CJK characters and CJK bigrams as one distinct array."""
+    """ASCII words, single CJK characters and CJK bigrams as one distinct array. White space is no part of a token, so the
+    search form of the text is not needed, only its lower case."""
 
     def tokens(text: Column) -> Column:
-        words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1))
-        cjk = F.regexp_replace(text, "[^\\u4e00-\\u9fff]", "")
+        words = F.array_remove(F.split(text, "[^a-z0-9]+"), "")
+        cjk = F.regexp_replace(text, "[^\\u4e00-\\u9fff]+", "")
 
         def with_cjk(run: Column) -> Column:
             single = F.filter(F.split(run, ""), lambda c: c != "")
@@ -27,7 +28,7 @@ def token_set(value: Column) -> Column:
 
         return F.array_distinct(let(cjk, with_cjk))
 
-    return let(search_text(value), tokens)
+    return let(F.lower(value), tokens)
 
 
 def similarity(left: Column, right: Column) -> Column:

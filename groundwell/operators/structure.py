@@ -261,19 +261,10 @@ def _fold(items: Column, done: str, first: Column, step: Callable[[Column, Colum
 
 
 def packed_sentences(text: Column, limit: int) -> Column:
-    """Greedy packing of the sentences of an oversized paragraph."""
-    pieces = F.flatten(F.transform(sentences(text), lambda s: exact_pieces(s, limit)))
-
-    def step(state: Column, piece: Column) -> Column:
-        grown = F.struct(state["done"].alias("done"), F.concat(state["open"], piece).alias("open"))
-        closed = F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), piece.alias("open"))
-        over = (state["open"] != "") & (F.length(state["open"]) + F.length(piece) > limit)
-        return F.when(over, closed).otherwise(grown)
-
-    def finish(state: Column) -> Column:
-        return F.when(state["open"] != "", F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-
-    return let(_fold(pieces, "array<string>", F.lit(""), step), finish)
+    """Greedy packing of the sentences of an oversized paragraph. A pack is the longest prefix within the limit that ends
+    behind a sentence, or the limit itself inside a longer one, so one scan of the text finds all of them."""
+    some = f".{{1,{limit}}}"
+    return F.regexp_extract_all(text, F.lit(rf"(?s){some}(?:(?<=[.!?。！？\n])|\z)|{some}"), F.lit(0))
 
 
 def packed_units(units: Column, limit: int) -> Column:
