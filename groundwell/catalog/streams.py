@@ -39,7 +39,6 @@ def _(spark, folder):
 
 @query("t03_memory_stream", f"{_APPLIED} SELECT user_id, kind, memory_key, value, status, version FROM after")
 def _(spark, folder):
-    streams.use_rocksdb(spark)
     path = fresh_path(spark, "memory")
     stored = streams.MemoryTables.of(spark, path, 16)
     stored.start(stored_items(spark, folder))
