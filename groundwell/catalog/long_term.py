@@ -10,7 +10,7 @@ from groundwell.functions import memory as rules
 from groundwell.functions import render
 from groundwell.functions.text import value_key
 from groundwell.operators import memory, points
-from groundwell.operators.stages import materialize
+from groundwell.operators.stages import empty, materialize
 from groundwell.sources import tables
 
 _KIND = """CASE event_type WHEN 'view' THEN 'preference' WHEN 'click' THEN 'goal' WHEN 'signup' THEN 'identity'
@@ -308,11 +308,9 @@ evidence AS (SELECT a.id AS memory_item_id, d.user_id, d.session_id AS source_se
 kept AS (SELECT * FROM evidence WHERE source_role = 'assistant')"""
 
 
-def applied(spark, folder, stored=None):
+def applied(spark, folder):
     """Items after the events and the new evidence."""
-    if stored is None:
-        stored = spark.createDataFrame([], "memory_item_id long, source_session_id string, source_message_id long, "
-                                           "operation string")
+    stored = empty(spark, "memory_item_id long, source_session_id string, source_message_id long, operation string")
     return memory.apply_candidates(candidates(spark, folder), stored_items(spark, folder),
                                    event_messages(spark, folder), stored)
 
@@ -330,8 +328,9 @@ def _(spark, folder):
 @query("k06_insert_ignore", f"""{_EVIDENCE} SELECT memory_item_id, source_message_id, operation FROM evidence
   ANTI JOIN kept USING (memory_item_id, source_session_id, source_message_id, operation)""")
 def _(spark, folder):
-    kept = materialize(applied(spark, folder)[1].filter(F.col("source_role") == "assistant"))
-    return applied(spark, folder, kept)[1].select("memory_item_id", "source_message_id", "operation")
+    made = materialize(applied(spark, folder)[1])
+    kept = made.filter(F.col("source_role") == "assistant")
+    return memory.insert_ignore(made, kept, memory.EVIDENCE_KEY).select("memory_item_id", "source_message_id", "operation")
 
 
 @query("m09_version_guard", f"""WITH {_CANDIDATES}

@@ -18,10 +18,14 @@ from groundwell.functions import memory as rules
 from groundwell.functions.render import extraction_prompt, message_line
 from groundwell.functions.text import is_blank, trim, value_key
 from groundwell.operators.history import SESSION
+from groundwell.operators.joins import broadcast_if_small
 from groundwell.operators.stages import materialize
 from groundwell.operators.skew import BUCKET_ROWS, dense_ids, earlier_buckets, order_buckets, previous_bucket, with_carry
 
 IDENTITY = ["user_id", "kind", "memory_key"]
+EVIDENCE_KEY = ["memory_item_id", "source_session_id", "source_message_id", "operation"]
+#: A generous size of one identity as a row of a side that is sent to all tasks.
+IDENTITY_BYTES = 1024
 
 CANDIDATE = T.StructType([
     T.StructField("operation", T.StringType()), T.StructField("kind", T.StringType()),
@@ -240,7 +244,8 @@ def resolve_single(candidates: DataFrame, items: DataFrame) -> DataFrame:
 def resolve_batch(candidates: DataFrame, items: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     """Every candidate in the order of its smallest cited id, chained per identity.
 
-    ``rows`` is the size of an order bucket. A stored item takes part as the event before all others.
+    A stored item takes part as the event before all others. Identities of more than ``rows`` events, of which there are few, are
+    cut into order buckets of that size; the others are each one short window.
     """
     events = normal_candidates(candidates).filter(F.col("reject_reason").isNull()).select(
         *IDENTITY, "session_id", "source_message_ids", "operation", "value", "source_id", "position",
@@ -252,8 +257,19 @@ def resolve_batch(candidates: DataFrame, items: DataFrame, rows: int = BUCKET_RO
         F.lit(0).cast("long").alias("source_id"), F.lit(-1).cast("long").alias("position"),
         F.col("version").alias("stored_version"), F.lit(True).alias("is_stored"))
     together = events.unionByName(stored)
-    bucketed = together.withColumns({
-        "_bucket": order_buckets(together, "source_id", "position", rows), "_norm": value_key(F.col("value"))})
+    hot = materialize(together.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*IDENTITY))
+    found = hot.count()
+    if not found:
+        return _chained(together, F.lit(0).cast("long"), False)
+    hot = broadcast_if_small(hot, found, IDENTITY_BYTES)
+    split = together.join(hot, IDENTITY, "left_semi")
+    return _chained(split, order_buckets(split, "source_id", "position", rows), True).unionByName(
+        _chained(together.join(hot, IDENTITY, "left_anti"), F.lit(0).cast("long"), False))
+
+
+def _chained(events: DataFrame, bucket: Column, split: bool) -> DataFrame:
+    """The decisions on ``events``, in windows of an identity and bucket; if identities are ``split``, buckets carry on from those before."""
+    bucketed = events.withColumns({"_bucket": bucket, "_norm": value_key(F.col("value"))})
     order = ["source_id", "position"]
     at = F.struct(*order)
     local = Window.partitionBy(*IDENTITY, "_bucket").orderBy(*order)
@@ -262,12 +278,15 @@ def resolve_batch(candidates: DataFrame, items: DataFrame, rows: int = BUCKET_RO
     creates = (F.col("operation") == "upsert") | F.col("is_stored")
 
     # First pass: what the previous event left, and whether anything existed before.
-    seen = with_carry(
-        bucketed, IDENTITY, "_bucket",
-        {"_tail": F.max_by(F.struct("operation", "_norm"), at), "_created": F.bool_or(creates)},
-        {"_carry": F.lag("_tail").over(previous_bucket(IDENTITY, "_bucket")),
-         "_existed": F.coalesce(F.bool_or("_created").over(earlier_buckets(IDENTITY, "_bucket")), F.lit(False))},
-    )
+    if split:
+        seen = with_carry(
+            bucketed, IDENTITY, "_bucket",
+            {"_tail": F.max_by(F.struct("operation", "_norm"), at), "_created": F.bool_or(creates)},
+            {"_carry": F.lag("_tail").over(previous_bucket(IDENTITY, "_bucket")),
+             "_existed": F.coalesce(F.bool_or("_created").over(earlier_buckets(IDENTITY, "_bucket")), F.lit(False))},
+        )
+    else:
+        seen = bucketed.withColumns({"_carry": F.lit(None).cast("struct<operation:string,_norm:string>"), "_existed": F.lit(False)})
     first = F.row_number().over(local) == 1
     previous = F.when(first, F.col("_carry")).otherwise(F.lag(F.struct("operation", "_norm")).over(local))
     exists = F.col("_existed") | F.coalesce(F.bool_or(creates).over(before), F.lit(False))
@@ -280,16 +299,18 @@ def resolve_batch(candidates: DataFrame, items: DataFrame, rows: int = BUCKET_RO
         .when(F.col("_o.action") == "noop", 0).otherwise(1).cast("long"),
         "_written": F.when(F.col("is_stored") | F.col("_o.action").isin("insert", "update"), F.col("value")),
     }).drop("_carry", "_existed", "_previous", "_norm")
-    # Read twice below: for the totals of the buckets and for the rows.
-    staged = materialize(staged)
 
     # Second pass: the version is a running sum and the value is the last one written.
-    summed = with_carry(
-        staged, IDENTITY, "_bucket",
-        {"_steps": F.sum("_step"), "_last": F.max_by("_written", F.when(F.col("_written").isNotNull(), at))},
-        {"_base": F.coalesce(F.sum("_steps").over(earlier_buckets(IDENTITY, "_bucket")), F.lit(0)),
-         "_held": F.last("_last", ignorenulls=True).over(earlier_buckets(IDENTITY, "_bucket"))},
-    )
+    if split:
+        # Read twice: for the totals of the buckets and for the rows.
+        summed = with_carry(
+            materialize(staged), IDENTITY, "_bucket",
+            {"_steps": F.sum("_step"), "_last": F.max_by("_written", F.when(F.col("_written").isNotNull(), at))},
+            {"_base": F.coalesce(F.sum("_steps").over(earlier_buckets(IDENTITY, "_bucket")), F.lit(0)),
+             "_held": F.last("_last", ignorenulls=True).over(earlier_buckets(IDENTITY, "_bucket"))},
+        )
+    else:
+        summed = staged.withColumns({"_base": F.lit(0).cast("long"), "_held": F.lit(None).cast("string")})
     resolved = summed.withColumns({
         "version": F.col("_base") + F.sum("_step").over(until),
         "next_value": F.coalesce(F.last("_written", ignorenulls=True).over(until), F.col("_held"), F.lit("")),
@@ -334,7 +355,7 @@ def new_evidence(decisions: DataFrame, items_after: DataFrame, messages: DataFra
     full = rows.join(proofs, "message_id", "left").select(
         "memory_item_id", "user_id", F.col("session_id").alias("source_session_id"),
         F.col("message_id").alias("source_message_id"), "source_role", "operation", "evidence_text")
-    return insert_ignore(full, stored, ["memory_item_id", "source_session_id", "source_message_id", "operation"])
+    return insert_ignore(full, stored, EVIDENCE_KEY)
 
 
 def insert_ignore(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

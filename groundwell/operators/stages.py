@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
 _own: list[str] = []
@@ -45,6 +47,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
+    """No rows of ``schema``, which the optimizer knows to be none; a list without rows is read by Python tasks."""
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).limit(0)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all stages of this process, on whatever file system they are. Results that are still lazy read their stages,
     so the caller writes what it needs first."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from groundwell.operators.points import delete as without
 from groundwell.operators.points import upsert as merged
+from groundwell.operators.stages import empty
 from groundwell.sources.files import create_file, list_names, read_text, remove
 
 BUCKETS = 256
@@ -59,7 +60,7 @@ class BucketTable:
     def _rows(self, commit: Commit, buckets: list[str]) -> DataFrame:
         paths = [f"{self.path}/data/{commit.buckets[b]}/_bucket={b}" for b in buckets if b in commit.buckets]
         reader = self.spark.read.schema(self.schema)
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return reader.parquet(*paths) if paths else empty(self.spark, self.schema)
 
     def bucket(self) -> Column:
         """The bucket of a row."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from groundwell.operators import memory
 from groundwell.operators.stages import stage_folder
 from groundwell.streaming import streams
 from tests.test_memory import CANDIDATES, ITEMS, candidate
@@ -35,3 +36,14 @@ def test_the_memory_stream_calls_no_state_per_identity_and_resumes_a_batch(spark
     assert query.lastProgress["stateOperators"] == []
     assert sorted((r.memory_key, r.value, r.version) for r in kept.items.read().collect()) == [("k", "B", 4), ("new", "C", 1)]
     assert sorted(r.source_message_id for r in kept.evidence.read().collect()) == [10, 12]
+
+
+def test_only_hot_identities_are_cut_into_buckets(spark):
+    said = [candidate(i, "forget" if i % 5 == 4 else "upsert", "hot" if i % 2 else f"k{i % 8}", f"v{i // 6}", 100 + i) for i in range(120)]
+    events = spark.createDataFrame(said, CANDIDATES)
+    items = spark.createDataFrame([(1, "u", "goal", "hot", "v0", "active", 3), (2, "u", "goal", "k2", "v9", "forgotten", 2)], ITEMS)
+    plain = memory.resolve_batch(events, items)
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    split = memory.resolve_batch(events, items, rows=20)
+    assert "Join" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect())) and plain.count() == 120
