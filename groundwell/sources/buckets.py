@@ -75,10 +75,18 @@ class BucketTable:
 
     def upsert(self, rows: DataFrame, writer: str, batch: int, order: Column | None = None, notes: dict[str, int] | None = None) -> list[str]:
         """The last row of a key by ``order`` wins; without an order a repeated key stops the job. Returns the buckets written."""
-        # The check for repeated keys is part of the key, so the key is read before it goes.
-        return self._change(rows, writer, batch, lambda held: merged(
-            held.withColumn("_key", self._name()), rows.withColumn("_key", self._name()), "_key", order)
-            .filter(F.col("_key").isNotNull()).drop("_key"), notes)
+        def changed(held: DataFrame) -> DataFrame:
+            if order is not None:
+                return merged(held.withColumn("_key", self._name()), rows.withColumn("_key", self._name()), "_key", order).drop("_key")
+            # Keys are checked for themselves, so that rows are exchanged once only, into their buckets.
+            names = rows.select(self._name().alias("_key"))
+            twice = names.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).first()
+            if twice is not None:
+                raise ValueError(f"a key is written twice without an order: {twice['_key']}")
+            kept = held.withColumn("_key", self._name()).join(names, "_key", "left_anti").drop("_key")
+            return kept.unionByName(rows.select(*held.columns))
+
+        return self._change(rows, writer, batch, changed, notes)
 
     def insert(self, rows: DataFrame, writer: str, batch: int) -> list[str]:
         """Rows whose key is not stored yet, one for each."""

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from groundwell.catalog import publishing
 from groundwell.operators import memory
 from groundwell.operators.stages import stage_folder
+from groundwell.plans import ingest
+from groundwell.sources.buckets import BucketTable
 from groundwell.streaming import streams
 from tests.test_memory import CANDIDATES, ITEMS, candidate
 
@@ -55,3 +59,22 @@ def test_a_snapshot_is_chunked_once_and_only_where_it_is_read(spark, monkeypatch
     monkeypatch.setattr(publishing, "chunks", lambda *a: calls.append(a) or chunks(*a))
     assert publishing.outcomes(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
     assert publishing.activated(spark, "/root/testdata/sf0.001")[0].count() > 0 and len(calls) == 1
+
+
+def test_an_upsert_without_an_order_ranks_no_rows(spark, monkeypatch):
+    plans, change = [], BucketTable._change
+
+    def seen(self, rows, writer, batch, made, notes=None):
+        return change(self, rows, writer, batch, lambda held: plans.append(made(held)) or plans[-1], notes)
+
+    monkeypatch.setattr(BucketTable, "_change", seen)
+    texts = [("1", "one", "a"), ("2", "two", "b"), ("2", "two again", "c"), ("3", " ", "d"), (None, "none", "e")]
+    documents = spark.createDataFrame(texts, "document_id string, text string, source_ref string").withColumns(
+        {"title": F.lit(""), "tags": F.array(F.lit("t"))})
+    path = f"{stage_folder(spark)}/plain-{uuid.uuid4().hex}"
+    store = ingest.chunk_table(spark, f"{path}/chunks", buckets=4)
+    told = ingest.ingest_texts(documents, store, f"{path}/archive", "load", 0)
+    assert "Window" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, ((r.document_id, r.chunk_count, r.reason) for r in told.collect()))) == sorted(map(str, [
+        ("1", 1, None), ("2", 0, "document_repeated"), ("2", 0, "document_repeated"), ("3", 0, "text_required"), (None, 0, "document_id_required")]))
+    assert [r.text for r in store.read().collect()] == ["one"]
