@@ -26,7 +26,9 @@ def token_set(value: Column) -> Column:
             pairs = F.when(F.length(run) > 1, pairs).otherwise(F.array().cast("array<string>"))
             return F.when(run == "", words).otherwise(F.concat(words, single, pairs))
 
-        return F.array_distinct(let(cjk, with_cjk))
+        # A text of one byte a character holds no CJK.
+        plain = F.octet_length(text) == F.char_length(text)
+        return F.array_distinct(F.when(plain, words).otherwise(let(cjk, with_cjk)))
 
     return let(F.lower(value), tokens)
 

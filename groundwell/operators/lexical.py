@@ -4,20 +4,22 @@ A pair with score ``shared / sqrt(|question| * |chunk|)`` of at least a floor sh
 |chunk|)`` tokens. So a chunk that holds none of the rarest tokens of a question, all but that many less one, cannot reach the
 floor, and one that holds fewer than ``1 + EXTRA`` of the rarest and ``EXTRA`` more cannot either. The index holds these
 leading tokens only: each is kept with the largest chunk in which it still matters, so a frequent token, which comes last,
-meets small chunks at most or none at all. Matches are counted where the chunk lies, and only pairs with enough of them are
-verified on the token set in the chunk's row and leave the task.
+meets small chunks at most or none at all. Matches are counted on numbers in place of tokens, and only pairs with enough of
+them are verified on all tokens that the questions ask for.
 
-Floors are scores that the k-th best hit of each question certainly reaches, taken from a small part of the chunks and
-raised on a larger one. They only discard pairs that cannot be among the best k, so the result is exact.
+Floors are scores that the k-th best hit of each question certainly reaches, taken from chunks that hold its rarest tokens
+and raised on small parts of all chunks. They only discard pairs that cannot be among the best k, so the result is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.text import is_blank, round4, search_text, truncate
-from groundwell.functions.tokens import similarity, token_set
+from groundwell.functions.tokens import token_set
 from groundwell.operators.joins import broadcast_if_small
 from groundwell.operators.skew import top_n
 from groundwell.operators.stages import materialize
@@ -25,8 +27,12 @@ from groundwell.operators.stages import materialize
 DEFAULT_TOP_K = 5
 PREVIEW_CHARS = 120
 HIT_ROW_BYTES = 256
-#: Floors come from one chunk in so many, then from one in fewer.
-FLOOR_PARTS = (1024, 32)
+#: Floors are raised on one chunk in so many.
+FLOOR_PARTS = (32,)
+#: The first floors come from the rarest tokens of a question that lie in one chunk in so many together, or in this number.
+RARE_PART, RARE_CHUNKS = 256, 2000
+#: For each hit of a question, so many chunks with most of its rarest tokens are scored for the first floor.
+RARE_TRIES = 4
 #: Tokens beyond the leading ones; each asks for one match more.
 EXTRA = 3
 #: Allowance for rounding in bounds; the exact score decides in the end.
@@ -45,24 +51,52 @@ def chunk_token_sets(chunks: DataFrame) -> DataFrame:
 
 
 def _tokens_of(sets: DataFrame) -> DataFrame:
-    return sets.select("chunk_id", F.size("tokens").alias("chunk_size"), F.explode("tokens").alias("token"))
+    """``chunk_id, name, chunk_size, token`` of every token of the sets; what :func:`numbered` made are such rows already. Only
+    there may two rows of a chunk table share an id, as their numbers differ."""
+    if "token" in sets.columns:
+        return sets
+    return sets.select("chunk_id", F.col("chunk_id").alias("name"), F.size("tokens").alias("chunk_size"),
+                       F.explode("tokens").alias("token"))
+
+
+def _words_of(asked: DataFrame) -> DataFrame:
+    return asked.select("query_id", "query_size", F.explode("query_tokens").alias("token"))
+
+
+def numbered(asked: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions with numbers in place of their tokens, and ``chunk_id, name, chunk_size, token`` for every token of a chunk
+    that some question asks for. ``chunk_id`` is a number too, and ``name`` the id it stands for."""
+    words = _words_of(asked)
+    numbers = materialize(words.select("token").distinct().withColumn("_token", F.monotonically_increasing_id()))
+    names = _small(numbers)
+    asked = words.join(names, "token").groupBy("query_id", "query_size").agg(F.collect_list("_token").alias("query_tokens"))
+    chunks = sets.select(F.monotonically_increasing_id().alias("_chunk"), "chunk_id", "tokens")
+    rows = chunks.select("_chunk", "chunk_id", F.size("tokens").alias("chunk_size"), F.explode("tokens").alias("token"))
+    return materialize(asked), materialize(rows.join(names, "token").select(
+        F.col("_chunk").alias("chunk_id"), F.col("chunk_id").alias("name"), "chunk_size", F.col("_token").alias("token")))
 
 
 def rarest_first(asked: DataFrame, sets: DataFrame) -> DataFrame:
-    """``query_id, query_size, place, token``: the tokens of every question, from the rarest in the chunks to the most frequent."""
-    words = asked.select("query_id", "query_size", F.explode("query_tokens").alias("token"))
+    """``query_id, query_size, place, chunks, token``: the tokens of every question, from the rarest in the chunks to the most
+    frequent, and in how many chunks they lie."""
+    words = _words_of(asked)
     wanted = _small(words.select("token").distinct())
     frequency = _tokens_of(sets).join(wanted, "token").groupBy("token").agg(F.count(F.lit(1)).alias("chunks"))
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("chunks", F.lit(0)).alias("chunks"), "token")))
     return words.join(frequency, "token", "left").groupBy("query_id", "query_size").agg(order.alias("order")).select(
         "query_id", "query_size", F.posexplode("order").alias("place", "entry")).select(
-        "query_id", "query_size", "place", F.col("entry.token").alias("token"))
+        "query_id", "query_size", "place", "entry.chunks", "entry.token")
 
 
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast a side of index rows if its measured size allows."""
-    lengths = df.agg(F.count(F.lit(1)), F.max(F.octet_length("token"))).first()
-    return broadcast_if_small(df, lengths[0], HIT_ROW_BYTES + (lengths[1] or 0))
+    return _fits(df)(df)
+
+
+def _fits(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What broadcasts a side that has no more rows than ``df`` if the measured size of that allows."""
+    lengths = df.agg(F.count(F.lit(1)), F.max(F.octet_length(F.col("token").cast("string")))).first()
+    return lambda side: broadcast_if_small(side, lengths[0], HIT_ROW_BYTES + (lengths[1] or 0))
 
 
 def leading_tokens(ordered: DataFrame, floors: DataFrame) -> DataFrame:
@@ -78,35 +112,68 @@ def leading_tokens(ordered: DataFrame, floors: DataFrame) -> DataFrame:
 
 
 def proposed_pairs(ordered: DataFrame, held: DataFrame, floors: DataFrame) -> DataFrame:
-    """``query_id, chunk_id`` of every pair that can reach the floor of its question, and of some that cannot. ``held`` has
-    the rows of a chunk in one task, so nothing is exchanged for the counts."""
+    """``query_id, chunk_id`` of every pair that can reach the floor of its question, and of some that cannot. Tokens that
+    matter in their chunk are brought together by chunk, so that no count of a pair is exchanged."""
     index = materialize(leading_tokens(ordered, floors))
-    met = _tokens_of(held).join(_small(index), "token").filter(F.col("chunk_size").between(F.col("least"), F.col("reach")))
+    small = _fits(index)
+    spans = small(index.groupBy("token").agg(F.min("least").alias("_least"), F.max("reach").alias("_reach")))
+    matter = _tokens_of(held).join(spans, "token").filter(F.col("chunk_size").between(F.col("_least"), F.col("_reach")))
+    rows = matter.select("chunk_id", "chunk_size", "token").repartition("chunk_id")
+    met = rows.join(small(index), "token").filter(F.col("chunk_size").between(F.col("least"), F.col("reach")))
+    counts = met.groupBy("chunk_id", "query_id").agg(
+        F.count(F.lit(1)).alias("met"), *[F.first(c).alias(c) for c in ("chunk_size", "query_size", "floor")])
     shared = F.ceil(F.col("floor") * F.sqrt(F.col("query_size").cast("double") * F.col("chunk_size")) - MARGIN)
-    counts = met.groupBy("chunk_id", "chunk_size", "query_id", "query_size", "floor").agg(F.count(F.lit(1)).alias("met"))
     return counts.filter(F.col("met") >= F.least(shared, F.lit(1 + EXTRA))).select("query_id", "chunk_id")
 
 
-def scores_above(asked: DataFrame, ordered: DataFrame, sets: DataFrame, floors: DataFrame) -> DataFrame:
-    """Pairs that reach the floor of their question. ``floors`` has query_id and floor."""
-    held = sets.repartition("chunk_id")
-    pairs = proposed_pairs(ordered, held, floors).join(held, "chunk_id").join(asked, "query_id").join(floors, "query_id")
-    return pairs.select("query_id", "chunk_id", "floor", similarity(F.col("tokens"), F.col("query_tokens")).alias("score")).filter(
-        F.col("score") >= F.col("floor")).drop("floor")
+def pair_scores(pairs: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, score, name`` of the given pairs (J03), by their common tokens. ``held`` and ``asked`` are
+    :func:`numbered`."""
+    words = _small(_words_of(asked))
+    pairs = materialize(pairs)
+    pairs = broadcast_if_small(pairs, pairs.count(), HIT_ROW_BYTES)
+    common = held.join(pairs, "chunk_id").join(words, ["query_id", "token"]).groupBy("query_id", "chunk_id").agg(
+        F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("chunk_size", "query_size", "name")])
+    score = F.col("shared") / F.sqrt((F.col("query_size") * F.col("chunk_size")).cast("double"))
+    return common.select("query_id", "chunk_id", score.alias("score"), "name")
+
+
+def scores_above(asked: DataFrame, ordered: DataFrame, held: DataFrame, floors: DataFrame) -> DataFrame:
+    """Scores of pairs that reach the floor of their question. ``floors`` has query_id and floor."""
+    found = pair_scores(proposed_pairs(ordered, held, floors), asked, held)
+    return found.join(floors, "query_id").filter(F.col("score") >= F.col("floor")).drop("floor")
+
+
+def rare_pairs(ordered: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """``query_id, chunk_id``: chunks that hold most of the rarest tokens of a question."""
+    chunks = held.agg(F.approx_count_distinct("chunk_id")).first()[0]
+    so_far = F.sum("chunks").over(Window.partitionBy("query_id").orderBy("place"))
+    rare = materialize(ordered.withColumn("_so_far", so_far).filter(
+        (F.col("chunks") > 0) & (F.col("_so_far") <= max(RARE_CHUNKS, chunks // RARE_PART))))
+    met = held.join(_small(rare.select("token", "query_id")), "token").groupBy("query_id", "chunk_id").agg(
+        F.count(F.lit(1)).alias("met"), F.first("chunk_size").alias("chunk_size"))
+    return top_n(met, ["query_id"], [F.desc(F.col("met") / F.sqrt("chunk_size")), F.asc("chunk_id")], RARE_TRIES * k).select(
+        "query_id", "chunk_id")
 
 
 def score_floors(asked: DataFrame, ordered: DataFrame, sets: DataFrame, k: int, threshold: float) -> DataFrame:
     """Per question a score that its k-th best chunk certainly reaches, at least the threshold.
 
     The k-th best chunk of any part of the chunks is not better than the k-th best of all. Each part is searched with the
-    floors that the smaller one gave.
+    floors that the one before gave.
     """
+    held = _tokens_of(sets)
+
+    def raised(floors: DataFrame, scores: DataFrame) -> DataFrame:
+        best = top_n(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+        kth = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
+        return materialize(floors.join(kth, "query_id", "left").select("query_id", F.greatest("floor", "_kth").alias("floor")))
+
     floors = asked.select("query_id", F.lit(threshold).alias("floor"))
+    floors = raised(floors, pair_scores(rare_pairs(ordered, held, k), asked, held))
     for parts in FLOOR_PARTS:
-        part = sets.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)) == 0)
-        best = top_n(scores_above(asked, ordered, part, floors), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-        kth = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
-        floors = materialize(floors.join(kth, "query_id", "left").select("query_id", F.greatest("floor", "_kth").alias("floor")))
+        part = held.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)) == 0)
+        floors = raised(floors, scores_above(asked, ordered, part, floors))
     return floors
 
 
@@ -114,10 +181,11 @@ def best_pairs(queries: DataFrame, chunks: DataFrame, k: int, threshold: float)
     """J04 and K01 as (query_id, chunk_id, score, rank); ties go to the smaller chunk id."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive: pairs that share no token are never formed")
-    asked, sets = materialize(question_sets(queries)), materialize(chunk_token_sets(chunks))
-    ordered = materialize(rarest_first(asked, sets))
-    floors = score_floors(asked, ordered, sets, k, threshold)
-    return top_n(scores_above(asked, ordered, sets, floors), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    asked, held = numbered(materialize(question_sets(queries)), chunk_token_sets(chunks))
+    ordered = materialize(rarest_first(asked, held))
+    floors = score_floors(asked, ordered, held, k, threshold)
+    scores = scores_above(asked, ordered, held, floors).select("query_id", F.col("name").alias("chunk_id"), "score")
+    return top_n(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_TOP_K, threshold: float = 0.1) -> DataFrame:

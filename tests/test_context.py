@@ -187,3 +187,39 @@ def test_evaluation_metrics(spark):
 def test_streamed_window_keeps_only_what_can_matter():
     window = RecentWindow(10, 50)._window([(5, 5, 4), (4, 4, 5), (3, 3, 9), (2, 2, 1)])
     assert window == ([(5, 5, 4), (4, 4, 5)], 9)
+
+
+def test_floors_come_from_the_rarest_words(spark):
+    """The third best score of a question is known before all chunks are searched, wherever these chunks lie."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    texts = [draw.choices(words, weights, k=30) for _ in range(2000)]
+    asked = [(i, " ".join(texts[i * 50])) for i in range(40)]
+    near = [texts[i * 50][:28 - j] + ["other"] for i in range(40) for j in range(2)]
+    rows = [(f"c{i}", f"d{i}", "", "", " ".join(t)) for i, t in enumerate(texts + near)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, title string, source_ref string, text string")
+    queries = spark.createDataFrame(asked, "query_id long, question string")
+    best = {}
+    for i, question in asked:
+        q, found = set(question.split()), []
+        for c, *_, text in rows:
+            t = set(text.split())
+            found.append((-len(q & t) / (len(q) * len(t)) ** 0.5, c))
+        best[i] = sorted(found)[:3]
+    sets, questions = lexical.chunk_token_sets(chunks).cache(), lexical.question_sets(queries).cache()
+    ordered = lexical.rarest_first(questions, sets).cache()
+    floors = {r.query_id: r.floor for r in lexical.score_floors(questions, ordered, sets, 3, 0.1).collect()}
+    assert floors == {i: -b[2][0] for i, b in best.items()}
+    got = {}
+    for r in lexical.best_pairs(queries, chunks, 3, 0.1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+    assert got == best
+
+
+def test_chunks_that_share_an_id_are_scored_apart(spark):
+    chunks = spark.createDataFrame([("c", "d", "", "", "a b c d"), ("c", "d", "", "", "a b"), ("e", "d", "", "", "a x y z")],
+                                   "chunk_id string, document_id string, title string, source_ref string, text string")
+    queries = spark.createDataFrame([(1, "a b c d")], "query_id long, question string")
+    got = lexical.best_pairs(queries, chunks, 5, 0.1).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in got] == [("c", 1.0), ("c", 2 / 8 ** 0.5), ("e", 0.25)]
