@@ -22,20 +22,19 @@ order of their texts; an empty table gives an empty dataset. Other columns are i
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from groundwell.llm.common import query, table, whole_texts
 from groundwell.operators.stages import stage_folder
@@ -46,27 +45,19 @@ STEP = 64
 #: Documents in one range of the order, about, where the session has no more partitions.
 RANGE = 50_000
 END = 2
-CACHED_WORDS = 200_000
+#: Texts whose distinct words are looked up together.
+ROWS = 2048
+#: Pieces of words that the tokenizer is given in one text, and that are kept for the next texts.
+AT_ONCE, CACHED_PIECES = 1 << 15, 400_000
 
+_LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xc0, 0xd7), *range(0xd8, 0xf7), *range(0xf8, 0x100)]))
+_SYMBOLS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<>")
 #: Words that the tokenizer takes as letters, then symbols: two pre-tokens at most, each ending a word.
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([!-&(-/:;=?@\\[-`{}~]*)")
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-class _Slots(dict):
-    """Numbers words in the order of their first appearance."""
-
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        slot = self[word] = len(self)
-        self.fresh.append(word)
-        return slot
+_PLAIN = "^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*[!-&(-/:;=?@\\[-`{}~]*$"
 
 
 class Encoder:
-    """Encodes texts through a cache of words, which the tasks of one Python worker share."""
+    """Encodes batches of texts through a cache of pieces of words, which the tasks of one Python worker share."""
 
     opened: dict[tuple[str, int], Encoder] = {}
 
@@ -75,7 +66,12 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.stops[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget_pieces()
+        # Pieces of plain words in lower case need no normalizing, and no splitting but at white space.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._forget()
 
     @classmethod
     def of(cls, path: str, end: int) -> Encoder:
@@ -83,82 +79,71 @@ class Encoder:
             cls.opened[path, end] = cls(path, end)
         return cls.opened[path, end]
 
-    def _forget_words(self) -> None:
-        """Words are numbered, and each is one or two numbered pieces."""
-        self.words = _Slots()
-        self.first = self.second = np.zeros(0, np.int64)
-
-    def _forget_pieces(self) -> None:
-        """Piece 0 is empty, and piece 1 is the end id."""
-        self._forget_words()
-        self.pieces = _Slots()
+    def _forget(self) -> None:
+        """Piece 0 is empty, and piece 1, which no word is, stands for the end id."""
+        self.known = pa.array(["", "\n"])
         self.flat = np.array([self.end], np.uint32)
         self.starts, self.sizes = np.zeros(2, np.int64), np.arange(2)
-        assert (self.pieces[""], self.pieces["\n"]) == (0, 1)
-        self.pieces.fresh.clear()
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, tokenizer: Tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self) -> None:
-        """Encode new pieces: plain ones in one go, as the ids of each end with an end-of-word id; odd ones one by one."""
-        new, self.pieces.fresh = self.pieces.fresh, []
-        plain = [p for p in new if p[0] != "\0"]
-        odd = [p[1:] for p in new if p[0] == "\0"]
-        joined = self._ids([" ".join(plain)])[0] if plain else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(self.stops[joined]) + 1
-        if len(ends) != len(plain):
-            each = self._ids(plain)
-            joined, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-        rest = self._ids(odd) if odd else []
-        is_odd = np.array([p[0] == "\0" for p in new], bool)
-        sizes = np.zeros(len(new), np.int64)
-        sizes[~is_odd] = np.diff(ends, prepend=0)
-        sizes[is_odd] = [len(x) for x in rest]
-        starts = np.zeros(len(new), np.int64)
-        starts[~is_odd] = ends - sizes[~is_odd]
-        starts[is_odd] = len(joined) + np.cumsum(sizes[is_odd]) - sizes[is_odd]
-        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+    def _keep(self, pieces: pa.Array, ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, joined, *rest])
-
-    def _learn(self) -> None:
-        new, self.words.fresh = self.words.fresh, []
-        piece, match = self.pieces.__getitem__, _PLAIN.fullmatch
-        first, second = [], []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if found := match(text):
-                body, tail = found.groups()
-                first.append(piece(body.lower()))
-                second.append(piece(tail))
-            else:
-                first.append(piece("\0" + text))
-                second.append(0)
-        self.first, self.second = np.append(self.first, first), np.append(self.second, second)
-        if self.pieces.fresh:
-            self._learn_pieces()
-
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each closed by the end id, and their number per text."""
-        if len(self.pieces) > 2 * CACHED_WORDS:
-            self._forget_pieces()
-        elif len(self.words) > CACHED_WORDS:
-            self._forget_words()
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def _learn(self, plain: pa.Array, odd: pa.Array) -> None:
+        """Encode new pieces: plain ones in one go, as the ids of each end with an end-of-word id; odd ones one by one."""
+        for i in range(0, len(plain), AT_ONCE):
+            some = plain.slice(i, AT_ONCE)
+            whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")
+            ids = self._ids(self.plain, whole.to_pylist())
+            ends = np.flatnonzero(self.stops[ids[0]]) + 1
+            if len(ends) != len(some):
+                ids = self._ids(self.tokenizer, some.to_pylist())
+                ends = np.cumsum([len(x) for x in ids])
+            self._keep(some, ids, np.diff(ends, prepend=0))
+        if len(odd):
+            ids = self._ids(self.tokenizer, [w[1:].decode("utf-8", "replace") for w in odd.view(pa.binary()).to_pylist()])
+            self._keep(odd, ids, np.array([len(x) for x in ids], np.int64))
+
+    def _pieces(self, words: pa.Array) -> np.ndarray:
+        """The two pieces of each word."""
+        is_plain = pc.match_substring_regex(words, _PLAIN)
+        plain, odd = words.filter(is_plain), words.filter(pc.invert(is_plain))
+        told = pa.concat_arrays([
+            pc.utf8_lower(pc.ascii_rtrim(plain, _SYMBOLS)), pc.utf8_ltrim(plain, _LETTERS),
+            pc.binary_join_element_wise(pa.scalar("\0"), odd, pa.scalar(""))]).dictionary_encode()
+        place = pc.fill_null(pc.index_in(told.dictionary, value_set=self.known), -1).to_numpy().copy()
+        is_odd = pc.starts_with(told.dictionary, "\0").to_numpy(zero_copy_only=False)
+        fresh = [np.flatnonzero((place < 0) & kind) for kind in (~is_odd, is_odd)]
+        place[np.concatenate(fresh)] = len(self.known) + np.arange(sum(map(len, fresh)))
+        self._learn(*[told.dictionary.take(pa.array(f)) for f in fresh])
+        number = place[told.indices.to_numpy()]
+        at, out, n = is_plain.to_numpy(zero_copy_only=False), np.zeros((len(words), 2), np.int64), len(plain)
+        out[at, 0], out[at, 1], out[~at, 0] = number[:n], number[n:2 * n], number[2 * n:]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all binary texts, each closed by the end id, and their number per text."""
+        if len(self.known) > CACHED_PIECES:
+            self._forget()
+        texts = pc.fill_null(texts, b"").view(pa.string())
         # A-Z in lower case is the same word, but not where it could make the name of a special token.
-        split = [(t if b"<|" in t else t.translate(_LOWER)).split() if t else [] for t in texts]
-        words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)
-        if self.words.fresh:
-            self._learn()
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        pieces = np.ones(2 * len(words) + len(split), np.int64)
-        place = 2 * np.arange(len(words)) + np.repeat(np.arange(len(split)), counts)
-        pieces[place], pieces[place + 1] = self.first[words], self.second[words]
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        told = split.flatten().dictionary_encode()
+        counts = pc.list_value_length(split).to_numpy().astype(np.int64)
+        last = np.cumsum(2 * counts + 1) - 1
+        pieces, is_word = np.ones(2 * len(told) + len(counts), np.int64), np.ones(2 * len(told) + len(counts), bool)
+        is_word[last] = False
+        pieces[is_word] = self._pieces(told.dictionary)[told.indices.to_numpy()].reshape(-1)
         sizes = self.sizes[pieces]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[pieces] - ends + sizes, sizes) + np.arange(total)]
-        last = np.cumsum(2 * counts + 1) - 1
         return ids, np.diff(ends[last], prepend=0)
 
 
@@ -175,10 +160,10 @@ def raw_blocks(documents: DataFrame, path: str, doc_id: str, text: str, end: int
         encoder = Encoder.of(path, end)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(names), 256):
-                ids, counts = encoder.encode(texts.slice(i, 256).to_pylist())
+            for i in range(0, len(names), ROWS):
+                ids, counts = encoder.encode(texts.slice(i, ROWS))
                 ends = np.cumsum(counts)
-                for name, own in zip(names[i:i + 256], np.split(ids.astype(kind), ends[:-1])):
+                for name, own in zip(names[i:i + ROWS], np.split(ids.astype(kind), ends[:-1])):
                     held.append((name, own))
                     total += len(own)
                     if total >= BLOCK:

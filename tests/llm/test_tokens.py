@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -88,3 +89,25 @@ def test_code_packs_any_ids():
         bits, jumps = code.pack(ids.astype(np.int64))
         assert (code.unpack(bits, jumps, size) == ids).all()
         assert len(bits) == -(-int(jumps.sum()) // 8)
+
+
+def test_batches_of_words_are_encoded_as_whole_texts(monkeypatch):
+    """Words of every kind, whatever is kept from texts before, and each new one is told to the tokenizer once, with others."""
+    draw = random.Random(2)
+    parts = ["ab", "ABC", "é", "ÀÖØ", "ß", "ÿ", "'s", "'", "<|", "endoftext", "|>", "<", "1", "٣", "!?", "--", "[]\\^_`", "{|}~", "\x1c", "\x85",
+             "\xa0", "　", "日本", "́", "\x00", "Σ", "İ", "\U0001f600", "�"]
+    words = ["".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(1500)]
+    texts = [None, "", " ", "\n a \t"] + [draw.choice(" \n\t\x0b").join(draw.choices(words, k=draw.randint(0, 12))) for _ in range(1200)]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 500)
+    monkeypatch.setattr(tokens, "AT_ONCE", 7)
+    encoder = tokens.Encoder(PATH, 2)
+    for i in range(0, len(texts), 100):
+        ids, counts = encoder.encode(pa.array([t and t.encode() for t in texts[i:i + 100]], pa.binary()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[i:i + 100]
+    ids, counts = encoder.encode(pa.array([], pa.binary()))
+    assert len(ids) == len(counts) == 0
+    broken = b"ok \xff\xfe b\xe9d. \xc3"
+    assert encoder.encode(pa.array([broken]))[0].tolist() == tokenizer.encode(
+        broken.decode("utf-8", "replace"), add_special_tokens=False).ids + [2]
