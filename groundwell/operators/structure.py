@@ -54,7 +54,8 @@ def _empty(array_type: str) -> Column:
 
 
 def normalize_documents(documents: DataFrame) -> DataFrame:
-    """Trimmed identity, normal format, portable content, and the reason a document is refused."""
+    """Trimmed identity, normal format, portable content, and the reason a document is refused. No content is empty
+    content, so it has a hash as well."""
     return compute_once(
         documents,
         reject_reason=F.coalesce(
@@ -68,7 +69,7 @@ def normalize_documents(documents: DataFrame) -> DataFrame:
         document_id=trim(F.col("document_id")),
         source_ref=trim(F.col("source_ref")),
         format=ids.normal_format(F.col("format")),
-        content=portable(F.col("content")),
+        content=F.coalesce(portable(F.col("content")), F.lit("")),
     )
 
 
