@@ -29,3 +29,7 @@ BLANK = [(i, ("one. two.", "", None, " \n\t")[i * 7 // 5 % 4], f"src{i % 3}") fo
 
 def test_v05_registers_documents_without_content_and_fails_their_builds(spark):
     same_as_sql(spark, "v05_ingest", [*BLANK, (30, "# only", "src1"), (31, "text", None), (None, "text", "src1")])
+
+
+def test_s15_keeps_a_blank_text_that_need_not_be_there(spark):
+    same_as_sql(spark, "s15_ingest_status", BLANK)
