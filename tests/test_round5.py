@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import duckdb
-from pyspark.sql import functions as F
 
 from groundwell.catalog import ORACLES, QUERIES
 from groundwell.operators.stages import stage_folder
@@ -33,3 +32,7 @@ def test_v05_registers_documents_without_content_and_fails_their_builds(spark):
 
 def test_s15_keeps_a_blank_text_that_need_not_be_there(spark):
     same_as_sql(spark, "s15_ingest_status", BLANK)
+
+
+def test_v04_fails_versions_of_documents_without_content(spark):
+    same_as_sql(spark, "v04_saved_manifests", BLANK)
