@@ -7,9 +7,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ LIST_POINTS = 256
 SLICE_POINTS = 16_384
 PROBED = 0.75
 CANDIDATES = 64
+#: Exact search without an index: points of a tenant that one task holds, pairs that it scores at once, and pairs whose products
+#: it holds at once.
+SCAN_POINTS = 32_768
+SCAN_PAIRS = 4_194_304
+SCAN_PRODUCTS = 32_768
+#: Vector stores keep scores in single precision; ranking on that many decimals keeps equal scores equal whatever the order of
+#: summation, so that ties go to the smaller id.
+SCORE_DECIMALS = 6
 DIM = "_dim"
 
 
@@ -148,6 +158,71 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores in units of the last decimal, halves away from zero as Spark rounds them."""
+    scaled = scores * 10 ** SCORE_DECIMALS
+    whole = np.floor(scaled + 0.5)
+    # Near a half the decimal form of the number decides.
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        whole[i] = float(Decimal(repr(float(scores[i]))).scaleb(SCORE_DECIMALS).quantize(Decimal(1), ROUND_HALF_UP))
+    return whole
+
+
+def _best_of(vectors: np.ndarray, place: np.ndarray, asked: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, point, score) of the best points of each question, equal scores by ``place``. A product of matrices finds the
+    pairs that can be among them; these are scored again, dimension by dimension, as the scores of Spark are."""
+    points, most = len(vectors), min(int(limits.max()), len(vectors))
+    near = asked @ vectors.T
+    top = np.sort(np.partition(near, points - most, axis=1)[:, points - most:], axis=1)
+    floors = top[np.arange(len(asked)), most - np.clip(limits, 1, most)] - MARGIN
+    rows, at = np.nonzero(near >= np.where(limits > 0, floors, np.inf)[:, None])
+    scores = np.concatenate([np.cumsum(vectors[at[i:i + SCAN_PRODUCTS]] * asked[rows[i:i + SCAN_PRODUCTS]], axis=1)[:, -1] + 0.0
+                             for i in range(0, max(len(at), 1), SCAN_PRODUCTS)])
+    order = np.lexsort((place[at], -_rounded(scores), rows))
+    rank = np.arange(len(order)) - np.searchsorted(rows, rows[order])
+    kept = order[rank < limits[rows[order]]]
+    return rows[kept], at[kept], scores[kept]
+
+
+def scanned_best(asked: DataFrame, points: DataFrame, tenant: str, limit: int | Column) -> DataFrame:
+    """The best ``limit`` points of each question in every slice of its tenant's points, with their score: columns of ``asked``
+    but the vector, ``point_id``, ``_row`` and ``score``. ``points`` is stored. Questions meet the points of a slice inside one task,
+    so rows are made for the best and none for the other pairs."""
+    keys = [tenant, DIM]
+    counts = points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SCAN_POINTS).alias("_slices"))
+    dealt = points.select(*keys, "point_id", "_row", "vector").join(counts, keys)
+    dealt = dealt.withColumn("_slice", F.pmod(F.xxhash64("point_id"), F.col("_slices"))).drop("_slices")
+    kept = [c for c in asked.columns if c not in ("query_vector", DIM)]
+    spread = asked.withColumn("_most", (F.lit(limit) if isinstance(limit, int) else limit).cast("long")).join(counts, keys)
+    asks = spread.select(*kept, "query_vector", "_most", *[F.col(k).alias(f"_ask{k}") for k in keys], F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1)).alias("_slice"))
+    types = {f.name: f.dataType.simpleString() for f in [*points.schema.fields, *asked.schema.fields]}
+
+    def scan(held: pa.Table, questions: pa.Table) -> pa.Table:
+        ids, rows = held["point_id"].combine_chunks(), held["_row"].combine_chunks()
+        told = questions.select(kept)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        limits = questions["_most"].to_numpy()
+        if len(ids) and len(told) and limits.max() > 0:
+            vectors, asked_vectors = _matrix(held["vector"]), _matrix(questions["query_vector"])
+            place = np.empty(len(ids), np.int64)
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            step = max(1, SCAN_PAIRS // len(ids))
+            for at in range(0, len(told), step):
+                if limits[at:at + step].max() > 0:
+                    question, point, score = _best_of(vectors, place, asked_vectors[at:at + step], limits[at:at + step])
+                    found.append((question + at, point, score))
+        question, point, score = (np.concatenate(part) for part in zip(*found))
+        best = told.take(pa.array(question))
+        for name, values in (("point_id", ids.take(pa.array(point))), ("_row", rows.take(pa.array(point))), ("_raw", pa.array(score))):
+            best = best.append_column(name, values)
+        return best
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*kept, "point_id", "_row"]) + ", _raw double"
+    found = dealt.groupBy(*keys, "_slice").cogroup(asks.groupBy(*[f"_ask{k}" for k in keys], "_slice")).applyInArrow(scan, schema)
+    return found.withColumn("score", F.round("_raw", SCORE_DECIMALS)).drop("_raw")
+
+
 def approximate_candidates(asked: DataFrame, index: BlockIndex, probed: float = PROBED, candidates: int = CANDIDATES) -> DataFrame:
     """``query_id, point_id``: the points of the probed lists with the best scores on codes, ``candidates`` of each
     question at most. Codes meet questions inside the share of a list, so a row is made per candidate and none per pair."""

@@ -13,16 +13,13 @@ from groundwell.functions.render import memory_text
 from groundwell.functions.text import first_reason, is_blank, trim
 from groundwell.functions.vectors import dot, vector_reason
 from groundwell.operators.blocks import (
-    CANDIDATES, DIM, LIST_POINTS, PROBED, BlockIndex, approximate_search, block_index, pruned_search, usable)
+    CANDIDATES, DIM, LIST_POINTS, PROBED, SCORE_DECIMALS, BlockIndex, approximate_search, block_index, pruned_search, scanned_best,
+    usable)
 from groundwell.operators.context import validated_hits
 from groundwell.operators.joins import broadcast_if_small
 from groundwell.operators.skew import largest, top_n
 from groundwell.operators.stages import materialize
 
-# Vector stores keep scores in single precision; ranking on that many decimals keeps equal scores equal whatever the
-# order of summation, so that ties go to the smaller id.
-SCORE_DECIMALS = 6
-
 
 def split_vectors(df: DataFrame, vector: str = "vector") -> DataFrame:
     """Adds the reason a vector is refused."""
@@ -58,8 +55,8 @@ def nearest(queries: DataFrame, points: DataFrame | BlockIndex, tenant: str, lim
     """Best points per query by cosine inside the tenant of the query.
 
     ``queries`` has query_id, the tenant column and query_vector; ``points`` has point_id, the tenant column, vector and
-    payload, or is an index of such points, which lets blocks be skipped. Vectors are scaled once per row, so a pair costs one
-    dot product, and each task keeps only its best rows per query. Tenant and dimension are parts of the join key: a pair
+    payload, or is an index of such points, which lets blocks be skipped. Vectors are scaled once per row, and each task keeps
+    only its best rows per query; without ``matches``, a condition on pairs, questions and points meet as matrices. Tenant and dimension are parts of the join key: a pair
     across tenants is never formed, and a point of another dimension has no cosine with a question and is not met
     (:func:`foreign_dimensions` names the requests whose tenant has such points).
     """
@@ -71,13 +68,14 @@ def nearest(queries: DataFrame, points: DataFrame | BlockIndex, tenant: str, lim
     # written once: pairs are ranked by ids and scores alone, and the payload comes back for the best of them.
     stored = materialize(usable(points.join(queries.select(tenant).distinct(), tenant, "left_semi"), "vector").withColumns({
         "_part": F.pmod(F.xxhash64("point_id"), F.lit(TENANT_PARTS)), "_row": F.monotonically_increasing_id()}))
-    spread = asked.withColumn("_part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TENANT_PARTS)])))
-    needed = [c for c in stored.columns if c in {tenant, DIM, "_part", "_row", "point_id", "vector"} or (
-        matches is not None and c not in spread.columns and stored.schema[c].dataType.typeName() in MATCHED)]
-    pairs = stored.select(*needed).join(spread, [tenant, DIM, "_part"])
-    if matches is not None:
-        pairs = pairs.filter(matches)
-    narrow = pairs.select(*[c for c in asked.columns if c not in ("query_vector", DIM)], "point_id", "_row", _score().alias("score"))
+    if matches is None:
+        narrow = scanned_best(asked, stored, tenant, limit)
+    else:
+        spread = asked.withColumn("_part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TENANT_PARTS)])))
+        needed = [c for c in stored.columns if c in {tenant, DIM, "_part", "_row", "point_id", "vector"} or (
+            c not in spread.columns and stored.schema[c].dataType.typeName() in MATCHED)]
+        pairs = stored.select(*needed).join(spread, [tenant, DIM, "_part"]).filter(matches)
+        narrow = pairs.select(*[c for c in asked.columns if c not in ("query_vector", DIM)], "point_id", "_row", _score().alias("score"))
     best = top_n(narrow, ["query_id"], [F.desc("score"), F.asc("point_id")], limit, bound=bound)
     payload = stored.drop(tenant, DIM, "_part", "point_id", "vector")
     most = asked.count() * (limit if bound is None else bound)
